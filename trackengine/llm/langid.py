@@ -84,7 +84,7 @@ def fit_languages(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], n
     model = np.full((len(names), FEATURES), smoothing)
     if names:
         where = F.create_map(*(F.lit(x) for p in ((n, i) for i, n in enumerate(names)) for x in p))[F.col("lang")]
-        got = counts.select(where.alias("row"), "feature", "n").toPandas()  # languages x features at most
+        got = counts.select(where.alias("row"), "feature", "n").toArrow().to_pandas()  # languages x features at most
         model[got["row"].to_numpy(int), got["feature"].to_numpy(int)] += got["n"].to_numpy(float)
     return names, model / model.sum(axis=1, keepdims=True)
 
