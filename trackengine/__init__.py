@@ -1,0 +1 @@
+"""Binned signal tracks and intervals as Spark DataFrames."""
