@@ -44,7 +44,7 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
 def bedgraph_signal(rows: DataFrame, bin_size: int) -> DataFrame:
     """(seqname, pos, value) observations, one for each bin of bin_size that a row reaches into."""
     first, last = F.expr(f"`from` div {bin_size}"), F.expr(f"(`to` - 1) div {bin_size}")
-    return rows.filter(F.col("to") > F.col("from")).select("seqname", (F.explode(F.sequence(first, last)) * bin_size).alias("pos"), "value")
+    return rows.filter(F.col("to") > F.col("from")).select("seqname", F.explode(F.transform(F.sequence(first, last), lambda b: b * bin_size)).alias("pos"), "value")
 
 
 def write_track(df: DataFrame, path: str) -> None:
