@@ -76,3 +76,18 @@ def test_stream_bins_equal_batch(spark, tmp_path):
     hour = F.date_trunc("hour", "ts").alias("start")
     want = {(r.event_type, r.start): (r.n, r.high) for r in source.groupBy("event_type", hour).agg(F.count("*").alias("n"), F.max("value").alias("high")).collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_commands(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(s, i, float(rng.poisson(3) if i % 50 else 90)) for s in ("a", "b") for i in range(400)]
+    bed.write_track(spark.createDataFrame(rows, "seqname string, bin int, value double"), str(tmp_path / "t"))
+    run = lambda *a: plugins.main(["trackengine.plans.commands", *map(str, a)])
+    model = run("LearnModel", "treatment", tmp_path / "m.json", tmp_path / "t", "a", "b")
+    assert sum(model.parameters) == pytest.approx(1) and (tmp_path / "m.json").exists()
+    found = run("CallPeaks", f"--model={tmp_path}/m.json", "--components=2,3", "--threshold=0.9", tmp_path / "o", tmp_path / "t").collect()
+    assert {r["from"] for r in found if r["seqname"] == "a"} >= {50, 100, 350}
+    doc = run("Estimate", 4, tmp_path / "t", tmp_path / "d.json", "a")
+    assert len(doc["Parameters"]["X"]) == 4

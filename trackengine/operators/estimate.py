@@ -197,3 +197,34 @@ def posterior(df: DataFrame, model: Distribution, components: list[int], value:
 
     table = xs.mapInPandas(run, "x__ double, log_posterior double")
     return df.join(table, df[value] == F.col("x__"), "left").drop("x__").withColumn("log_posterior", F.coalesce("log_posterior", F.lit(float("nan"))))
+
+
+# Vectors and coordinates ------------------------------------------------------
+
+
+def vector_values(df: DataFrame, v: str = "v") -> DataFrame:
+    """(value): all elements of all vectors, as observations of one distribution."""
+    return df.select(F.explode(v).alias("value"))
+
+
+def coordinate_histograms(df: DataFrame, v: str = "v") -> DataFrame:
+    """(i, x, n): the histogram of each coordinate of vectors of one size."""
+    return value_histogram(df.select(F.posexplode(v).alias("i", "value")), "value", "i")
+
+
+def fit_coordinates(df: DataFrame, start: Distribution, v: str = "v", **options) -> list[Fit]:
+    """A mixture for each coordinate, fitted to its histogram."""
+    hist = coordinate_histograms(df, v).toArrow().to_pandas().sort_values(["i", "x"])
+    return [fit_mixture(h["x"], h["n"], start, **options) for _, h in hist.groupby("i")]
+
+
+def model_curves(hist: DataFrame, model: Distribution, foreground: list[int]) -> DataFrame:
+    """(x, n, background, foreground): a model's two parts at the values of a histogram."""
+
+    def run(frames):
+        for pdf in frames:
+            parts = np.array([w * np.exp(log_density(p)(pdf.x.to_numpy(float))) for w, p in zip(model.parameters, model.parts)]).reshape(len(model.parts), -1)
+            fg = parts[foreground].sum(axis=0)
+            yield pdf.assign(background=parts.sum(axis=0) - fg, foreground=fg)
+
+    return hist.select("x", "n").mapInPandas(run, "x double, n long, background double, foreground double")

@@ -77,6 +77,21 @@ def combine(tracks: list[Track], f: Callable[..., Column]) -> Track:
     return replace(tracks[0], df=df.select(*KEYS, f(*values).alias("value")))
 
 
+def require_aligned(tracks: list[Track], every: bool = True) -> None:
+    """An error where a sequence has different lengths in two tracks, or is not in all of them if every is set.
+
+    Genomes have a row for each sequence, so this reads no bins.
+    """
+    lengths = None
+    for i, t in enumerate(tracks):
+        part = t.genome.select("seqname", F.col("nbins").alias("n"), F.lit(i).alias("i"))
+        lengths = part if lengths is None else lengths.unionByName(part)
+    found = lengths.groupBy("seqname").agg(F.count("*").alias("k"), F.countDistinct("n").alias("d"))
+    bad = found.filter((F.col("d") > 1) | ((F.col("k") < len(tracks)) if every else F.lit(False))).orderBy("seqname").limit(5).collect()
+    if bad:
+        raise ValueError(f"sequences differ between tracks: {', '.join(r.seqname for r in bad)}")
+
+
 def wide(tracks: list[Track]) -> DataFrame:
     """(seqname, bin, v): the values of all tracks as one array, by joins on the bin."""
     if len({t.bin_size for t in tracks}) > 1:

@@ -99,6 +99,21 @@ def classify_sequences(track: Track, f: Callable, transform: Callable | None = N
     return replace(track, df=track.df.groupBy("seqname").applyInPandas(run, "seqname string, bin int, value double"))
 
 
+def classify_sequences_multi(tracks: list[Track], f: Callable, transposed: bool = False) -> Track:
+    """f on the matrix of whole sequences (tracks by bins, or bins by tracks if transposed), giving a value for each bin."""
+    import numpy as np
+
+    def run(pdf):
+        pdf = pdf.sort_values("bin")
+        m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        out = f(m if transposed else m.T)
+        if len(out) != len(pdf):
+            raise ValueError("a sequence classifier must keep the length")
+        return pdf[KEYS].assign(value=out)
+
+    return replace(tracks[0], df=wide(tracks).groupBy("seqname").applyInPandas(run, "seqname string, bin int, value double"))
+
+
 def runs(df: DataFrame, order: Column, block: int = BLOCK) -> DataFrame:
     """Runs of adjacent bins of df (seqname, bin, value, …): (seqname, first, last, best, best_bin, best_row).
 

@@ -607,6 +607,40 @@ def normalize(spark, d):
     return df.select("seqname", "bin", F.round(A.min_max_scaled(F.col("value"), Window.partitionBy("seqname")), 6).alias("value"))
 
 
+@query(_V + ", e AS (SELECT unnest(v) AS x FROM v) SELECT x, count(*) AS n FROM e GROUP BY 1")
+def est_vector_data(spark, d):
+    return E.value_histogram(E.vector_values(_thousandths(spark, d)))
+
+
+@query(_V + ", e AS (SELECT unnest(v) AS x, unnest(range(len(v))) AS i FROM v) SELECT CAST(i AS INTEGER) AS i, x, count(*) AS n FROM e GROUP BY 1, 2")
+def est_vector_coordinates(spark, d):
+    return E.coordinate_histograms(_thousandths(spark, d))
+
+
+@query(_V + ", e AS (SELECT unnest(v) AS x FROM v), l AS (SELECT (max(x) - min(x)) / 100 AS step FROM e) SELECT round(floor(x / step) * step, 6) AS x, count(*) AS n FROM e, l GROUP BY 1")
+def hist_gridded(spark, d):
+    hist = E.gridded(E.value_histogram(E.vector_values(_thousandths(spark, d))), 100)
+    return hist.select(F.round("x", 6).alias("x"), F.col("n").cast("long").alias("n"))
+
+
+@query(_LI + f", h AS (SELECT a, count(*) AS n FROM li GROUP BY 1), cv AS (SELECT a, n, {_density_sql('a')} FROM h) SELECT a AS x, n, round(f0 + f1 + f2, 6) AS background, round(f3, 6) AS foreground FROM cv")
+def model_curves(spark, d):
+    return _digits(E.model_curves(E.value_histogram(X.ship_tracks(spark, d)[0].df), EXAMPLE, [3]), "background", "foreground")
+
+
+@query(_LI + "SELECT seqname, bin, value FROM (SELECT seqname, bin, sum(a + 2 * n) OVER (PARTITION BY seqname ORDER BY bin) AS value FROM li)")
+def classify_sequence_multi(spark, d):
+    a, n, _ = X.ship_tracks(spark, d)
+    return W.classify_sequences_multi([a, n], lambda m: (m[0] + 2 * m[1]).cumsum()).df
+
+
+@query(_LI + "SELECT seqname, bin, value FROM (SELECT seqname, bin, max(a) OVER (PARTITION BY seqname ORDER BY bin) AS value FROM li)")
+def classify_sequence(spark, d):
+    import numpy as np
+
+    return W.classify_sequences(X.ship_tracks(spark, d)[0], np.maximum.accumulate).df
+
+
 # Hidden Markov models ----------------------------------------------------------------
 
 
