@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from functools import lru_cache
@@ -28,32 +29,45 @@ _MARKS = b".,;:!?*%&$#+=_/()[]{}-"
 class WordIds:
     """Token ids of texts, word by word: the vocabulary's splitting never joins what a space or newline parts.
 
-    It lower-cases, so A-Z are lowered first; and it parts a letter from marks behind it, so those are encoded apart.
+    It lower-cases, so A-Z are lowered first, but for words that may hold a special token; and it parts a letter from marks
+    behind it, so those are encoded apart.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode_batch_fast, {b"": b""}
+        self.encode, self.known = Tokenizer.from_file(path).encode_batch_fast, _Known({b"": b""})
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian 32-bit numbers."""
-        split = [x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
-        new = set().union(*split) - self.known.keys()
+        known = self.known
+        split = [_split(x) for x in texts]
+        new = [w for w in set().union(*split) if w not in known]
         cut = {w: c for w in new if (c := _behind_letter(w))}
-        plain = list({p for w in new for p in cut.get(w, (w,))} - self.known.keys())
-        ids = {}
+        plain = [p for p in {p for w in new for p in cut.get(w, (w,))} if p not in known]
+        known.more = more = {}
         for at in range(0, len(plain), 8192):
             part = plain[at : at + 8192]
-            ids.update(zip(part, (array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in part], add_special_tokens=False))))
-        both = _Both(self.known, ids)
-        ids.update({w: both[a] + both[b] for w, (a, b) in cut.items()})
-        if len(self.known) < KNOWN_WORDS:
-            self.known.update(ids)
-            both = self.known
-        else:
-            both = _Both(self.known, ids)
-        return [b"".join(map(both.__getitem__, words)) for words in split]
+            more.update(zip(part, (array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in part], add_special_tokens=False))))
+        more.update({w: known[a] + known[b] for w, (a, b) in cut.items()})
+        if len(known) < KNOWN_WORDS:
+            known.update(more)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _split(text: bytes) -> list[bytes]:
+    words = text.lower().replace(b"\n", b" ").split(b" ")
+    if b"<|" in text:
+        words = [raw if b"<|" in raw else low for raw, low in zip(text.replace(b"\n", b" ").split(b" "), words)]
+    return words
+
+
+class _Known(dict):
+    """Words whose ids are remembered, and behind them those of the batch at hand (more)."""
+
+    def __missing__(self, word):
+        return self.more[word]
 
 
 def _behind_letter(word: bytes) -> tuple[bytes, bytes] | None:
@@ -64,17 +78,6 @@ def _behind_letter(word: bytes) -> tuple[bytes, bytes] | None:
     return stem, word[len(stem) :]
 
 
-class _Both(dict):
-    """Two tables as one."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, word):
-        return self.first[word]
-
-
 @lru_cache(4)
 def word_ids(path: str | None) -> WordIds:
     if path is None:
