@@ -232,3 +232,29 @@ def test_segmentation(spark):
     assert [r["state"] for r in Z.tree_levels(tree)] == [0, 1, 2, 3]
     with pytest.raises(Exception, match="whole numbers"):
         Z.state_runs(track(spark, {"s": [0.5]})).collect()
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 24])
+def test_merge_runs(spark, stretch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in "ab":
+        at = 0
+        for _ in range(80):
+            to = at + int(rng.integers(1, 5))
+            rows.append((s, at, to, None if rng.random() < 0.1 else int(rng.integers(0, 2))))
+            at = to + int(rng.random() < 0.2) - int(rng.random() < 0.1)
+    rows = list({r[:3]: r for r in rows}.values())
+    want = []
+    for s, lo, hi, state in sorted(rows, key=lambda r: r[:3]):
+        if want and want[-1][0] == s and want[-1][4] == lo and want[-1][3] == state:
+            want[-1][2] = max(want[-1][2], hi)
+            want[-1][4] = hi
+        else:
+            want.append([s, lo, hi, state, hi])
+    df = spark.createDataFrame(rows, "seqname string, from int, to int, mark int")
+    got = I.merge_runs(df, "mark", stretch)
+    assert got.columns == ["seqname", "from", "to", "mark"]
+    key = lambda r: (r[0], r[1], r[2], -1 if r[3] is None else r[3])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((tuple(w[:4]) for w in want), key=key)
+    assert I.merge_runs(df.limit(0), "mark", stretch).count() == 0

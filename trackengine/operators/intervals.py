@@ -9,6 +9,8 @@ from trackengine.functions.arrays import slice_sum
 
 #: Width of the pieces by which intervals meet; an interval is in each piece that it touches.
 PIECE = 4096
+#: Positions of a stretch in which abutting rows are put together by one task.
+STRETCH = 1 << 24
 
 
 def _pieces(df: DataFrame, piece: int) -> DataFrame:
@@ -49,12 +51,27 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("sum__", slice_sum(F.col("test"))).orderBy(F.desc("sum__"), "seqname", "from", "to").drop("sum__")
 
 
-def merge_runs(df: DataFrame, state: str = "state") -> DataFrame:
-    """Neighbouring rows of one sequence that abut and share a state become one row."""
-    seq = Window.partitionBy("seqname").orderBy("from", "to")
-    new = ~((F.lag("to").over(seq) == F.col("from")) & F.lag(state).over(seq).eqNullSafe(F.col(state)))
-    rows = df.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(seq))
-    return rows.groupBy("seqname", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.first(state).alias(state)).drop("run")
+def merge_runs(df: DataFrame, state: str = "state", stretch: int = STRETCH) -> DataFrame:
+    """Neighbouring rows of one sequence that abut and share a state become one row.
+
+    Rows are put together in stretches of a sequence; then only the first and last row of each stretch meet the others'.
+    """
+    rows = df.select("seqname", "from", "to", F.col(state).alias("state"), F.floor(F.col("from") / stretch).alias("at"))
+    local = _joined(rows, ["seqname", "at"], ["from", "to", "state"])
+    border = (F.col("nth") == 1) | (F.col("nth") == F.max("nth").over(Window.partitionBy("seqname", "at")))
+    local = local.withColumn("border", border)
+    ends = _joined(local.filter("border"), ["seqname"], ["at", "nth"], F.col("at") != F.lag("at").over(Window.partitionBy("seqname").orderBy("at", "nth")))
+    same = ["seqname", "from", "to", "state"]
+    return local.filter("NOT border").select(*same).unionByName(ends.select(*same)).withColumnRenamed("state", state)
+
+
+def _joined(rows: DataFrame, by: list[str], order: list[str], may: Column | None = None) -> DataFrame:
+    """(by…, nth, from, to, state): rows put together where each abuts the one before it in the order, and `may` holds."""
+    over = Window.partitionBy(*by).orderBy(*order)
+    same = (F.lag("to").over(over) == F.col("from")) & F.lag("state").over(over).eqNullSafe(F.col("state"))
+    new = (~F.coalesce(same if may is None else same & may, F.lit(False))).cast("int")
+    numbered = rows.withColumn("new", new).withColumn("run", F.sum("new").over(over))
+    return numbered.groupBy(*by, F.col("run").alias("nth_")).agg(F.min("from").alias("from"), F.max("to").alias("to"), F.first("state").alias("state")).withColumnRenamed("nth_", "nth")
 
 
 def remove(df: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:

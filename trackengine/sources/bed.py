@@ -48,8 +48,11 @@ def bedgraph_signal(rows: DataFrame, bin_size: int) -> DataFrame:
 
 
 def write_track(df: DataFrame, path: str) -> None:
-    """Parquet with a folder for each sequence, so that reading some sequences reads their files only."""
-    df.repartition("seqname").sortWithinPartitions("seqname", "bin").write.mode("overwrite").partitionBy("seqname").parquet(path)
+    """Parquet with a folder for each sequence, so that reading some sequences reads their files only.
+
+    Ranges are over the bins too, so a long sequence is written by many tasks.
+    """
+    df.repartitionByRange("seqname", "bin").sortWithinPartitions("seqname", "bin").write.mode("overwrite").partitionBy("seqname").parquet(path)
 
 
 def is_gzip(head: bytes) -> bool:
