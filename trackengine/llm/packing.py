@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, text_bytes
@@ -87,10 +87,11 @@ def word_ids(path: str | None) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, order: Column | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and a final id 0, cut every `capacity` ids.
 
     tokenizer: file of the vocabulary as executors see it; None takes the installed public one. Null text is empty.
+    order: a long that every piece of the row gets as `position` behind the other columns.
     """
     bounded_batches(docs.sparkSession)
 
@@ -103,9 +104,14 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                 ids = memoryview(ids + b"\0\0\0\0")
                 rows += [(i, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
             of, piece, start, length, crc = (list(x) for x in zip(*rows)) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            of = pa.array(of, pa.int64())
+            own = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), *own, *(c.take(of) for c in b.columns[2:])], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *([] if order is None else [order.alias("position")]))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ("" if order is None else ", position long")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return rows.mapInArrow(run, schema)
 
 
 class _Lengths:
@@ -198,14 +204,17 @@ def _best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return [(tuple(p), t) for groups in by_gap.values() for p, t in groups]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, order: Column | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece, and where it lies.
 
     Sequences hold at most `capacity` ids; offsets have no gaps. Only the counts of lengths, at most `capacity` rows, go
     to the driver; the plan over them is of the same size and tells each piece its sequence by its number among those of
     its length. Null and empty texts are one id. Rows that repeat a doc_id are packed each; a null doc_id stays null.
+
+    order: a long from 0 that says where each row stands. Pieces of a length are then used up in this order, and sequences are
+    numbered by the first row in them, so that reading them by sequence_id follows the order of the rows.
     """
-    pieces = materialize(token_pieces(docs, capacity, tokenizer), "pieces")
+    pieces = materialize(token_pieces(docs, capacity, tokenizer, order), "pieces")
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, used, base = [], {}, 0
     for pattern, times in packing_plan(counts, capacity):
@@ -220,17 +229,38 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     length, first, start, offset = (np.array(x, np.int64) for x in (zip(*runs) if runs else [()] * 4))
     keys = (length << 48) + first
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_PIECES))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    bucket, place_by, carried = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], []
+    if order is not None:
+        rows = (pieces.agg(F.max("position")).first()[0] or 0) + 1
+        bucket, place_by, carried = _stretch("position", rows, buckets), ["position", *place_by], ["position"]
+    bucketed = pieces.withColumn("bucket", bucket)
     by = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = bucketed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(by), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*place_by)) - 1
     ranked = bucketed.withColumn("within", within).join(before, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"), *carried)
 
     def place(batches):
         for b in batches:
             n, rank = (b.column(i).to_numpy() for i in (3, 5))
             at = np.searchsorted(keys, (n << 48) + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(start[at] + rank - first[at]), pa.array(offset[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(start[at] + rank - first[at]), pa.array(offset[at]), *b.columns[6:]], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *carried])
+
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", position long" * len(carried))
+    return placed if order is None else _in_order(placed, rows, max(1, -(-base // BUCKET_PIECES)))
+
+
+def _stretch(position: str, rows: int, stretches: int) -> Column:
+    """Which of so many equal stretches of the positions from 0 to rows - 1 one lies in."""
+    return F.floor(F.col(position) * (stretches / rows)).cast("long")
+
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def _in_order(placed: DataFrame, rows: int, buckets: int) -> DataFrame:
+    """Sequences numbered anew, without gaps, by the smallest position in them (then by their number so far)."""
+    placed = materialize(placed, "placed")
+    firsts = placed.groupBy("sequence_id").agg(F.min("position").alias("at")).withColumn("bucket", _stretch("at", rows, buckets))
+    by = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = firsts.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(by), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("at", "sequence_id")) - 1
+    numbers = firsts.withColumn("within", within).join(before, "bucket").select("sequence_id", (F.col("before") + F.col("within")).alias("number"))
+    return placed.join(numbers, "sequence_id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").alias("sequence_id"), "offset")
