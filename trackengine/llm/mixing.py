@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Slots of the repeating pattern: weights are whole multiples of 1 / SLOTS.
+#: Slots of the repeating pattern, which serves weights that are whole multiples of 1 / SLOTS.
 SLOTS = 4096
 #: Documents in a block.
 BLOCK_DOCS = 64
@@ -58,6 +62,38 @@ def pfair_pattern(shares: dict) -> list[tuple[object, int, int, int, int]]:
     return out
 
 
+def whole_weights(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights, floats as the fractions that they are."""
+    exact = [Fraction(w) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("target weights must be positive")
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    common = math.gcd(*whole) or 1
+    return [w // common for w in whole]
+
+
+def exact_schedule(whole: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source number, block, slot, release, deadline) of all blocks, in the order of slots.
+
+    Block k of a source with w of W is released at floor(k W / w) and due by ceil((k + 1) W / w). One block a slot, the
+    earliest deadline first, meets all deadlines; that some sources end before others only leaves more room.
+    """
+    total, slot, ready = sum(whole), 0, []
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // whole[i]), i, k, release))
+        due, i, k, release = heapq.heappop(ready)
+        yield i, k, slot, release, due
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * total // whole[i], i, k + 1))
+        slot += 1
+
+
 def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, slots: int = SLOTS) -> dict:
     """Target weights from the sources' sizes to a power below 1, which favours small sources. One row a source is read."""
     rows = docs.groupBy(F.col(source).alias("s")).count().limit(slots + 1).collect()
@@ -69,19 +105,21 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
 
     rank: place in the source's own shuffled order (by a hash of the key, then the key, from 0); block = rank div
     block_docs; slot, release and deadline: where the block's weight puts it; position: place of the row in the whole
-    mixture, from 0 and without gaps. Every row is kept. When a source has run out its slots stay empty, so that the
-    others go on in proportion to their weights. Sources without a weight in `weights` raise an error; a null source is a
-    source; rows that repeat a key stay together as ties; an empty table gives no rows. There may be at most `slots`
-    sources: the pattern of one period, which is broadcast, has that many rows whatever the input.
+    mixture, from 0 and without gaps. Every row is kept. Weights are exact. Where all are whole multiples of 1 / slots, a
+    pattern of so many slots repeats and is broadcast; a source that has run out leaves its slots empty. For any others,
+    one task deals out the blocks (not rows) in turn, in memory of the number of sources, and rows join their block; then
+    blocks of other sources may move up in their windows when one has run out. Sources without a weight in `weights`
+    raise an error; a null source is a source; rows that repeat a key stay together as ties; an empty table gives no
+    rows. The driver holds a number for each source.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(source).cast("string").alias(source))
-    counts = rows.groupBy(source).count().limit(slots + 1).collect()
+    counts = sorted(rows.groupBy(source).count().collect(), key=lambda r: str(r[source]))
     weights = weights or {r[source]: r["count"] ** 0.5 for r in counts}
     if missing := [r[source] for r in counts if r[source] not in weights]:
         raise ValueError(f"no target weight for {missing[:5]}")
-    shares = slot_shares({r[source]: weights[r[source]] for r in counts}, slots)
-    pattern = spark.createDataFrame([(s, shares[s], k, slot, release, due) for s, k, slot, release, due in pfair_pattern(shares)], "p_source string, share long, k long, at long, p_release long, p_due long")
+    names, whole = [r[source] for r in counts], whole_weights([weights[r[source]] for r in counts])
+    repeats = all(w * slots % sum(whole) == 0 for w in whole)
     buckets = max(1, -(-max((r["count"] for r in counts), default=0) // BUCKET_DOCS)) * 8
     order = F.xxhash64(key, F.lit(seed))
     placed = rows.select(key, source, order.alias("order"), F.pmod(F.shiftright("order", 40), F.lit(buckets)).alias("bucket"))
@@ -92,6 +130,10 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     ranked = placed.withColumn("within", within).join(before, F.col(source).eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     rank = (F.col("before") + F.col("within")).alias("rank")
     ranked = ranked.select(key, source, rank).withColumn("block", F.expr(f"rank div {block_docs}"))
+    if not repeats:
+        return _numbered(_dealt(ranked, source, key, names, whole, [-(-r["count"] // block_docs) for r in counts]), key)
+    shares = {n: w * slots // sum(whole) for n, w in zip(names, whole)}
+    pattern = spark.createDataFrame([(s, shares[s], k, slot, release, due) for s, k, slot, release, due in pfair_pattern(shares)], "p_source string, share long, k long, at long, p_release long, p_due long")
     share = pattern.select("p_source", "share").distinct()
     ranked = ranked.join(F.broadcast(share), F.col(source).eqNullSafe(F.col("p_source"))).drop("p_source")
     ranked = ranked.withColumns({"k": F.col("block") % F.col("share"), "turn": F.expr("block div share") * slots})
@@ -100,6 +142,31 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     return _numbered(slotted, key)
 
 
+def _dealt(ranked: DataFrame, source: str, key: str, names: list, whole: list[int], blocks: list[int]) -> DataFrame:
+    """The ranked rows with slot, release and deadline of their block in the exact schedule."""
+
+    def run(batches):
+        for _ in batches:
+            out = []
+            for i, *rest in exact_schedule(whole, blocks):
+                out.append((names[i], *rest))
+                if len(out) == 65_536:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
+
+    columns = ("b_source", "b_block", "slot", "release", "deadline")
+
+    def batch(out):
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], list(columns))
+
+    plan = ranked.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "b_source string, b_block long, slot long, release long, deadline long")
+    plan = materialize(plan, "mix-blocks")
+    joined = ranked.join(plan, F.col(source).eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    return joined.select(key, source, "rank", "block", "slot", "release", "deadline")
+
+
 def _sum_before(w) -> Column:
     return F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
