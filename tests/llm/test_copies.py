@@ -195,3 +195,33 @@ def test_embedding_odd_rows(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, True), 10: (1, 10, True), 11: (1, 10, False)} | {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)}
     assert embed.embedding_groups(df.limit(0)).count() == 0
     assert sorted(r.vec_id or 0 for r in embed.embedding_dedup(df).collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_texts_of_one_id_are_apart(spark):
+    rng = np.random.default_rng(11)
+    word = lambda k: " ".join(f"v{x}" for x in rng.integers(0, 10**6, k))
+    shared, lone = word(60), word(90)
+    docs = docs_of(spark, [(1, f"{shared} {word(5)}"), (2, f"{word(3)} {shared}"), (2, lone), (2, None)])
+    out = sorted((r.doc_id, len((r.text or "").split())) for r in suffix.suffix_dedup(docs).collect())
+    assert out == [(1, 65), (2, 0), (2, 3), (2, 90)]
+    clash = docs.withColumnsRenamed({"lang": "_of", "source": "_cuts"}).withColumns({"of": common.F.lit(1), "_now": common.F.lit(2), "text_id": common.F.lit(3)})
+    again = suffix.suffix_dedup(clash)
+    assert again.columns == clash.columns and again.count() == 4 and {(r._of, r._cuts, r.of, r._now, r.text_id) for r in again.collect()} == {("en", "s", 1, 2, 3)}
+
+
+def test_sorted_rows_in_chunks(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 40, 300))
+    place = np.sort(rng.integers(0, 3, 300))
+    rows = sorted({*zip(keys.tolist(), place.tolist())})
+    batches = lambda: (pa.RecordBatch.from_pylist([{"k": k, "p": p} for k, p in sorted(zip(keys.tolist(), place.tolist()))[i : i + 7]]) for i in range(0, 300, 7))
+    for chunk in (1, 10, 10**6):
+        monkeypatch.setattr(suffix, "CHUNK", chunk)
+        got = [(k, p, bool(b), bool(a), bool(e)) for t, before, after, edge in suffix._beside(batches(), ["k"], ["p"]) for k, p, b, a, e in zip(t["k"].to_pylist(), t["p"].to_pylist(), before, after, edge)]
+        assert [g[:2] for g in got] == rows
+        assert [g[2] for g in got] == [i > 0 and rows[i - 1][0] == r[0] for i, r in enumerate(rows)]
+        assert [g[3] for g in got] == [i + 1 < len(rows) and rows[i + 1][0] == r[0] for i, r in enumerate(rows)]
+        assert [i for i, g in enumerate(got) if g[4]] == [0, len(rows) - 1]
+    assert list(suffix._beside(iter(()), ["k"], [])) == []

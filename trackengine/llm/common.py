@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,9 +32,14 @@ _OWN: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a temporary one.
+
+    On a cluster there is no such folder to fall back to, so an unset spark.checkpoint.dir is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="trackengine-")
@@ -71,6 +77,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(1, len(taken) + 2) if (n := "_" * k + name) not in taken) for name in names]
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of an id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
@@ -142,6 +154,14 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words from start to end, as window_hashes() gives it."""
+    up, down = _WORDS(len(words) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+        return mix((prefix[end] - prefix[start]) * down[start])
+
+
 def sliding(values: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
     """Minimum (or maximum) of every w neighbours, by doubling."""
     if len(values) < w:
