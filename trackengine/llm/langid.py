@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, mix
+from .common import bounded_batches, crc_mod, mix, spare
 
 #: Trigrams are hashed to so many features; a model has one row of them for each language.
 FEATURES = 1 << 15
@@ -183,4 +183,6 @@ def keep_identified(docs: DataFrame, folds: int = 5, min_share: float = MIN_SHAR
     bounded_batches(docs.sparkSession)
     held = crc_mod(F.col("doc_id"), folds) == 0
     predict = predictor(*fit_languages(docs.filter(~held).select("lang", "text")))
-    return docs.withColumn("__p", predict("text")).filter((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= min_share)).select(*docs.columns)
+    (p,) = spare(docs, "p")
+    found = docs.withColumn(p, predict("text")).filter((F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.score") >= min_share))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spare
 
 #: Slots of the repeating pattern, which serves weights that are whole multiples of 1 / SLOTS.
 SLOTS = 4096
@@ -94,12 +94,6 @@ def exact_schedule(whole: list[int], blocks: list[int]) -> Iterator[tuple[int, i
         slot += 1
 
 
-def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, slots: int = SLOTS) -> dict:
-    """Target weights from the sources' sizes to a power below 1, which favours small sources. One row a source is read."""
-    rows = docs.groupBy(F.col(source).alias("s")).count().limit(slots + 1).collect()
-    return {r.s: r["count"] ** power for r in rows}
-
-
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int = SLOTS, seed: int = 0) -> DataFrame:
     """Schedule every row: (key, source, rank, block, slot, release, deadline, position).
 
@@ -184,9 +178,11 @@ def _numbered(slotted: DataFrame, key: str, together: int = 64) -> DataFrame:
 def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all of them, in the order of the mixture: sorted within and across partitions by position.
 
-    Rows with a null key can't be matched to their place and come last.
+    Rows that repeat a key come together, at the first place of any of them. Rows with a null key can't be matched to
+    their place and come last.
     """
     plan = mix(docs.filter(F.col(key).isNotNull()), weights, source, key, **options)
-    places = plan.groupBy(F.col(key).alias("__key")).agg(F.min("position").alias("__position"))
-    joined = docs.join(places, docs[key] == F.col("__key"), "left").withColumn("__position", F.coalesce("__position", F.lit(2**62)))
-    return joined.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
+    of, position = spare(docs, "of", "position")
+    places = plan.groupBy(F.col(key).alias(of)).agg(F.min("position").alias(position))
+    joined = docs.join(places, docs[key].cast("long") == F.col(of), "left").withColumn(position, F.coalesce(position, F.lit(2**62)))
+    return joined.repartitionByRange(position).sortWithinPartitions(position).select(*(F.col(f"`{c}`") for c in docs.columns))

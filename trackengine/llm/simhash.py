@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_bytes
+from .common import bounded_batches, materialize, spare, text_bytes
 from .components import connected_components
 
 #: Sixteen-bit parts of a fingerprint; a tile holds the fingerprints with the same population count in every part.
@@ -154,5 +154,6 @@ def simhash_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of docs without those of documents that are not the smallest doc_id of their group; null doc_ids stay."""
-    lost = simhash_groups(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs.doc_id == F.col("__lost"), "left_anti")
+    (lost,) = spare(docs, "lost")
+    gone = simhash_groups(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(lost)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(lost), "left_anti")
