@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,70 +13,108 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_bytes
+from .common import bounded_batches, discard, materialize, text_bytes, word_hashes
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Words whose ids a worker remembers; others are encoded again for each batch.
-KNOWN_WORDS = 600_000
+#: Words whose ids a worker remembers (about 20 bytes each); others are encoded again when they come.
+KNOWN_WORDS = 1 << 20
+#: Bytes of text that are looked up together, about; a longer text is cut between words.
+TOGETHER = 1 << 19
 #: Pieces of one length that share a numbering bucket, about.
 BUCKET_PIECES = 4096
 
 
 #: ASCII marks that, behind a letter, begin a piece of their own in the vocabulary's splitting.
 _MARKS = b".,;:!?*%&$#+=_/()[]{}-"
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS, np.uint8))
 
 
 class WordIds:
     """Token ids of texts, word by word: the vocabulary's splitting never joins what a space or newline parts.
 
-    It lower-cases, so A-Z are lowered first, but for words that may hold a special token; and it parts a letter from marks
-    behind it, so those are encoded apart.
+    It lower-cases, so A-Z are lowered first, but for words that may hold a special token; and it parts an ASCII letter
+    from marks behind it, so those are words of their own. Words are known by 64-bit hashes; the ids of all known ones lie
+    one after the other in one array.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode_batch_fast, _Known({b"": b""})
+        model = Tokenizer.from_file(path)
+        self.encode, kind = model.encode_batch_fast, np.uint16 if model.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known, self.start, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, kind)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian 32-bit numbers."""
-        known = self.known
-        split = [_split(x) for x in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        cut = {w: c for w in new if (c := _behind_letter(w))}
-        plain = [p for p in {p for w in new for p in cut.get(w, (w,))} if p not in known]
-        known.more = more = {}
-        for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
-            more.update(zip(part, (array("I", e.ids).tobytes() for e in self.encode([w.decode() for w in part], add_special_tokens=False))))
-        more.update({w: known[a] + known[b] for w, (a, b) in cut.items()})
-        if len(known) < KNOWN_WORDS:
-            known.update(more)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-def _split(text: bytes) -> list[bytes]:
-    words = text.lower().replace(b"\n", b" ").split(b" ")
-    if b"<|" in text:
-        words = [raw if b"<|" in raw else low for raw, low in zip(text.replace(b"\n", b" ").split(b" "), words)]
-    return words
-
-
-class _Known(dict):
-    """Words whose ids are remembered, and behind them those of the batch at hand (more)."""
-
-    def __missing__(self, word):
-        return self.more[word]
-
-
-def _behind_letter(word: bytes) -> tuple[bytes, bytes] | None:
-    """A word and the marks behind its last letter, if it ends so."""
-    stem = word.rstrip(_MARKS)
-    if not stem or len(stem) == len(word) or not stem.decode()[-1].isalpha():
-        return None
-    return stem, word[len(stem) :]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for part in _parts(texts):
+            for (i, _), ids in zip(part, self._ids([x for _, x in part])):
+                out[i].append(ids)
+        return [b"".join(x) for x in out]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        raw = b"\n".join(texts) + b"\n"
+        start, end = _words(np.frombuffer(raw, np.uint8))
+        word, first, of = np.unique(word_hashes(np.frombuffer(raw, np.uint8), start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, word)
+        new = np.ones(len(word), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != word[inside]
+        begin, size, ids = np.zeros(len(word), np.int64), np.zeros(len(word), np.int32), self.ids
+        begin[~new], size[~new] = self.start[at[~new]], self.size[at[~new]]
+        if new.any():
+            found = [e.ids for e in self.encode([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())], add_special_tokens=False)]
+            size[new] = [len(x) for x in found]
+            begin[new] = len(ids) + np.cumsum(size[new]) - size[new]
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), ids.dtype, int(size[new].sum()))])
+            if len(self.known) < KNOWN_WORDS:
+                self.known, self.start, self.size, self.ids = np.insert(self.known, at[new], word[new]), np.insert(self.start, at[new], begin[new]), np.insert(self.size, at[new], size[new]), ids
+        sizes = size[of]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = ids[np.repeat(begin[of] - upto[:-1], sizes) + np.arange(upto[-1])].astype("<u4")
+        ends = upto[np.searchsorted(start, np.cumsum([len(x) + 1 for x in texts]))]
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _parts(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number of the text, bytes of it), about TOGETHER bytes at once; long texts are cut behind a space or newline."""
+    part, n = [], 0
+    for i, text in enumerate(texts):
+        text, at = _lowered(text), 0
+        while at == 0 or at < len(text):
+            to = len(text)
+            if to - at > TOGETHER:
+                to = max(text.rfind(b" ", at, at + TOGETHER), text.rfind(b"\n", at, at + TOGETHER)) + 1
+                to = to or min((k + 1 for x in (b" ", b"\n") if (k := text.find(x, at + TOGETHER)) >= 0), default=len(text))
+            part.append((i, text[at:to]))
+            n, at = n + to - at, max(to, 1)
+            if n >= TOGETHER:
+                yield part
+                part, n = [], 0
+    if part:
+        yield part
+
+
+def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end: between spaces and newlines, marks behind a last ASCII letter apart."""
+    inside = np.concatenate([[False], (buf != 32) & (buf != 10), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    if not len(start):
+        return start, end
+    stem = np.maximum.accumulate(np.where(_IS_MARK[buf], -1, np.arange(len(buf))))[end - 1] + 1
+    last = buf[np.maximum(stem - 1, 0)]
+    cut = (stem > start) & (stem < end) & (last >= 97) & (last <= 122)
+    return np.sort(np.concatenate([start, stem[cut]])), np.sort(np.concatenate([end, stem[cut]]))
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z lowered but in words that may hold a special token."""
+    if b"<|" not in text:
+        return text.lower()
+    return b"\n".join(b" ".join(w if b"<|" in w else w.lower() for w in line.split(b" ")) for line in text.split(b"\n"))
 
 
 @lru_cache(4)
