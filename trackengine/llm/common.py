@@ -103,18 +103,23 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as were asked for."""
+    """Powers of an odd number and of its inverse modulo 2**64, kept as far as were asked for, up to KEEP."""
+
+    KEEP = 1 << 20
 
     def __init__(self, base: np.uint64):
         inv = pow(int(base), -1, 2**64)
         self.bases, self.tables = (base, np.uint64(inv)), [np.ones(1, np.uint64)] * 2
 
     def __call__(self, n: int) -> list[np.ndarray]:
-        if len(self.tables[0]) < n:
-            size = max(1 << 16, 1 << int(n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                self.tables = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in self.bases]
-        return self.tables
+        if len(self.tables[0]) >= n:
+            return self.tables
+        size = max(1 << 16, 1 << int(n - 1).bit_length()) if n <= self.KEEP else n
+        with np.errstate(over="ignore"):
+            tables = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in self.bases]
+        if n <= self.KEEP:
+            self.tables = tables
+        return tables
 
 
 _BYTES, _WORDS = _Powers(_MULT), _Powers(_WMULT)

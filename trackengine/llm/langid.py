@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,10 @@ from .common import bounded_batches, crc_mod, mix, spare
 
 #: Trigrams are hashed to so many features; a model has one row of them for each language.
 FEATURES = 1 << 15
-#: At most so many languages, which bounds the model that is broadcast.
-MAX_LANGUAGES = 256
+#: Cells (features of texts by languages) that EM goes through at once, about.
+CELLS = 1 << 20
+#: Languages whose counts a task holds before it passes them on.
+HELD_LANGUAGES = 256
 #: A document of which no language has this share is not of one language.
 MIN_SHARE = 0.5
 
@@ -62,7 +64,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                     if lang not in sums:
                         sums[lang] = np.zeros(FEATURES, np.int64)
                     sums[lang] += np.bincount(f, minlength=FEATURES)
-            if len(sums) > MAX_LANGUAGES:
+            if len(sums) > HELD_LANGUAGES:
                 yield from flush(sums)
                 sums = {}
         yield from flush(sums)
@@ -76,37 +78,52 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_languages(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their smoothed trigram probabilities, one row each, learned from lang and text alone."""
-    counts = trigram_counts(docs.filter("lang IS NOT NULL"))
-    names = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    model = np.full((len(names), FEATURES), smoothing)
-    if names:
-        where = F.create_map(*(F.lit(x) for p in ((n, i) for i, n in enumerate(names)) for x in p))[F.col("lang")]
-        got = counts.select(where.alias("row"), "feature", "n").toArrow().to_pandas()  # languages x features at most
-        model[got["row"].to_numpy(int), got["feature"].to_numpy(int)] += got["n"].to_numpy(float)
-    return names, model / model.sum(axis=1, keepdims=True)
-
-
-def _proportions(weight: np.ndarray, p: np.ndarray, starts: np.ndarray, allowed: np.ndarray, steps: int = 40, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Languages in order, and their smoothed trigram probabilities, one row each, learned from lang and text alone.
+
+    One pass over the texts. The model has 128 kB for each language, however many texts there are; there is no limit on
+    languages but a worker's memory.
+    """
+    got = trigram_counts(docs.filter("lang IS NOT NULL")).toArrow()  # languages x features rows at most
+    names, row = np.unique(np.array(got.column("lang").to_pylist(), object), return_inverse=True) if len(got) else ([], [])
+    counts = np.zeros((len(names), FEATURES), np.float32)
+    counts[row, got.column("feature").to_numpy()] = got.column("n").to_numpy()
+    return list(names), ((counts + smoothing) / (counts.sum(axis=1, keepdims=True, dtype=float) + smoothing * FEATURES)).astype(np.float32)
+
+
+def _proportions(weight: np.ndarray, p: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, need: np.ndarray | None = None, steps: int = 40, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """EM for many documents at once: proportions of the allowed languages, and log-likelihoods.
 
-    weight: count of each (document, feature), p: its probability in each language; starts: where each document begins.
+    weight: count of each (document, feature), p: its probability in each language; sizes: features of each document.
+    The likelihood is concave, so its gradient at any proportions bounds its maximum. A document whose bound is not above
+    `need` is given up with a likelihood of -inf; one whose proportions stand still is done.
     """
-    sizes = np.diff(np.append(starts, len(weight)))
-    total = np.add.reduceat(weight, starts)[:, None]
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(steps):
-        joint = p * np.repeat(share, sizes, axis=0)
-        mixed = joint.sum(axis=1)
-        new = np.add.reduceat(joint * (weight / mixed)[:, None], starts) / total
-        done = np.abs(new - share).max() < tol
-        share = new
-        if done:
+    shares, likelihood = share.copy(), np.full(len(sizes), -np.inf)
+    live = np.arange(len(sizes))
+    for step in range(steps + 1):
+        starts = np.cumsum(sizes) - sizes
+        total = np.add.reduceat(weight, starts)
+        mixed = (p * np.repeat(share, sizes, axis=0)).sum(axis=1)
+        slope = np.add.reduceat(p * (weight / mixed)[:, None], starts) * (allowed[live] > 0)
+        new = share * slope / total[:, None]
+        done = (np.abs(new - share).max(axis=1) < tol) | (step == steps)
+        lost = np.zeros(len(live), bool)
+        if need is not None and step % 4 == 0:
+            lost = np.add.reduceat(weight * np.log(mixed), starts) + slope.max(axis=1) - total <= need[live]
+        over = done & ~lost
+        shares[live[over]] = new[over]
+        if over.any():
+            rows = np.repeat(over, sizes)
+            fit = np.log((p[rows] * np.repeat(new[over], sizes[over], axis=0)).sum(axis=1))
+            likelihood[live[over]] = np.add.reduceat(weight[rows] * fit, np.cumsum(sizes[over]) - sizes[over])
+        stay = ~(done | lost)
+        if not stay.any():
             break
-    mixed = (p * np.repeat(share, sizes, axis=0)).sum(axis=1)
-    return share, np.add.reduceat(weight * np.log(mixed), starts)
+        if not stay.all():
+            rows = np.repeat(stay, sizes)
+            weight, p, sizes, live, new = weight[rows], p[rows], sizes[stay], live[stay], new[stay]
+        share = new
+    return shares, likelihood
 
 
 def infer(texts: list[str | None], model: np.ndarray, penalty: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -116,52 +133,66 @@ def infer(texts: list[str | None], model: np.ndarray, penalty: float = 0.5) -> t
     log of the trigram count for each language in it; each further language must be worth that. Where all languages
     together aren't worth one more than the best single one, no set between is, and none is fitted.
     """
-    found = [trigram_features(x) for x in texts]
-    has = np.array([len(f) > 0 for f in found], bool)
-    out = np.zeros((len(texts), len(model)))
-    if not has.any() or not len(model):
-        return out, has
-    own = [np.unique(f, return_counts=True) for f in found if len(f)]
-    starts = np.concatenate([[0], np.cumsum([len(f) for f, _ in own])[:-1]])
-    weight = np.concatenate([c for _, c in own]).astype(float)
-    p = model.T[np.concatenate([f for f, _ in own])]
-    n = np.add.reduceat(weight, starts)
-    cost = penalty * np.log(n + 1)
+    out, has = np.zeros((len(texts), len(model))), np.zeros(len(texts), bool)
+    held: list[tuple] = []
+    cells = 0
+
+    def flush():
+        at, features, counts = zip(*held)
+        has[list(at)] = True
+        if len(model):
+            out[list(at)] = _mixtures(features, counts, model, penalty)
+        held.clear()
+
+    for i, text in enumerate(texts):
+        if len(found := trigram_features(text)):
+            held.append((i, *np.unique(found, return_counts=True)))
+            cells += len(held[-1][1]) * max(1, len(model))
+        if cells > CELLS:
+            flush()
+            cells = 0
+    if held:
+        flush()
+    return out, has
+
+
+def _mixtures(features: Sequence[np.ndarray], counts: Sequence[np.ndarray], model: np.ndarray, penalty: float) -> np.ndarray:
+    sizes = np.array([len(f) for f in features])
+    starts = np.cumsum(sizes) - sizes
+    weight = np.concatenate(counts).astype(float)
+    p = model[:, np.concatenate(features)].T.astype(float)
+    cost = penalty * np.log(np.add.reduceat(weight, starts) + 1)
     single = np.add.reduceat(weight[:, None] * np.log(p), starts)
     best = single.argmax(axis=1)
     score = single.max(axis=1) - cost
     share = np.zeros_like(single)
     share[np.arange(len(best)), best] = 1
-    full, top = _proportions(weight, p, starts, np.ones_like(single))
-    sizes = np.diff(np.append(starts, len(weight)))
+    if len(model) == 1:
+        return share
+    full, top = _proportions(weight, p, sizes, np.ones_like(single), score + 2 * cost)
     for k in range(2, len(model) + 1):
         open_ = np.flatnonzero(top - k * cost > score)
         if not len(open_):
             break
         rows = np.repeat(np.isin(np.arange(len(sizes)), open_), sizes)
-        begin = np.concatenate([[0], np.cumsum(sizes[open_])[:-1]])
         allowed = (np.argsort(np.argsort(-full[open_], axis=1, kind="stable"), axis=1) < k).astype(float)
-        part, fit = _proportions(weight[rows], p[rows], begin, allowed)
+        part, fit = _proportions(weight[rows], p[rows], sizes[open_], allowed)
         won = fit - k * cost[open_] > score[open_]
         share[open_[won]], score[open_[won]] = part[won], (fit - k * cost[open_])[won]
-    out[has] = share
-    return out, has
+    return share
 
 
 def predictor(languages: list[str], model: np.ndarray) -> Callable[[Column], Column]:
     """text -> struct(lang_pred, score): the language with the largest share and that share; `und` and 0 without letters."""
+    names = np.array([*languages, "und"], object)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        parts = []
-        for at in range(0, len(texts), 128):
-            share, has = infer(list(texts[at : at + 128]), model)
-            if not languages:
-                parts.append(pd.DataFrame({"lang_pred": ["und"] * len(has), "score": 0.0}))
-                continue
-            best = share.argmax(axis=1)
-            parts.append(pd.DataFrame({"lang_pred": [languages[i] if h else "und" for i, h in zip(best, has)], "score": np.where(has, np.minimum(share.max(axis=1), 1.0), 0.0)}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
+        share, has = infer(list(texts), model)
+        if not languages:
+            return pd.DataFrame({"lang_pred": ["und"] * len(has), "score": np.zeros(len(has))})
+        best = np.where(has, share.argmax(axis=1), len(languages))
+        return pd.DataFrame({"lang_pred": names[best], "score": np.where(has, np.minimum(share.max(axis=1), 1.0), 0.0)})
 
     return predict
 
