@@ -83,6 +83,15 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return [next(n for k in range(1, len(taken) + 2) if (n := "_" * k + name) not in taken) for name in names]
 
 
+#: Rows of a few numbers that are broadcast at most; a hashed row takes about 70 bytes of each executor.
+BROADCAST_ROWS = 1 << 19
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A work table of a few numbers a row, to be broadcast if it has BROADCAST_ROWS rows at most; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of an id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, spare
+from .common import checked, materialize, spare
 
 #: Slots of the repeating pattern, which serves weights that are whole multiples of 1 / SLOTS.
 SLOTS = 4096
@@ -183,6 +183,6 @@ def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source",
     """
     plan = mix(docs.filter(F.col(key).isNotNull()), weights, source, key, **options)
     of, position = spare(docs, "of", "position")
-    places = plan.groupBy(F.col(key).alias(of)).agg(F.min("position").alias(position))
-    joined = docs.join(places, docs[key].cast("long") == F.col(of), "left").withColumn(position, F.coalesce(position, F.lit(2**62)))
+    places = materialize(plan.groupBy(F.col(key).alias(of)).agg(F.min("position").alias(position)), "mix-places")
+    joined = docs.join(checked(places), docs[key].cast("long") == F.col(of), "left").withColumn(position, F.coalesce(position, F.lit(2**62)))
     return joined.repartitionByRange(position).sortWithinPartitions(position).select(*(F.col(f"`{c}`") for c in docs.columns))
