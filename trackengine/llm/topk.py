@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,20 +13,29 @@ from .common import bounded_batches, materialize
 
 #: Candidates and queries of a block, about; queries that share a score array.
 CANDIDATES, QUERIES, TOGETHER = 8192, 2048, 64
-#: Scaled components beyond this could overflow a long score: such vectors take no part.
-LARGEST = 1 << 27
 SCALE = 64
+#: Vectors with a scaled component of this size or more are compared apart, so that they don't slow the others down.
+LARGE = 1 << 24
+MOST = 2**63 - 1
+
+
+def usable(embedding: Column) -> Column:
+    """The components as doubles; null where the vector or a component is null or not finite."""
+    ok = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.when(embedding.isNotNull() & ok, F.transform(embedding, lambda x: x.cast("double")))
 
 
-def scaled(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as long; null where the vector or a component is null or not finite."""
-    ok = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LARGEST))
-    return F.when(embedding.isNotNull() & ok, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+def scaled(vectors: np.ndarray, bound: float, scale: int = SCALE) -> np.ndarray:
+    """floor(scale * x) exactly: as 32- or 64-bit numbers where scores up to `bound` fit them, else as Python's."""
+    if bound < 2**62:
+        return np.floor(vectors * scale).astype(np.int32 if bound < 2**31 else np.int64)
+    whole = [math.floor(x * scale) if abs(x) < 2**53 else int(x) * scale for x in vectors.ravel().tolist()]
+    return np.array(whole, object).reshape(vectors.shape)
 
 
 def _matrix(rows) -> np.ndarray:
     n = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), n), np.int64)
+    out = np.zeros((len(rows), n))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
@@ -38,13 +49,14 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
     """
     terms = min(queries.shape[1], candidates.shape[1])
     n = len(candidates)
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(1, terms)
-    kind = np.int32 if bound < 2**31 else np.int64
-    weights = np.ascontiguousarray(candidates[:, :terms].T.astype(kind))
+    bound = (float(np.abs(queries).max(initial=0)) * SCALE + 1) * (float(np.abs(candidates).max(initial=0)) * SCALE + 1) * max(1, terms)
+    queries, candidates = scaled(queries, bound), scaled(candidates, bound)
+    kind = candidates.dtype
+    weights = np.ascontiguousarray(candidates[:, :terms].T)
     postings = [np.flatnonzero(w) for w in weights]
     out = []
     for at in range(0, len(queries), TOGETHER):
-        part = queries[at : at + TOGETHER].astype(kind)
+        part = queries[at : at + TOGETHER]
         score = np.zeros((len(part), n), kind)
         for t in range(terms):
             with_t = np.flatnonzero(part[:, t])
@@ -56,17 +68,18 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
             else:
                 score[np.ix_(with_t, where)] += part[with_t, t, None] * weights[t][where][None]
         own = query_ids[at : at + TOGETHER, None] == ids[None]
-        kept = n - own.sum(axis=1)
-        rank = np.where(own, np.iinfo(np.int64).min, score.astype(np.int64) * (1 << 14) - np.arange(n)) if bound < 2**48 and n <= 1 << 14 else None
         m = min(k + int(own.sum(axis=1).max(initial=0)), n)
-        if rank is not None:
+        if bound < 2**48 and n <= 1 << 14:
+            rank = np.where(own, np.iinfo(np.int64).min, score.astype(np.int64) * (1 << 14) - np.arange(n))
             best = np.argpartition(rank, n - m, axis=1)[:, n - m :]
+        elif kind == object:
+            score = np.clip(score, -MOST, MOST).astype(np.int64)
+            best = np.stack([np.lexsort((np.arange(n), -s, o))[:m] for s, o in zip(score, own)])
         else:
             best = np.stack([np.lexsort((np.arange(n), -s.astype(np.int64), o))[:m] for s, o in zip(score, own)])
         q, c = np.repeat(np.arange(len(part)), m), best.ravel()
         ok = ~own[q, c]
         out.append((q[ok] + at, c[ok], score[q[ok], c[ok]].astype(np.int64)))
-        del kept
     return out
 
 
@@ -74,23 +87,24 @@ def _pair(key, queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Da
     if not len(queries) or not len(candidates):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
     candidates = candidates.sort_values("vec_id", kind="stable")
-    ids, qids = candidates.vec_id.to_numpy(), queries.vec_id.to_numpy()
-    found = block_top(_matrix(queries.terms.tolist()), qids, _matrix(candidates.terms.tolist()), ids, k)
-    q, c, s = (np.concatenate(x) for x in zip(*found))
-    return pd.DataFrame({"query_id": qids[q], "vec_id": ids[c], "score": s})
+    sides = [(pdf.vec_id.to_numpy(), _matrix(pdf.terms.tolist())) for pdf in (queries, candidates)]
+    parts = [[(i[some], x[some]) for some in (large, ~large) if some.any()] for i, x in sides for large in [np.abs(x).max(axis=1, initial=0) * SCALE >= LARGE]]
+    found = [(qids[q], ids[c], s) for qids, x in parts[0] for ids, y in parts[1] for q, c, s in block_top(x, qids, y, ids, k)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found)))))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` holds for, the k other rows of highest inner product.
 
-    Vectors are scaled() to whole numbers; ties go to the smaller id. Every query meets every candidate, in blocks: a task
+    Components are scaled to whole numbers, floor(64 x); ties go to the smaller id. Every query meets every candidate, in blocks: a task
     accumulates the scores of one block of queries over one block of candidates and passes on k rows a query, and the
-    blocks' rows are merged by rank. Rows with a null id, and vectors that are null, hold null or non-finite components,
-    or exceed LARGEST when scaled, take no part; shorter vectors have zeros behind. A row is no candidate of a query with
+    blocks' rows are merged by rank. Rows with a null id, and vectors that are null or hold null or non-finite components,
+    take no part; shorter vectors have zeros behind. Scores are exact whatever the components' size; those that no long
+    holds are given as the largest or smallest one and tie there. A row is no candidate of a query with
     the same id; rows that repeat an id count each. An empty table or no query gives no rows.
     """
     bounded_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), scaled(F.col(embedding)).alias("terms"), queries.alias("asks")).filter("vec_id IS NOT NULL AND terms IS NOT NULL")
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), usable(F.col(embedding)).alias("terms"), queries.alias("asks")).filter("vec_id IS NOT NULL AND terms IS NOT NULL")
     rows = materialize(rows, "terms")
     n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
