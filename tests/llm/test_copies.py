@@ -225,3 +225,12 @@ def test_sorted_rows_in_chunks(monkeypatch):
         assert [g[3] for g in got] == [i + 1 < len(rows) and rows[i + 1][0] == r[0] for i, r in enumerate(rows)]
         assert [i for i, g in enumerate(got) if g[4]] == [0, len(rows) - 1]
     assert list(suffix._beside(iter(()), ["k"], [])) == []
+
+
+def test_vectors_that_share_an_id_are_apart(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("_lost", common.F.lit(0))
+    got = sorted(tuple(r) for r in embed.embedding_groups(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    kept = embed.embedding_dedup(df)
+    assert kept.columns == df.columns and sorted(r.vec_id for r in kept.collect()) == [1, 1, 4]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import bounded_batches, materialize, spare
 from .components import connected_components
 from .simhash import _Forest
 
@@ -115,11 +115,12 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, key: str
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("v"))
     good = rows.filter(_usable("v", "label") & F.col("vec_id").isNotNull()).withColumn("label", F.concat_ws("/", F.size("v").cast("string"), "label"))
-    reps = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    reps = good.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # a number, since vectors may share an id
     n = reps.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = [r.v for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
+    sample = [r.v for r in reps.orderBy(F.xxhash64("low"), "low", "v").limit(SAMPLE).select("v").collect()]
     centroids = spherical_kmeans(unit_rows(_filled(sample)), min(MAX_CELLS, -(-n // cell_rows)))
     placed = materialize(_cells(reps, centroids, threshold), "cells")
     sizes = placed.groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -135,13 +136,15 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, key: str
     counts = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     groups = connected_components(found.filter("n = 0").select(F.col("a").alias("u"), F.col("b").alias("v")), "vector-links")
     about = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    linked = good.join(about, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
+    about = about.select(F.col("label").alias("l"), F.col("v").alias("w"), "low", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    about = about.join(about.groupBy("c").agg(F.min("low").alias("component_id")), "c")
+    linked = good.join(about, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("vec_id", F.col("n").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     rest = rows.filter(~_usable("v", "label") | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(rest)
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", **columns) -> DataFrame:
     """The rows of vectors but those whose group has a smaller id; rows with a null id stay."""
-    lost = embedding_groups(vectors, threshold, key, **columns).filter("NOT kept").select(F.col("vec_id").alias("__lost")).distinct()
-    return vectors.join(lost, vectors[key] == F.col("__lost"), "left_anti")
+    (lost,) = spare(vectors, "lost")
+    gone = embedding_groups(vectors, threshold, key, **columns).filter("NOT kept").select(F.col("vec_id").alias(lost)).distinct()
+    return vectors.join(gone, vectors[key].cast("long") == F.col(lost), "left_anti")
