@@ -28,60 +28,88 @@ class Distribution:
         return {"Name": self.name, "Parameters": p if isinstance(p, dict) else list(p), "Distributions": [d.to_json() for d in self.parts] or None}
 
 
-def _each(f):
-    return lambda x: np.array([f(float(v)) for v in np.atleast_1d(x)])
+def _lgamma(x) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def _ln(x: float) -> float:
     return math.log(x) if x > 0 else -INF
 
 
-def _whole(x: float) -> bool:
-    return x >= 0 and x == math.floor(x)
+def _times_ln(x: np.ndarray, p: float) -> np.ndarray:
+    """x ln(p), nothing where x is 0."""
+    return np.where(x > 0, np.where(x > 0, x, 1.0) * _ln(p), 0.0)
 
 
-def _negative_binomial(x: float, size: float, prob: float) -> float:
-    x = round(x)
-    return math.lgamma(x + size) - math.lgamma(size) - math.lgamma(x + 1) + size * _ln(prob) + (x * _ln(1 - prob) if x else 0.0) if x >= 0 else -INF
+def _on(f, there):
+    """f where `there` holds, -inf elsewhere; NaN stays NaN."""
+
+    def run(x):
+        x = np.atleast_1d(np.asarray(x, float))
+        ok = there(x)
+        out = np.where(np.isnan(x), np.nan, -INF)
+        if ok.any():
+            out[ok] = f(x[ok])
+        return out
+
+    return run
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return (x >= 0) & (x == np.floor(x))
+
+
+def _negative_binomial(x: np.ndarray, size, prob: float) -> np.ndarray:
+    return _lgamma(x + size) - _lgamma(size) - _lgamma(x + 1) + size * _ln(prob) + _times_ln(x, 1 - prob)
+
+
+def _steps(d: Distribution):
+    """A step function: edges X, log densities Y; the last step is as wide as the one before it, a single one 1 wide."""
+    edges, logs = (np.asarray(d.parameters[k], float) for k in ("X", "Y"))
+    end = edges[-1] + (edges[-1] - edges[-2] if len(edges) > 1 else 1.0)
+    return _on(lambda x: logs[np.searchsorted(edges, x, side="right") - 1], lambda x: (x >= edges[0]) & (x < end))
 
 
 def log_density(d: Distribution):
     """The log density as a function of an array of numbers. The names are those of the model documents."""
     kind, p = d.name.split(":")[-1], d.parameters
     if kind == "delta distribution":
-        return _each(lambda x: 0.0 if x == p[0] else -INF)
+        return _on(np.zeros_like, lambda x: x == p[0])
     if kind == "poisson distribution":
-        return _each(lambda x: x * _ln(p[0]) - p[0] - math.lgamma(x + 1) if _whole(x) else -INF)
+        return _on(lambda x: _times_ln(x, p[0]) - p[0] - _lgamma(x + 1), _whole)
     if kind == "geometric distribution":
-        return _each(lambda x: _ln(p[0]) + (x * _ln(1 - p[0]) if x else 0.0) if _whole(x) else -INF)
+        return _on(lambda x: _ln(p[0]) + _times_ln(x, 1 - p[0]), _whole)
     if kind == "exponential distribution":
-        return _each(lambda x: _ln(p[0]) - p[0] * x if x >= 0 else -INF)
+        return _on(lambda x: _ln(p[0]) - p[0] * x, lambda x: x >= 0)
     if kind == "gamma distribution":
-        return _each(lambda x: p[0] * _ln(p[1]) - math.lgamma(p[0]) + (p[0] - 1) * _ln(x) - p[1] * x if x > 0 else -INF)
+        return _on(lambda x: p[0] * _ln(p[1]) - math.lgamma(p[0]) + (p[0] - 1) * np.log(x) - p[1] * x, lambda x: x > 0)
     if kind == "beta distribution":
-        return _each(lambda x: math.lgamma(p[0] + p[1]) - math.lgamma(p[0]) - math.lgamma(p[1]) + (p[0] - 1) * _ln(x) + (p[1] - 1) * _ln(1 - x) if 0 < x < 1 else -INF)
+        return _on(lambda x: math.lgamma(p[0] + p[1]) - math.lgamma(p[0]) - math.lgamma(p[1]) + (p[0] - 1) * np.log(x) + (p[1] - 1) * np.log1p(-x), lambda x: (x > 0) & (x < 1))
     if kind == "normal distribution":
-        return _each(lambda x: -0.5 * ((x - p[0]) / p[1]) ** 2 - math.log(p[1]) - 0.5 * math.log(2 * math.pi))
+        return _on(lambda x: -0.5 * ((x - p[0]) / p[1]) ** 2 - math.log(p[1]) - 0.5 * math.log(2 * math.pi), np.isfinite)
     if kind == "categorical distribution":
-        return _each(lambda x: _ln(p[int(x) - 1]) if 1 <= x <= len(p) and x == int(x) else -INF)
+        logs = np.array([_ln(w) for w in p])
+        return _on(lambda x: logs[x.astype(int) - 1], lambda x: (x >= 1) & (x <= len(p)) & (x == np.floor(x)))
     if kind == "negative binomial distribution":
-        return _each(lambda x: _negative_binomial(x, p[0], 1 - p[1]))
+        return _on(lambda x: _negative_binomial(np.round(x), p[0], 1 - p[1]), lambda x: np.round(x) >= 0)
+    if kind == "nonparametric distribution":
+        return _steps(d)
     if kind == "pdf translation":
         inner = log_density(d.parts[0])
         return lambda x: inner(np.atleast_1d(x) + p[0])
     if kind == "pdf log transform":
         inner = log_density(d.parts[0])
-        return lambda x: inner(np.log(np.atleast_1d(x) + p[0])) - np.log(np.atleast_1d(x) + p[0])
+        return _on(lambda x: inner(np.log(x + p[0])) - np.log(x + p[0]), lambda x: x + p[0] > 0)
     if kind == "mixture distribution":
         inner = [log_density(c) for c in d.parts]
         return lambda x: np.logaddexp.reduce([f(x) + _ln(w) for f, w in zip(inner, p)])
-    raise ValueError(f"unknown distribution {d.name!r}")
+    raise ValueError(f"no density of one number is known for {d.name!r}")
 
 
 def negative_binomial_r_log_density(d: Distribution):
     """The variant whose size is the second number of each observation: log density of (count, size) rows."""
     p = d.parameters
-    return lambda rows: np.array([_negative_binomial(x + p[1], r, 1 - p[0]) for x, r in rows])
+    return lambda rows: np.array([float(_negative_binomial(np.array([round(x + p[1])], float), r, 1 - p[0])[0]) if round(x + p[1]) >= 0 else -INF for x, r in rows])
 
 
 def mean(d: Distribution):

@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,10 +142,12 @@ def fit_mixture(x, n, start: Distribution, eps: float = 1e-8, max_steps: int | N
     weights, parts = np.array(start.parameters, float), list(start.parts)
     share, before, steps = n / n.sum(), -INF, 0
     while True:
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             logs = np.array([log_density(p)(x) for p in parts]) + np.log(weights)[:, None]
-        total = np.logaddexp.reduce(logs)
+            total = np.logaddexp.reduce(logs)
         now = float((share * np.where(share > 0, total, 0)).sum())
+        if math.isnan(now):
+            raise ValueError("the likelihood of the mixture is not a number")
         if now - before < eps or (max_steps is not None and steps >= max_steps):
             break
         resp = np.exp(logs - np.where(np.isfinite(total), total, 0)) * share
@@ -184,19 +187,20 @@ def fit_track(df: DataFrame, start: Distribution, value: str = "value", **option
 def posterior(df: DataFrame, model: Distribution, components: list[int], value: str = "value") -> DataFrame:
     """df with log_posterior: log probability that a value comes from one of the components (numbers from 0).
 
-    Densities are evaluated once for each distinct value and joined back, not once for each row.
+    Rows stay where they are; of each batch, the densities are evaluated once for each distinct value. NaN and null values,
+    and those that no component has, give NaN.
     """
-    xs = df.select(F.col(value).alias("x__")).filter(~F.isnan("x__")).distinct()
+    densities, weights = [log_density(p) for p in model.parts], np.array(model.parameters, float)
 
-    def run(frames):
-        for pdf in frames:
-            x = pdf["x__"].to_numpy(float)
-            with np.errstate(divide="ignore"):
-                logs = np.array([log_density(p)(x) for p in model.parts]).reshape(len(model.parts), -1) + np.log(np.array(model.parameters))[:, None]
-            yield pdf.assign(log_posterior=np.logaddexp.reduce(logs[components], axis=0) - np.logaddexp.reduce(logs, axis=0))
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        x, at = np.unique(values.to_numpy(float, na_value=np.nan), return_inverse=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = np.array([f(x) for f in densities]).reshape(len(densities), -1) + np.log(weights)[:, None]
+            out = np.logaddexp.reduce(logs[components], axis=0) - np.logaddexp.reduce(logs, axis=0)
+        return pd.Series(out[at])
 
-    table = xs.mapInPandas(run, "x__ double, log_posterior double")
-    return df.join(table, df[value] == F.col("x__"), "left").drop("x__").withColumn("log_posterior", F.coalesce("log_posterior", F.lit(float("nan"))))
+    return df.withColumn("log_posterior", F.coalesce(run(value), F.lit(float("nan"))))
 
 
 # Vectors and coordinates ------------------------------------------------------
@@ -212,6 +216,22 @@ def coordinate_histograms(df: DataFrame, v: str = "v") -> DataFrame:
     return value_histogram(df.select(F.posexplode(v).alias("i", "value")), "value", "i")
 
 
+def matrix_values(df: DataFrame, m: str = "m") -> DataFrame:
+    """(value): all elements of all matrices, as observations of one distribution."""
+    return df.select(F.explode(F.flatten(m)).alias("value"))
+
+
+def matrix_row_histograms(df: DataFrame, m: str = "m") -> DataFrame:
+    """(i, x, n): the histogram of each row (track) of matrices with one number of rows."""
+    rows = df.select(F.posexplode(m).alias("i", "row")).select("i", F.explode("row").alias("value"))
+    return value_histogram(rows, "value", "i")
+
+
+def fit_tracks(tracks: list[DataFrame], start: Distribution, value: str = "value", **options) -> list[Fit]:
+    """A mixture for each of several tracks, fitted to its histogram."""
+    return [fit_track(t, start, value, **options) for t in tracks]
+
+
 def fit_coordinates(df: DataFrame, start: Distribution, v: str = "v", **options) -> list[Fit]:
     """A mixture for each coordinate, fitted to its histogram."""
     hist = coordinate_histograms(df, v).toArrow().to_pandas().sort_values(["i", "x"])

@@ -36,13 +36,19 @@ def intersect(a: DataFrame, b: DataFrame, piece: int = PIECE) -> DataFrame:
 
 
 def without_overlapped(df: DataFrame, score: Column, key: list[str], piece: int = PIECE) -> DataFrame:
-    """Rows that no other overlapping row reaches in score; of equal ones none stays. key tells rows apart."""
+    """Rows that no other overlapping row reaches in score; of equal ones none stays. key tells rows apart.
+
+    Rows meet in the pieces that both touch. The search for a better one is a semi join, which ends at the first it finds.
+    """
     rows = df.withColumn("score__", score)
-    lean = rows.select("seqname", "from", "to", "score__", *(k for k in key if k not in ("seqname", "from", "to")))
+    lean = _pieces(rows.select("seqname", "from", "to", "score__", *(k for k in key if k not in ("seqname", "from", "to"))), piece)
+    a, b = (lean.select(*(F.col(c).alias(f"{side}_{c}") for c in lean.columns)) for side in "ab")
     other = ~F.lit(True)
     for k in key:
         other = other | ~F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
-    beaten = overlaps(lean, lean, piece).filter(other & (F.col("b_score__") >= F.col("a_score__"))).select(*(F.col(f"a_{k}").alias(k) for k in key)).distinct()
+    overlap = (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
+    meet = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_piece") == F.col("b_piece"))
+    beaten = a.join(b, meet & overlap & other & (F.col("b_score__") >= F.col("a_score__")), "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key)).distinct()
     return rows.join(beaten, key, "left_anti").drop("score__")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackengine.functions.arrays import above, offsets
 
 from .intervals import intersect, ranked, without_overlapped
-from .track import Track, wide
+from .track import Track, require_aligned, wide
 from .windows import BLOCK, passing, runs
 
 
@@ -21,7 +21,7 @@ def _extent(found: DataFrame, track: Track, wsize: int) -> DataFrame:
     if wsize > 0:
         start, limit = F.col("best_bin") * bs, F.col("nbins") * bs
         lo, hi = F.greatest(start - o1, F.lit(0)), F.least(start + o2 + 1, limit)
-        found = found.join(F.broadcast(track.genome), "seqname")
+        found = found.join(track.genome, "seqname")
     else:
         lo, hi = F.col("first") * bs - o1, (F.col("last") + 1) * bs + o2 + 1
     return found.withColumns({"from": lo.cast("int"), "to": hi.cast("int"), "strand": F.lit("*")})
@@ -49,6 +49,7 @@ def joint_peaks(tracks: list[Track], thresholds: list[float], wsize: int = 0, bl
     """Runs in which every track is above its own threshold; test has all values at the first highest sum."""
     if len(tracks) != len(thresholds):
         raise ValueError("a threshold is needed for each track")
+    require_aligned(tracks, every=False)
     found = runs(wide(tracks).filter(_all_above(thresholds)), _sum(len(tracks)), block)
     found = _extent(found, tracks[0], wsize)
     return ranked(found.select("seqname", "from", "to", "strand", F.col("best_row.v").alias("test")))
@@ -74,7 +75,7 @@ def predictions(tracks: list[Track], thresholds: list[float], wsize: int) -> Dat
         raise ValueError("a threshold is needed for each track")
     o1, o2 = offsets(wsize)
     bs = tracks[0].bin_size
-    rows = wide(tracks).filter(_all_above(thresholds)).join(F.broadcast(tracks[0].genome), "seqname")
+    rows = wide(tracks).filter(_all_above(thresholds)).join(tracks[0].genome, "seqname")
     lo, hi = F.greatest(F.col("bin") * bs - o1, F.lit(0)), F.least(F.col("bin") * bs + o2 + 1, F.col("nbins") * bs)
     rows = rows.select("seqname", lo.cast("int").alias("from"), hi.cast("int").alias("to"), F.lit("*").alias("strand"), F.col("v").alias("test"), "bin")
     total = reduce(lambda a, b: a + b, (F.get("test", F.lit(i)) for i in range(len(tracks))))

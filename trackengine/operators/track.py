@@ -35,9 +35,15 @@ class Track:
         return replace(self, df=self.df.filter(keep), genome=self.genome.filter(keep))
 
 
+#: Bins that one row of the spine stands for before they are dealt out.
+SPINE_BLOCK = 65_536
+
+
 def spine(genome: DataFrame) -> DataFrame:
-    """(seqname, bin): all bins of all sequences."""
-    return genome.filter("nbins > 0").select("seqname", F.explode(F.sequence(F.lit(0), F.col("nbins").cast("int") - 1)).alias("bin"))
+    """(seqname, bin): all bins of all sequences, by way of their blocks, so that no row holds a long sequence."""
+    blocks = genome.filter("nbins > 0").select("seqname", "nbins", F.explode(F.sequence(F.lit(0), F.expr(f"cast((nbins - 1) div {SPINE_BLOCK} as int)"))).alias("blk"))
+    first = F.col("blk") * SPINE_BLOCK
+    return blocks.select("seqname", F.explode(F.sequence(first, F.least(first + SPINE_BLOCK, F.col("nbins").cast("int")) - 1)).alias("bin"))
 
 
 def bin_signal(signal: DataFrame, genome: DataFrame, bin_size: int = 1, summary: str = "mean", overlap: int = 0, init: float = 0.0, digits: int | None = None) -> Track:
@@ -63,10 +69,10 @@ def bin_signal(signal: DataFrame, genome: DataFrame, bin_size: int = 1, summary:
     return Track(both.filter(F.col("in") == 1).select(*KEYS, F.when(F.col("n").isNotNull(), value).otherwise(F.lit(float(init))).alias("value")), genome, bin_size, init)
 
 
-def rebin(track: Track, factor: int, summary: str = "mean") -> Track:
-    """Bins of `factor` bins each (a zoom level)."""
+def rebin(track: Track, factor: int, summary: str = "mean", overlap: int = 0) -> Track:
+    """Bins of `factor` bins each (a zoom level), whose summaries take in `overlap` such bins on both sides."""
     genome = track.genome.select("seqname", F.ceil(F.col("nbins") / factor).cast("int").alias("nbins"))
-    coarse = bin_signal(track.df.select("seqname", F.col("bin").alias("pos"), "value"), genome, factor, summary, init=track.init)
+    coarse = bin_signal(track.df.select("seqname", F.col("bin").alias("pos"), "value"), genome, factor, summary, overlap, init=track.init)
     return replace(coarse, bin_size=track.bin_size * factor)
 
 
@@ -80,8 +86,10 @@ def combine(tracks: list[Track], f: Callable[..., Column]) -> Track:
 def require_aligned(tracks: list[Track], every: bool = True) -> None:
     """An error where a sequence has different lengths in two tracks, or is not in all of them if every is set.
 
-    Genomes have a row for each sequence, so this reads no bins.
+    Genomes have a row for each sequence, so this reads no bins, and nothing at all where all tracks have one genome.
     """
+    if all(t.genome is tracks[0].genome for t in tracks):
+        return
     lengths = None
     for i, t in enumerate(tracks):
         part = t.genome.select("seqname", F.col("nbins").alias("n"), F.lit(i).alias("i"))
@@ -122,6 +130,7 @@ def region_vectors(track: Track, regions: DataFrame, key: str = "region_id") ->
 
 def region_matrices(tracks: list[Track], regions: DataFrame, key: str = "region_id") -> DataFrame:
     """(key, m): a row for each track and a column for each bin of the region."""
+    require_aligned(tracks, every=False)
     rows = _bins(regions, tracks[0].bin_size, key).join(wide(tracks), KEYS)
     rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("b"))
     row = lambda i: F.transform("b", lambda x: F.get(x["v"], F.lit(i)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackengine.functions.arrays import NAN, above, offsets
 
-from .track import KEYS, Track, wide
+from .track import KEYS, Track, require_aligned, wide
 
 #: Bins of a block; rows near its borders are in two blocks.
 BLOCK = 65_536
@@ -55,12 +55,26 @@ def classify_many(tracks: list[Track], n: int, scores: list[Callable[[Column], C
     return replace(tracks[0], df=wide(parts).select(*KEYS, total.alias("value")))
 
 
+def classify_matrices(df: DataFrame, score: Callable[[Column], Column], rows: int, columns: int, transform: Callable[[Column], Column] | None = None, m: str = "m", transposed: bool = False) -> DataFrame:
+    """df with score: that of each matrix (an array of `rows` rows of `columns` numbers); another size is an error."""
+    from trackengine.functions.arrays import transpose
+
+    fits = (F.size(m) == rows) & F.forall(m, lambda r: F.size(r) == columns)
+    checked = F.when(fits, F.col(m)).otherwise(F.raise_error(F.lit(f"a matrix is not {rows} by {columns}")).cast(df.schema[m].dataType))
+    matrix = transpose(checked) if transposed else checked
+    return df.withColumn("score", score(transform(matrix) if transform else matrix))
+
+
 def classify_multi(tracks: list[Track], n: int, score: Callable[[Column], Column], transposed: bool = False, block: int = BLOCK) -> Track | None:
-    """The score of each window over all tracks: a matrix of tracks by bins, or bins by tracks if transposed."""
+    """The score of each window over all tracks: a matrix of tracks by bins, or bins by tracks if transposed.
+
+    Sequences that a track lacks are left out; one that has different lengths is an error.
+    """
     from trackengine.functions.arrays import transpose
 
     if not tracks:
         return None
+    require_aligned(tracks, every=False)
     left, right = offsets(n)
     rows = frames(wide(tracks), left, right, "v", block)
     matrix = F.col("win") if transposed else transpose(F.col("win"))
@@ -78,6 +92,7 @@ def hopping(track: Track, n: int, step: int = 0, block: int = BLOCK) -> DataFram
 
 def hopping_multi(tracks: list[Track], n: int, step: int = 0, block: int = BLOCK) -> DataFrame:
     """(seqname, bin, win) over aligned tracks: centred windows at every step-th bin from the first whole one; NaN stays."""
+    require_aligned(tracks, every=False)
     step = step if step > 0 else n
     left, right = offsets(n)
     rows = frames(wide(tracks), left, right, "v", block).join(tracks[0].genome, "seqname")
@@ -86,7 +101,10 @@ def hopping_multi(tracks: list[Track], n: int, step: int = 0, block: int = BLOCK
 
 
 def classify_sequences(track: Track, f: Callable, transform: Callable | None = None) -> Track:
-    """f on the whole value vector of each sequence (a numpy array), giving one of equal length."""
+    """f on the whole value vector of each sequence (a numpy array), giving one of equal length.
+
+    f may look at any bin, so a sequence is one task's; what can be told from blocks belongs into frames() or runs().
+    """
 
     def run(pdf):
         pdf = pdf.sort_values("bin")
@@ -103,6 +121,8 @@ def classify_sequences_multi(tracks: list[Track], f: Callable, transposed: bool
     """f on the matrix of whole sequences (tracks by bins, or bins by tracks if transposed), giving a value for each bin."""
     import numpy as np
 
+    require_aligned(tracks, every=False)
+
     def run(pdf):
         pdf = pdf.sort_values("bin")
         m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)

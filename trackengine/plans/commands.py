@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from trackengine.config import SessionConfig, dump_json, parse_json
 from trackengine.functions.distributions import REGISTRY, Distribution
 from trackengine.operators import estimate
-from trackengine.operators.track import KEYS, Track, rebin
+from trackengine.operators.peaks import joint_peaks
+from trackengine.operators.track import KEYS, Track, rebin, require_aligned
 from trackengine.operators.windows import hopping
-from trackengine.sources.bed import write_track
+from trackengine.sources.bed import track_sizes, write_track
 
 from . import peakcaller
 
@@ -33,12 +34,29 @@ def _session(config: SessionConfig) -> SparkSession:
 
 def read_track(config: SessionConfig, path: str, names: list[str] | None = None) -> Track:
     """A track from Parquet; sequences are chosen before files are read, and a bin size makes bins of as many."""
-    df = _session(config).read.parquet(path)
+    spark = _session(config)
+    df, sizes = spark.read.parquet(path), track_sizes(spark, path)
     if names:
-        df = df.filter(F.col("seqname").isin(names))
+        df, sizes = (x if x is None else x.filter(F.col("seqname").isin(names)) for x in (df, sizes))
     df = df.select(F.col("seqname").cast("string").alias("seqname"), F.col("bin").cast("int").alias("bin"), F.col("value").cast("double").alias("value"))
-    track = Track(df, df.groupBy("seqname").agg((F.max("bin") + 1).alias("nbins")), 1, config.track_init)
-    return rebin(track, config.bin_size, config.bin_summary) if config.bin_size > 1 else track
+    genome = df.groupBy("seqname").agg((F.max("bin") + 1).alias("nbins")) if sizes is None else sizes.select("seqname", "nbins")
+    own = 1 if sizes is None else (sizes.agg(F.max("bin_size")).first()[0] or 1)
+    track = Track(df, genome, own, config.track_init)
+    if config.bin_size in (0, own) and not config.bin_overlap:
+        return track
+    factor, left = divmod(config.bin_size or own, own)
+    if left or not factor:
+        raise ValueError(f"a track of bins of {own} can't be read in bins of {config.bin_size}")
+    return rebin(track, factor, config.bin_summary, config.bin_overlap)
+
+
+def read_tracks(config: SessionConfig, paths: list[str], names: list[str] | None = None) -> list[Track]:
+    """Several tracks. That all are there is looked up before any work starts."""
+    jvm, conf = _session(config)._jvm, _session(config)._jsc.hadoopConfiguration()
+    places = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    if missing := [p for p, at in zip(paths, places) if not at.getFileSystem(conf).exists(at)]:
+        raise FileNotFoundError(f"no such tracks: {', '.join(missing)}")
+    return [read_track(config, p, names) for p in paths]
 
 
 def _split(args: list[str]) -> tuple[dict[str, str], list[str]]:
@@ -67,15 +85,37 @@ def CallPeaks(config: SessionConfig, args: list[str]) -> DataFrame:
     """--model=M.json --model-control=C.json --components=3 --components-control=8 --threshold=0.95 OUT TRACK [CONTROL]."""
     options, (out, path, *control) = _split(args)
     parts = lambda name, default: [int(x) for x in options[name].split(",")] if name in options else default
-    score = peakcaller.score(read_track(config, path), load_model(options["model"]), parts("components", FOREGROUND["treatment"]))
+    tracks = read_tracks(config, [path, *control])
+    score = peakcaller.score(tracks[0], load_model(options["model"]), parts("components", FOREGROUND["treatment"]))
     if control:
-        other = peakcaller.score(read_track(config, control[0]), load_model(options["model-control"]), parts("components-control", FOREGROUND["control"]))
+        other = peakcaller.score(tracks[1], load_model(options["model-control"]), parts("components-control", FOREGROUND["control"]))
         score = peakcaller.treatment_against_control(score, other)
-    write_track(score.df, out)
+    write_track(score.df, out, score.genome, score.bin_size)
     saved = Track(_session(config).read.parquet(out).select(*KEYS, "value"), score.genome, score.bin_size)
     return peakcaller.peaks(saved, float(options.get("threshold", 0.95)), -1)
 
 
+def LearnModels(config: SessionConfig, args: list[str]) -> list[Distribution]:
+    """KIND OUT.json TRACK TRACK …: a model for each of several aligned tracks, as a list in one document."""
+    _, (kind, out, *paths) = _split(args)
+    start, eps = START[kind]
+    tracks = read_tracks(config, paths)
+    require_aligned(tracks, every=False)
+    models = [peakcaller.learn(t, start(), eps).model for t in tracks]
+    Path(out).write_text(dump_json([m.to_json() for m in models]))
+    return models
+
+
+def CallJointPeaks(config: SessionConfig, args: list[str]) -> DataFrame:
+    """--models=M.json --components=3 --threshold=0.95 TRACK TRACK …: peaks where all tracks' scores are above it."""
+    options, paths = _split(args)
+    tracks = read_tracks(config, paths)
+    models = [Distribution.from_json(d) for d in parse_json(Path(options["models"]).read_text())]
+    parts = [int(x) for x in options["components"].split(",")] if "components" in options else FOREGROUND["treatment"]
+    scores = [peakcaller.score(t, m, parts) for t, m in zip(tracks, models, strict=True)]
+    return joint_peaks(scores, [float(options.get("threshold", 0.95))] * len(scores), -1)
+
+
 def Estimate(config: SessionConfig, args: list[str]) -> dict:
     """NBINS TRACK OUT.json [SEQUENCE …]: an adaptive density of the values, as a document of edges and log densities."""
     _, (nbins, path, out, *names) = _split(args)

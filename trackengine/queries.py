@@ -162,9 +162,9 @@ _REGIONS = """, rg AS (
 rb AS (SELECT region_id, li.* FROM rg JOIN li ON li.seqname = rg.seqname AND li.bin >= rg."from" AND li.bin < rg."to") """
 
 
-@query(_LI + _REGIONS + ", hit AS (SELECT DISTINCT seqname, bin FROM rb WHERE region_id % 50 = 0) SELECT li.seqname, li.bin, CASE WHEN hit.bin IS NULL THEN a ELSE CAST('nan' AS DOUBLE) END AS value FROM li LEFT JOIN hit ON hit.seqname = li.seqname AND hit.bin = li.bin")
+@query(_LI + _REGIONS + ", hit AS (SELECT DISTINCT seqname, bin FROM rb) SELECT li.seqname, li.bin, CASE WHEN hit.bin IS NULL THEN a ELSE CAST('nan' AS DOUBLE) END AS value FROM li LEFT JOIN hit ON hit.seqname = li.seqname AND hit.bin = li.bin")
 def mask_regions(spark, d):
-    return T.mask(X.ship_tracks(spark, d)[0], _regions(spark, d).filter("region_id % 50 = 0")).df
+    return T.mask(X.ship_tracks(spark, d)[0], _regions(spark, d)).df
 
 
 @query(_LI + _REGIONS + "SELECT region_id, string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS v FROM rb GROUP BY 1")
@@ -641,6 +641,28 @@ def classify_sequence(spark, d):
     return W.classify_sequences(X.ship_tracks(spark, d)[0], np.maximum.accumulate).df
 
 
+def _blocks(spark, d) -> DataFrame:
+    """(id, m): the first twelve components of each vector as a matrix of three rows."""
+    v = F.col("v")
+    return _thousandths(spark, d).select("id", F.array(*(F.slice(v, i, 4) for i in (1, 5, 9))).alias("m"))
+
+
+@query(_V + "SELECT id, list_max(v[1:12]) - list_min(v[1:12]) AS score FROM v")
+def classify_matrix_data(spark, d):
+    spread = lambda m: A.slice_max(A.flatten(m)) - A.slice_min(A.flatten(m))
+    return W.classify_matrices(_blocks(spark, d), spread, 3, 4).select("id", "score")
+
+
+@query(_V + ", e AS (SELECT unnest(v[1:12]) AS x FROM v) SELECT x, count(*) AS n FROM e GROUP BY 1")
+def est_matrix_data(spark, d):
+    return E.value_histogram(E.matrix_values(_blocks(spark, d)))
+
+
+@query(_V + ", e AS (SELECT unnest(v[1:12]) AS x, unnest(range(12)) AS k FROM v) SELECT CAST(k // 4 AS INTEGER) AS i, x, count(*) AS n FROM e GROUP BY 1, 2")
+def est_matrix_rows(spark, d):
+    return E.matrix_row_histograms(_blocks(spark, d))
+
+
 # Hidden Markov models ----------------------------------------------------------------
 
 

@@ -9,8 +9,10 @@ BED9 = ["seqname", "from", "to", "name", "score", "strand", "thickStart", "thick
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are no header or comment, split at tabs; gzip goes by the file's ending."""
+    """Lines that are no header or comment, split at tabs. Gzip goes by the file's ending; gzip under another name is an error."""
     text = spark.read.text(path)
+    if bad := misnamed_gzip(text):
+        raise ValueError(f"gzip files must be named .gz: {', '.join(bad[:5])}")
     return text.filter(~F.col("value").rlike(r"^(track|browser|#)") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
 
 
@@ -47,14 +49,45 @@ def bedgraph_signal(rows: DataFrame, bin_size: int) -> DataFrame:
     return rows.filter(F.col("to") > F.col("from")).select("seqname", F.explode(F.transform(F.sequence(first, last), lambda b: b * bin_size)).alias("pos"), "value")
 
 
-def write_track(df: DataFrame, path: str) -> None:
+def write_track(df: DataFrame, path: str, genome: DataFrame | None = None, bin_size: int = 1) -> None:
     """Parquet with a folder for each sequence, so that reading some sequences reads their files only.
 
-    Ranges are over the bins too, so a long sequence is written by many tasks.
+    Ranges are over the bins too, so a long sequence is written by many tasks. The genome, if given, and the bin size are
+    kept in the folder _genome.
     """
     df.repartitionByRange("seqname", "bin").sortWithinPartitions("seqname", "bin").write.mode("overwrite").partitionBy("seqname").parquet(path)
+    if genome is not None:
+        genome.select("seqname", F.col("nbins").cast("int").alias("nbins"), F.lit(bin_size).alias("bin_size")).write.mode("overwrite").parquet(f"{path}/_genome")
+
+
+def track_sizes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(seqname, nbins, bin_size) of a track that was written with its genome; None of another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_genome")
+    return spark.read.parquet(f"{path}/_genome") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
 def is_gzip(head: bytes) -> bool:
     """Whether a file's first bytes are those of gzip."""
     return head[:2] == b"\x1f\x8b"
+
+
+def misnamed_gzip(text: DataFrame) -> list[str]:
+    """Files of a text table that are gzip but aren't called so, by the first two bytes of each."""
+    spark, bad = text.sparkSession, []
+    for name in text.inputFiles():
+        if not name.endswith(".gz"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+            stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+            head = [stream.read(), stream.read()]
+            stream.close()
+            if min(head) >= 0 and is_gzip(bytes(head)):
+                bad.append(name)
+    return bad
+
+
+def write_histogram_text(lines: DataFrame, header: str, path: str) -> None:
+    """The text table of (track, state, value, text) lines in their order, its first file headed by the header."""
+    rows = lines.select(F.lit(1).alias("k"), "track", "state", "value", "text")
+    first = lines.sparkSession.range(1).select(F.lit(0).alias("k"), *(F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("track", "state", "value")), F.lit(header).alias("text"))
+    order = ["k", "track", "state", "value"]
+    first.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
