@@ -199,7 +199,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, size):
 
 def test_exchange_gain_is_exact():
     rng = np.random.default_rng(0)
-    m = 70
+    m = 70  # words, then the endings and the end, as the symbols of a text are
     size = m + brown.ENDINGS + 1
     classes = np.concatenate([np.arange(m) % brown.MOVABLE, brown.MOVABLE + np.arange(brown.ENDINGS), [brown.END]])
     n = rng.poisson(0.05, (size, size)) + (rng.random((size, size)) < 0.01) * rng.integers(1, 30, (size, size))
@@ -249,9 +249,7 @@ def test_classes_help_held_out_texts(scored):
 
 def test_class_model_is_a_distribution(spark):
     rows = [(i, t) for i, t in enumerate(["a b a c", "b a d a", "a b c d e", "", "f a b"])]
-    docs = docs_of(spark, rows).selectExpr("coalesce(cast(text AS binary), X'') AS body")
-    counts = brown.word_counts(docs).cache()
-    model = brown.fit(docs, counts, len(rows))
+    model, _, _ = brown.learned(docs_of(spark, rows), held_fold=-1)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     mass = Counter()
     for w, c in model.word_class.items():
@@ -276,6 +274,55 @@ def test_queries_equal_sql(spark):
         assert sorted(map(tuple, got[cols].values.tolist())) == sorted(map(tuple, want[cols].values.tolist())), name
 
 
+def test_class_scores_equal_plain_loops(spark):
+    """Class bigrams counted and scored word by word; the classes are the model's, all else is counted anew."""
+    rows = [(r.doc_id, r.text) for r in common.table(spark, SMALL, "documents").limit(60).collect()] + [(10**6, None), (10**6 + 1, "never seen Words")]
+    model, _, _ = brown.learned(docs_of(spark, rows))
+    got = {r.doc_id: r.score for r in brown.score(docs_of(spark, rows)).collect()}
+    words = lambda t: (t or "").encode().lower().split()
+    of = lambda w: model.word_class.get(w, brown.MOVABLE + zlib.crc32(w[-3:]) % brown.ENDINGS)
+    train = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, grid = Counter(w for t in train for w in t), Counter()
+    for t in train:
+        path = [brown.END, *map(of, t), brown.END]
+        grid.update(zip(path, path[1:]))
+    total, types = Counter({brown.END: len(train)}), Counter()
+    for w, n in counts.items():
+        total[of(w)] += n
+        types[of(w)] += 1
+    before = Counter()
+    for (a, _), n in grid.items():
+        before[a] += n
+    all_mass = sum(total[c] + 1 for c in range(brown.CLASSES))
+    assert len({model.word_class[w] for w in model.word_class}) > 20
+    for i, t in rows:
+        path, want = [brown.END, *map(of, words(t)), brown.END], 0.0
+        for a, b in zip(path, path[1:]):
+            want += math.log10((grid[a, b] + brown.PRIOR * (total[b] + 1) / all_mass) / (before[a] + brown.PRIOR))
+        for w in words(t):
+            want += math.log10((counts[w] + 1) / (total[of(w)] + types[of(w)] + 1))
+        assert got[i] == pytest.approx(want), i
+
+
+def test_exchange_gains_likelihood(spark):
+    """The counts that it returns are those of its classes, and its classes are better than those it began with."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 70, 80) * 2 + np.arange(80) % 2 for _ in range(60)]  # even and odd words alternate
+    pairs = Counter(p for t in texts for p in zip([brown.LAST, *t.tolist()], [*t.tolist(), brown.LAST]))
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n long")
+    first = brown.first_classes([b"%d" % i for i in range(150)], 140)
+    classes, grid = brown.exchange(df, first, 140)
+    assert (classes[140:] == first[140:]).all()
+
+    def counted(c):
+        g = np.zeros((brown.CLASSES,) * 2, np.int64)
+        for (a, b), n in pairs.items():
+            g[c[a], c[b]] += n
+        return g
+
+    assert (grid == counted(classes)).all() and brown.likelihood(grid) > brown.likelihood(counted(first)) + 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

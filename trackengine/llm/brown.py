@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, discard, materialize, text_bytes
 
-#: Words (the most frequent ones) that are exchanged between the movable classes; the others' class is their ending's.
-EXCHANGED, MOVABLE, ENDINGS = 2048, 64, 192
-#: Words (the most frequent ones) whose counts every task holds; other words meet their counts in a join.
-HELD = 65_536
+#: Classes that words are exchanged between; the classes of other words are told by their endings.
+MOVABLE, ENDINGS = 64, 192
+#: Words (the most frequent ones) that every task holds, and exchanges; other words meet their counts in a join.
+#: With the endings and the end of a text behind them, the symbols of a text are 16-bit numbers.
+HELD = (1 << 16) - ENDINGS - 1
+LAST = HELD + ENDINGS
+#: Held words that occur so often at least are exchanged; of fewer neighbours a class would only be learned by heart.
+OFTEN = 10
 #: Sweeps of exchanges, in each of which half of the words may move; weight of the class frequencies in transitions.
-SWEEPS, PRIOR = 10, 20.0
-#: Tasks that a sweep is divided between.
-EXCHANGERS = 6
+SWEEPS, PRIOR = 6, 20.0
+#: Words that one task of a sweep goes through, about.
+TASK_WORDS = 8192
 END = MOVABLE + ENDINGS
 CLASSES = END + 1
 
@@ -55,55 +59,61 @@ def word_counts(bodies: DataFrame) -> DataFrame:
     return bodies.select("body").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_pairs(bodies: DataFrame, exchanged: list[bytes]) -> DataFrame:
-    """(a, b, n): neighbouring symbols of all texts, the end standing before and after each text.
+_CODED = "doc_id long, text_id long, train boolean, tokens long, symbols binary, rare array<struct<word:binary,times:long>>"
 
-    A symbol is an exchanged word, an ending class or the end; there are at most their number's square of rows.
+
+def coded(rows: DataFrame, words: list[bytes]) -> DataFrame:
+    """(doc_id, text_id, train, tokens, symbols, rare) of rows (doc_id, body, train): the only pass over texts but the counts.
+
+    symbols: a 16-bit number for each word, its number among the held words or HELD and that of its ending; rare: the words
+    that aren't held, and how often they occur in the text.
     """
-    m = len(exchanged)
-    known = {w: i for i, w in enumerate(exchanged)}
-    size, end = m + ENDINGS + 1, m + ENDINGS
+    index = {w: i for i, w in enumerate(words)}
+
+    def run(batches):
+        get = index.get
+        for b in batches:
+            tokens, ids, symbols, sizes, rare, times = [], [], [], [], [], []
+            for body in b.column(1).to_pylist():
+                found = words_of(body)
+                at = np.array([get(w, HELD) for w in found], np.int64)
+                others = [found[i] for i in np.flatnonzero(at == HELD)]
+                at[at == HELD] = [HELD - MOVABLE + ending_class(w) for w in others]
+                few = Counter(others)
+                tokens.append(len(found) + 1)
+                ids.append(xxhash.xxh64_intdigest(body) - (1 << 63))
+                symbols.append(at.astype("<u2").tobytes())
+                sizes.append(len(few))
+                rare.extend(few.keys())
+                times.extend(few.values())
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), b.column(2), pa.array(tokens, pa.int64()), pa.array(symbols, pa.binary()), lists], ["doc_id", "text_id", "train", "tokens", "symbols", "rare"])
+
+    return rows.select("doc_id", "body", "train").mapInArrow(run, _CODED)
+
+
+def symbol_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, n): neighbouring symbols of all texts (column symbols), LAST standing before and after each text."""
 
     def run(batches):
         held, n = [], 0
-        symbol = _Symbols(known, lambda w: m - MOVABLE + ending_class(w))
         for b in batches:
-            for body in b.column(0).to_pylist():
-                s = symbol.of(words_of(body))
-                s = np.concatenate([[end], s, [end]])
-                held.append(s[:-1] * size + s[1:])
+            for symbols in b.column(0).to_pylist():
+                s = np.concatenate([[LAST], np.frombuffer(symbols, "<u2"), [LAST]]).astype(np.uint32)
+                held.append(s[:-1] << np.uint32(16) | s[1:])
                 n += len(s)
             if n > 4_000_000:
-                held, n = [_added(held)], 0
-                yield rows(held.pop())
+                yield rows(held)
+                held, n = [], 0
         if held:
-            yield rows(_added(held))
-
-    def _added(held):
-        return np.unique(np.concatenate(held), return_counts=True)
-
-    def rows(counted):
-        code, n = counted
-        return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
-
-    return bodies.select("body").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
+            yield rows(held)
 
-class _Symbols(dict):
-    """Numbers of words, those of other words remembered up to a bound."""
+    def rows(held):
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((code >> 16).astype(np.int32)), pa.array((code & 0xFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
-    def __init__(self, known: dict, other, most: int = 500_000):
-        super().__init__(known)
-        self.other, self.most = other, most
-
-    def __missing__(self, word):
-        s = self.other(word)
-        if len(self) < self.most:
-            self[word] = s
-        return s
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    return texts.select("symbols").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -180,16 +190,21 @@ def likelihood(grid: np.ndarray) -> float:
     return float(_f(grid.astype(float)).sum() - _f(grid.sum(axis=0).astype(float)).sum() - _f(grid.sum(axis=1).astype(float)).sum())
 
 
-def exchange(pairs: DataFrame, m: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all symbols, and the class bigram counts; the m exchanged words start by rank, and move while it gains.
+def first_classes(words: list[bytes], m: int) -> np.ndarray:
+    """Classes of all symbols to begin with: the first m words by rank, all others by their endings."""
+    by_ending = [ending_class(w) for w in words[m:]]
+    return np.concatenate([np.arange(m) % MOVABLE, np.array(by_ending, np.int64), np.zeros(HELD - len(words), np.int64), MOVABLE + np.arange(ENDINGS), [END]]).astype(np.int64)
+
+
+def exchange(pairs: DataFrame, classes: np.ndarray, m: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all symbols, and the class bigram counts; the first m words move while it gains, the others stay.
 
     A sweep is one job. Each task holds some words with their neighbours' counts (bounded by the number of symbols), goes
     through half of them in turn, and moves each to its best class on its own copy of the counts; then the moves of all
     tasks are put together. A sweep after which the likelihood is no greater is undone; two in a row end the exchange.
     """
-    classes = np.concatenate([np.arange(m) % MOVABLE, MOVABLE + np.arange(ENDINGS), [END]])
     side = lambda own, other: pairs.filter(F.col(own) < m).groupBy(F.col(own).alias("w")).agg(F.collect_list(other).alias(other), F.collect_list("n").alias(f"n_{other}"))
-    around = materialize(side("a", "b").join(side("b", "a"), "w", "full").repartition(EXCHANGERS, "w"), "neighbours") if m else None
+    around = materialize(side("a", "b").join(side("b", "a"), "w", "full").repartition(-(-m // TASK_WORDS), "w"), "neighbours") if m else None
     grid = _class_grid(pairs, classes)
     idle = 0
     for sweep in range(sweeps if m else 0):
@@ -216,7 +231,7 @@ def exchange(pairs: DataFrame, m: int, sweeps: int = SWEEPS) -> tuple[np.ndarray
                         out.append((w, to))
                 yield pd.DataFrame(out, columns=["w", "to"], dtype="int32")
 
-        moves = around.mapInPandas(run, "w int, to int").toArrow().to_pandas()  # a row for an exchanged word at most
+        moves = around.mapInPandas(run, "w int, to int").toArrow().to_pandas()  # a row for a held word at most
         after = classes.copy()
         after[moves["w"].to_numpy(int)] = moves["to"].to_numpy(int)
         moved = _class_grid(pairs, after)
@@ -224,16 +239,22 @@ def exchange(pairs: DataFrame, m: int, sweeps: int = SWEEPS) -> tuple[np.ndarray
         classes, grid, idle = (after, moved, 0) if better else (classes, grid, idle + 1)
         if idle == 2:  # neither half of the words gains
             break
+    if m:
+        discard(around)
     return classes, grid
 
 
-def fit(bodies: DataFrame, counts: DataFrame, texts: int) -> ClassModel:
-    """Learn from training texts (column body) and their words' counts."""
+def held_words(counts: DataFrame) -> tuple[list[bytes], list[int]]:
+    """The most frequent words and how often they occur, HELD at most."""
     held = counts.orderBy(F.desc("n"), "word").limit(HELD).toArrow().to_pandas()
-    words, often = [bytes(w) for w in held["word"]], held["n"].astype(int).tolist()
-    exchanged = words[:EXCHANGED]
-    pairs = materialize(symbol_pairs(bodies, exchanged), "pairs")
-    classes, grid = exchange(pairs, len(exchanged))
+    return [bytes(w) for w in held["word"]], held["n"].astype(int).tolist()
+
+
+def fit(texts: DataFrame, counts: DataFrame, words: list[bytes], often: list[int], n_texts: int) -> ClassModel:
+    """Learn from the symbols of training texts, their words' counts and the held words."""
+    pairs = materialize(symbol_pairs(texts), "pairs")
+    m = sum(n >= OFTEN for n in often)
+    classes, grid = exchange(pairs, first_classes(words, m), m)
     discard(pairs)
     ending = (F.crc32(F.substring("word", -3, 3)) % ENDINGS).alias("e")
     total, types = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -241,60 +262,53 @@ def fit(bodies: DataFrame, counts: DataFrame, texts: int) -> ClassModel:
     for r in counts.groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         total[MOVABLE + r.e], types[MOVABLE + r.e] = r.n, r.v
         all_tokens, all_types = all_tokens + r.n, all_types + r.v
-    word_class = {w: ending_class(w) for w in words}
-    for i, (w, n) in enumerate(zip(exchanged, often)):
+    for i, (w, n) in enumerate(zip(words, often)):
         for table, x in ((total, n), (types, 1)):
-            table[word_class[w]] -= x
+            table[ending_class(w)] -= x
             table[classes[i]] += x
-        word_class[w] = int(classes[i])
-    total[END], tokens = texts, all_tokens + texts
+    total[END], tokens = n_texts, all_tokens + n_texts
     share = (total + 1) / (total + 1).sum()
     before = grid.sum(axis=1, keepdims=True)
     transition = np.log10((grid + PRIOR * share[None]) / (before + PRIOR))
     mass = np.log10(total + types + 1)
     mass[END] = 0.0  # the end is all that its class emits
-    return ClassModel(word_class, dict(zip(words, np.log10(np.array(often, float) + 1).tolist())), transition, mass, tokens, all_types + (texts > 0), texts)
+    word_class = dict(zip(words, classes[: len(words)].tolist()))
+    return ClassModel(word_class, dict(zip(words, np.log10(np.array(often, float) + 1).tolist())), transition, mass, tokens, all_types + (n_texts > 0), n_texts)
 
 
-_SCORED = "doc_id long, text_id long, word binary, times long, texts long, tokens long, known long, base double, model double"
-
-
-def _scored(rows: DataFrame, model: ClassModel) -> DataFrame:
-    """A row for each text with what its held words and transitions give, and one for each other word in it."""
-    names = [x.split()[0] for x in _SCORED.split(", ")]
-    index = {w: i for i, w in enumerate(model.word_class)}
-    held_class = np.array([*model.word_class.values()], np.int64)
-    held_log = np.array([*model.log_count.values()])
-    end_log = float(np.log10(model.texts + 1))
-    transition, mass, n_held, ends_known = model.transition, model.mass, len(index), int(model.texts > 0)
+def _scored(texts: DataFrame, model: ClassModel) -> DataFrame:
+    """(doc_id, text_id, texts, tokens, known, base, model) of each text: what its held words and transitions give."""
+    n = len(model.word_class)
+    symbol_class = np.concatenate([np.array([*model.word_class.values()], np.int64), np.zeros(HELD - n, np.int64), MOVABLE + np.arange(ENDINGS)])
+    log_count = np.concatenate([np.array([*model.log_count.values()], float), np.zeros(HELD + ENDINGS - n)])
+    end_log, transition, mass, ends_known = float(np.log10(model.texts + 1)), model.transition, model.mass, int(model.texts > 0)
 
     def run(batches):
-        get = index.get
         for b in batches:
-            out = [[] for _ in names]
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(body)
-                at = np.array([get(w, n_held) for w in words], np.int64)
-                rare = at == n_held
-                cls = np.empty(len(words) + 2, np.int64)
-                cls[0] = cls[-1] = END
-                mid = cls[1:-1]
-                mid[~rare] = held_class[at[~rare]]
-                few = Counter(others := [words[i] for i in np.flatnonzero(rare)])
-                mid[rare] = [ending_class(w) for w in others]
-                logs = float(held_log[at[~rare]].sum())
-                path = float(transition[cls[:-1], cls[1:]].sum() - mass[mid].sum())
-                text_id = xxhash.xxh64_intdigest(body) - (1 << 63)
-                own = (doc, text_id, b" %d %d" % (doc if doc is not None else -1, text_id), 0, 1, len(words) + 1, len(words) - len(others) + ends_known, logs + end_log, logs + path)
-                for column, x in zip(out, own):
-                    column.append(x)
-                k = len(few)
-                for column, x in zip(out, ([doc] * k, [text_id] * k, few.keys(), few.values(), *([0] * k,) * 5)):
-                    column.extend(x)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-    return rows.mapInArrow(run, _SCORED)
+            known, base, path = [], [], []
+            for symbols in b.column(3).to_pylist():
+                at = np.frombuffer(symbols, "<u2")
+                cls = np.concatenate([[END], symbol_class[at], [END]])
+                logs = float(log_count[at].sum())
+                known.append(int((at < HELD).sum()) + ends_known)
+                base.append(logs + end_log)
+                path.append(logs + float(transition[cls[:-1], cls[1:]].sum() - mass[cls[1:-1]].sum()))
+            ones = np.ones(len(known), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ones), b.column(2), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(path, pa.float64())], ["doc_id", "text_id", "texts", "tokens", "known", "base", "model"])
+
+    return texts.select("doc_id", "text_id", "tokens", "symbols").mapInArrow(run, "doc_id long, text_id long, texts long, tokens long, known long, base double, model double")
+
+
+def learned(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """The model of the documents that aren't held out, all texts as coded() gives them, and the training words' counts."""
+    bounded_batches(docs.sparkSession)
+    train = crc_mod(F.col("doc_id"), folds) != held_fold
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), train.alias("train"))
+    counts = materialize(word_counts(rows.filter("train").select("body")), "words")
+    words, often = held_words(counts)
+    texts = materialize(coded(rows, words), "coded")
+    own = texts.filter("train")
+    return fit(own, counts, words, often, own.count()), texts, counts
 
 
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -306,17 +320,15 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     token of its own class. Null texts are empty, and have the end only. Rows that repeat doc_id and text are scored each; a
     null doc_id counts as empty text in the hash. An empty table gives no rows; with nothing to learn, all is unknown.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    held = crc_mod(F.col("doc_id"), folds) == held_fold
-    train = rows.filter(~held).select("body")
-    counts = materialize(word_counts(train), "words")
-    model = fit(train, counts, train.count())
-    rare = _scored(rows, model).join(counts.select("word", "n"), "word", "left")
-    gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)
-    sums = rare.groupBy("doc_id", "text_id").agg(*(F.sum(x).alias(x) for x in ("texts", "tokens", "known", "base", "model")), F.sum(gain).alias("gain"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("met"))
+    model, texts, counts = learned(docs, folds, held_fold)
+    words = texts.select("doc_id", "text_id", F.explode("rare").alias("r")).select("doc_id", "text_id", "r.word", "r.times")
+    met = words.join(counts.select("word", "n"), "word").select("doc_id", "text_id", (F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), F.col("times").alias("met"))
+    nothing = {"texts": "long", "tokens": "long", "known": "long", "base": "double", "model": "double"}
+    own = _scored(texts, model).withColumns({"gain": F.lit(0.0), "met": F.lit(0).cast("long")})
+    every = own.unionByName(met.withColumns({c: F.lit(0).cast(t) for c, t in nothing.items()}))
+    sums = every.groupBy("doc_id", "text_id").agg(*(F.sum(x).alias(x) for x in (*nothing, "gain", "met")))
     one = {x: (F.col(x) / F.col("texts")) for x in ("tokens", "known", "base", "model", "gain", "met")}
     whole = {x: one[x].cast("long") for x in ("tokens", "known", "met")}
     floor = float(np.log10(model.train_tokens + model.types + 1))
-    every = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("texts").cast("int"))))  # rows that are repeated come back
-    return every.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_fold).alias("held_out"), whole["tokens"].alias("n_tokens"), (whole["known"] + whole["met"]).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (one["base"] + one["gain"] - whole["tokens"] * floor).alias("base_score"), (one["model"] + one["gain"]).alias("score"))
+    each = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("texts").cast("int"))))  # rows that are repeated come back
+    return each.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_fold).alias("held_out"), whole["tokens"].alias("n_tokens"), (whole["known"] + whole["met"]).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (one["base"] + one["gain"] - whole["tokens"] * floor).alias("base_score"), (one["model"] + one["gain"]).alias("score"))
