@@ -160,15 +160,18 @@ class ClassModel:
 
 
 def _class_grid(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring classes, at most their number's square of rows."""
+    """Counts of neighbouring classes: each task adds its own up and gives their number's square of rows at most."""
 
-    def run(frames):
-        for pdf in frames:
-            a, b = classes[pdf.a.to_numpy()], classes[pdf.b.to_numpy()]
-            yield pd.DataFrame({"c": a.astype(np.int32), "d": b.astype(np.int32), "n": pdf.n}).groupby(["c", "d"], as_index=False).n.sum()
+    def run(batches):
+        grid = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            code = classes[b.column(0).to_numpy()] * CLASSES + classes[b.column(1).to_numpy()]
+            np.add.at(grid, code, b.column(2).to_numpy())
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(grid[at])], ["c", "d", "n"])
 
     grid = np.zeros((CLASSES, CLASSES), np.int64)
-    got = pairs.mapInPandas(run, "c int, d int, n long").groupBy("c", "d").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    got = pairs.mapInArrow(run, "c int, d int, n long").groupBy("c", "d").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     grid[got.c.to_numpy(int), got.d.to_numpy(int)] = got.n.to_numpy(int)
     return grid
 
