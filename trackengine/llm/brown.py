@@ -24,9 +24,9 @@ LAST = HELD + ENDINGS
 #: Held words that occur so often at least are exchanged; of fewer neighbours a class would only be learned by heart.
 OFTEN = 10
 #: Sweeps of exchanges, in each of which half of the words may move; weight of the class frequencies in transitions.
-SWEEPS, PRIOR = 6, 20.0
+SWEEPS, PRIOR = 5, 20.0
 #: Words that one task of a sweep goes through, about.
-TASK_WORDS = 8192
+TASK_WORDS = 4096
 END = MOVABLE + ENDINGS
 CLASSES = END + 1
 

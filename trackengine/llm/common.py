@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; long texts make the default of 10,000 rows too large for a worker.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: narrow rows come by thousands, long texts by a few.
+BATCH_ROWS, BATCH_BYTES = 8192, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make Arrow batches small where the session still has Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) >= 10_000:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by bytes too where the session still has Spark's defaults, which bound them by rows alone."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) >= 10_000:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not spark.conf.get(size, None):
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 _OWN: dict[str, str] = {}
