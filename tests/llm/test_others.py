@@ -309,7 +309,7 @@ def test_exchange_gains_likelihood(spark):
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 70, 80) * 2 + np.arange(80) % 2 for _ in range(60)]  # even and odd words alternate
     pairs = Counter(p for t in texts for p in zip([brown.LAST, *t.tolist()], [*t.tolist(), brown.LAST]))
-    df = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n long")
+    df = common.materialize(brown.symbol_pairs(spark.createDataFrame([(bytearray(t.astype("<u2").tobytes()),) for t in texts], "symbols binary").repartition(3)), "test")
     first = brown.first_classes([b"%d" % i for i in range(150)], 140)
     classes, grid = brown.exchange(df, first, 140)
     assert (classes[140:] == first[140:]).all()

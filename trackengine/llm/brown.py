@@ -7,7 +7,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,8 +24,8 @@ LAST = HELD + ENDINGS
 OFTEN = 10
 #: Sweeps of exchanges, in each of which half of the words may move; weight of the class frequencies in transitions.
 SWEEPS, PRIOR = 5, 20.0
-#: Words that one task of a sweep goes through, about.
-TASK_WORDS = 4096
+#: Words that one task of a sweep goes through, about; buckets of words whose neighbours are packed together.
+TASK_WORDS, BUCKETS = 4096, 256
 END = MOVABLE + ENDINGS
 CLASSES = END + 1
 
@@ -93,10 +92,18 @@ def coded(rows: DataFrame, words: list[bytes]) -> DataFrame:
     return rows.select("doc_id", "body", "train").mapInArrow(run, _CODED)
 
 
+_PACKED = "bucket int, side int, codes binary, n binary"
+
+
 def symbol_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b, n): neighbouring symbols of all texts (column symbols), LAST standing before and after each text."""
+    """(bucket, side, codes, n): neighbouring symbols of all texts (column symbols) and their counts, packed in arrays.
 
-    def run(batches):
+    LAST stands before and after each text. On side 0 a code is the symbol in its upper and the next one in its lower 16
+    bits, on side 1 the symbol and the one before it; a row has all pairs whose upper symbol is in its bucket, in order.
+    Tasks add their own pairs up before they are shuffled, and a row for each task and bucket is.
+    """
+
+    def count(batches):
         held, n = [], 0
         for b in batches:
             for symbols in b.column(0).to_pylist():
@@ -104,16 +111,42 @@ def symbol_pairs(texts: DataFrame) -> DataFrame:
                 held.append(s[:-1] << np.uint32(16) | s[1:])
                 n += len(s)
             if n > 4_000_000:
-                yield rows(held)
+                yield from dealt(*np.unique(np.concatenate(held), return_counts=True))
                 held, n = [], 0
         if held:
-            yield rows(held)
+            yield from dealt(*np.unique(np.concatenate(held), return_counts=True))
+
+    def dealt(code, n):
+        for side, codes in ((0, code), (1, code << np.uint32(16) | code >> np.uint32(16))):
+            of = (codes >> np.uint32(16)) % np.uint32(BUCKETS)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(BUCKETS + 1))
+            for bucket, (a, b) in enumerate(zip(ends, ends[1:])):
+                if b > a:
+                    yield packed(bucket, side, codes[order[a:b]], n[order[a:b]])
+
+    def packed(bucket, side, codes, n):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([side], pa.int32()), pa.array([codes.astype("<u4").tobytes()]), pa.array([n.astype("<i8").tobytes()])], ["bucket", "side", "codes", "n"])
+
+    def together(batches):
+        now, codes, n = None, [], []
+        for b in batches:
+            for bucket, side, c, k in zip(*(x.to_pylist() for x in b.columns)):
+                if now not in (None, (bucket, side)):
+                    yield packed(*now, *added(codes, n))
+                    codes, n = [], []
+                now = bucket, side
+                codes.append(np.frombuffer(c, "<u4"))
+                n.append(np.frombuffer(k, "<i8"))
+        if now:
+            yield packed(*now, *added(codes, n))
 
-    def rows(held):
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((code >> 16).astype(np.int32)), pa.array((code & 0xFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+    def added(codes, n):
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(n))
 
-    return texts.select("symbols").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    parts = texts.select("symbols").mapInArrow(count, _PACKED)
+    return parts.repartition("bucket", "side").sortWithinPartitions("bucket", "side").mapInArrow(together, _PACKED)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -163,15 +196,16 @@ def _class_grid(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Counts of neighbouring classes: each task adds its own up and gives their number's square of rows at most."""
 
     def run(batches):
-        grid = np.zeros(CLASSES * CLASSES, np.int64)
+        grid = np.zeros(CLASSES * CLASSES)
         for b in batches:
-            code = classes[b.column(0).to_numpy()] * CLASSES + classes[b.column(1).to_numpy()]
-            np.add.at(grid, code, b.column(2).to_numpy())
+            for codes, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                code = np.frombuffer(codes, "<u4")
+                grid += np.bincount(classes[code >> 16] * CLASSES + classes[code & 0xFFFF], np.frombuffer(n, "<i8"), CLASSES * CLASSES)
         at = np.flatnonzero(grid)
-        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(grid[at])], ["c", "d", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(grid[at].astype(np.int64))], ["c", "d", "n"])
 
     grid = np.zeros((CLASSES, CLASSES), np.int64)
-    got = pairs.mapInArrow(run, "c int, d int, n long").groupBy("c", "d").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    got = pairs.filter("side = 0").select("codes", "n").mapInArrow(run, "c int, d int, n long").groupBy("c", "d").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     grid[got.c.to_numpy(int), got.d.to_numpy(int)] = got.n.to_numpy(int)
     return grid
 
@@ -206,35 +240,36 @@ def exchange(pairs: DataFrame, classes: np.ndarray, m: int, sweeps: int = SWEEPS
     through half of them in turn, and moves each to its best class on its own copy of the counts; then the moves of all
     tasks are put together. A sweep after which the likelihood is no greater is undone; two in a row end the exchange.
     """
-    side = lambda own, other: pairs.filter(F.col(own) < m).groupBy(F.col(own).alias("w")).agg(F.collect_list(other).alias(other), F.collect_list("n").alias(f"n_{other}"))
-    around = materialize(side("a", "b").join(side("b", "a"), "w", "full").repartition(-(-m // TASK_WORDS), "w"), "neighbours") if m else None
+    sides = (pairs.filter(F.col("side") == i).select("bucket", F.col("codes").alias(f"codes_{i}"), F.col("n").alias(f"n_{i}")) for i in (0, 1))
+    around = materialize(next(sides).join(next(sides), "bucket", "full").repartition(-(-m // TASK_WORDS), "bucket"), "neighbours") if m else None
     grid = _class_grid(pairs, classes)
     idle = 0
     for sweep in range(sweeps if m else 0):
 
-        def run(frames, old=classes, grid=grid, half=sweep % 2):
+        def run(batches, old=classes, grid=grid, half=sweep % 2):
             classes, grid, size = old.copy(), grid.copy(), grid.sum(axis=0)
-            for pdf in frames:
+            for b in batches:
                 out = []
-                for w, *sides in zip(pdf.w, pdf.a, pdf.n_a, pdf.b, pdf.n_b):
-                    if zlib.crc32(b"%d" % w) % 2 != half:
-                        continue
-                    counts, twice, total = [], 0, 0
-                    for s, n in (sides[:2], sides[2:]):
-                        if s is None:
-                            s, n = np.empty(0, np.int64), np.empty(0, np.int64)
-                        counts.append(np.bincount(classes[s], n, CLASSES).astype(np.int64))
-                        twice = int(n[s == w].sum())
-                        total = max(total, int(n.sum()))
-                    now = int(classes[w])
-                    to, gain = best_class(now, *counts, twice, total, grid, size)
-                    if gain > 1e-6:
-                        move(now, to, *counts, twice, total, grid, size)
-                        classes[w] = to
-                        out.append((w, to))
-                yield pd.DataFrame(out, columns=["w", "to"], dtype="int32")
-
-        moves = around.mapInPandas(run, "w int, to int").toArrow().to_pandas()  # a row for a held word at most
+                for row in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+                    codes, counts = ([np.frombuffer(x or b"", t) for x in row[i::2]] for i, t in ((0, "<u4"), (1, "<i8")))
+                    words = np.unique(np.concatenate([c >> 16 for c in codes]))
+                    words = words[words < m]
+                    first, last = ([np.searchsorted(c >> 16, words, side=s).tolist() for c in codes] for s in ("left", "right"))
+                    for k, w in enumerate(words.tolist()):
+                        if zlib.crc32(b"%d" % w) % 2 != half:
+                            continue
+                        near = [(codes[i][first[i][k] : last[i][k]] & 0xFFFF, counts[i][first[i][k] : last[i][k]]) for i in (1, 0)]
+                        left, right = (np.bincount(classes[s], n, CLASSES).astype(np.int64) for s, n in near)
+                        twice, total = int(near[1][1][near[1][0] == w].sum()), max(int(n.sum()) for _, n in near)
+                        now = int(classes[w])
+                        to, gain = best_class(now, left, right, twice, total, grid, size)
+                        if gain > 1e-6:
+                            move(now, to, left, right, twice, total, grid, size)
+                            classes[w] = to
+                            out.append((w, to))
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.int32()), pa.array([t for _, t in out], pa.int32())], ["w", "to"])
+
+        moves = around.select("bucket", "codes_0", "n_0", "codes_1", "n_1").mapInArrow(run, "w int, to int").toArrow().to_pandas()  # a row for a held word at most
         after = classes.copy()
         after[moves["w"].to_numpy(int)] = moves["to"].to_numpy(int)
         moved = _class_grid(pairs, after)
