@@ -290,6 +290,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int =
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([x if c is None or x is None else cut_words(x, [(s["first_word"], s["last_word"]) for s in c]) for x, c in zip(text, cuts)], dtype=object)
 
+    cut = cut.asNondeterministic()  # else Spark would run it once more for the filter, in a second worker for each task
     own = (docs["doc_id"].cast("long") == F.col(of)) & (F.xxhash64(text_bytes()) == F.col(text_id))
     joined = docs.join(gone, own, "left").withColumn(now, cut("text", cuts))
     left = joined.filter(F.col(cuts).isNull() | F.col(now).rlike("[^ \\t-\\r]"))
