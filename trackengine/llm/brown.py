@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, discard, materialize, text_bytes
+from .common import bounded_batches, crc_mod, discard, giving_back, materialize, text_bytes
 
 #: Classes that words are exchanged between; the classes of other words are told by their endings.
 MOVABLE, ENDINGS = 64, 192
@@ -42,6 +42,7 @@ def ending_class(word: bytes) -> int:
 def word_counts(bodies: DataFrame) -> DataFrame:
     """(word, n) of all texts (column body); each task adds up its own before the shuffle."""
 
+    @giving_back
     def run(batches):
         counts: Counter = Counter()
         for b in batches:
@@ -69,6 +70,7 @@ def coded(rows: DataFrame, words: list[bytes]) -> DataFrame:
     """
     index = {w: i for i, w in enumerate(words)}
 
+    @giving_back
     def run(batches):
         get = index.get
         for b in batches:
@@ -103,6 +105,7 @@ def symbol_pairs(texts: DataFrame) -> DataFrame:
     Tasks add their own pairs up before they are shuffled, and a row for each task and bucket is.
     """
 
+    @giving_back
     def count(batches):
         held, n = [], 0
         for b in batches:
@@ -128,6 +131,7 @@ def symbol_pairs(texts: DataFrame) -> DataFrame:
     def packed(bucket, side, codes, n):
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([side], pa.int32()), pa.array([codes.astype("<u4").tobytes()]), pa.array([n.astype("<i8").tobytes()])], ["bucket", "side", "codes", "n"])
 
+    @giving_back
     def together(batches):
         now, codes, n = None, [], []
         for b in batches:
@@ -195,6 +199,7 @@ class ClassModel:
 def _class_grid(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Counts of neighbouring classes: each task adds its own up and gives their number's square of rows at most."""
 
+    @giving_back
     def run(batches):
         grid = np.zeros(CLASSES * CLASSES)
         for b in batches:
@@ -321,6 +326,7 @@ def _scored(texts: DataFrame, model: ClassModel) -> DataFrame:
     log_count = np.concatenate([np.array([*model.log_count.values()], float), np.zeros(HELD + ENDINGS - n)])
     end_log, transition, mass, ends_known = float(np.log10(model.texts + 1)), model.transition, model.mass, int(model.texts > 0)
 
+    @giving_back
     def run(batches):
         for b in batches:
             known, base, path = [], [], []

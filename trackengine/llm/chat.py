@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, giving_back
 
 #: A turn is OPEN role SEP text CLOSE. ESCAPE before one of its own or a mark's first character makes that plain text.
 OPEN, SEP, CLOSE, ESCAPE = "### ", ": ", " </turn>\n", "\\"
@@ -66,6 +66,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     """
     bounded_batches(conversations.sparkSession)
 
+    @giving_back
     def run(batches):
         for b in batches:
             made = [render_turn(r, x) for r, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
@@ -104,6 +105,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])))
 
+    @giving_back
     def run(batches):
         now, at = None, None
         for b in batches:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, spare
+from .common import bounded_batches, giving_back, materialize, spare
 from .components import connected_components
 from .simhash import _Forest
 
@@ -59,6 +59,7 @@ def _cells(reps: DataFrame, centroids: np.ndarray, threshold: float) -> DataFram
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-9
     gaps = np.linalg.norm(centroids[:, None] - centroids[None], axis=2) * radius
 
+    @giving_back
     def run(batches):
         for b in batches:
             if not b.num_rows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, mix, spare
+from .common import bounded_batches, crc_mod, give_back, giving_back, mix, spare
 
 #: Trigrams are hashed to so many features; a model has one row of them for each language.
 FEATURES = 1 << 15
@@ -56,6 +56,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     """(lang, feature, n) over whole texts; counts are added up in each task before they are shuffled."""
     bounded_batches(docs.sparkSession)
 
+    @giving_back
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -187,12 +188,15 @@ def predictor(languages: list[str], model: np.ndarray) -> Callable[[Column], Col
     names = np.array([*languages, "und"], object)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        share, has = infer(list(texts), model)
-        if not languages:
-            return pd.DataFrame({"lang_pred": ["und"] * len(has), "score": np.zeros(len(has))})
-        best = np.where(has, share.argmax(axis=1), len(languages))
-        return pd.DataFrame({"lang_pred": names[best], "score": np.where(has, np.minimum(share.max(axis=1), 1.0), 0.0)})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            share, has = infer(list(texts), model)
+            if not languages:
+                yield pd.DataFrame({"lang_pred": ["und"] * len(has), "score": np.zeros(len(has))})
+                continue
+            best = np.where(has, share.argmax(axis=1), len(languages))
+            yield pd.DataFrame({"lang_pred": names[best], "score": np.where(has, np.minimum(share.max(axis=1), 1.0), 0.0)})
+        give_back()
 
     return predict
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, text_bytes, word_hashes
+from .common import bounded_batches, discard, giving_back, materialize, text_bytes, word_hashes
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -134,6 +134,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     """
     bounded_batches(docs.sparkSession)
 
+    @giving_back
     def run(batches):
         encode = word_ids(tokenizer)
         step = 4 * capacity
@@ -279,6 +280,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     ranked = bucketed.withColumn("within", within).join(before, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"), *carried)
 
+    @giving_back
     def place(batches):
         for b in batches:
             n, rank = (b.column(i).to_numpy() for i in (3, 5))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, spare, text_bytes
+from .common import bounded_batches, giving_back, materialize, spare, text_bytes
 from .components import connected_components
 
 #: Sixteen-bit parts of a fingerprint; a tile holds the fingerprints with the same population count in every part.
@@ -41,6 +41,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the unsigned 64-bit fingerprint held in a signed long. Null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
+    @giving_back
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint_of(x) for x in b.column(1).to_pylist()], np.uint64)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, mix, sliding, span_hashes, spare, text_bytes, window_hashes, word_bounds, word_hashes
+from .common import bounded_batches, discard, give_back, giving_back, materialize, mix, sliding, span_hashes, spare, text_bytes, window_hashes, word_bounds, word_hashes
 
 #: Words that a passage has at least; words that a retained suffix is keyed by.
 MIN_WORDS = 50
@@ -60,6 +60,7 @@ def retained_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     """
     bounded_batches(docs.sparkSession)
 
+    @giving_back
     def run(batches):
         for b in batches:
             heads = [_retained(x, min_words, seed_words) for x in b.column(2).to_pylist()]
@@ -119,6 +120,7 @@ def _beside(batches: Iterator[pa.RecordBatch], keys: list[str], place: list[str]
 def _shared_heads(suffixes: DataFrame) -> DataFrame:
     """(doc_id, text_id, heads): the heads of each text that a neighbour in the order has too, or that border a partition."""
 
+    @giving_back
     def run(batches):
         for rows, before, after, edge in _beside(batches, ["head"], []):
             yield from rows.filter(pa.array(before | after | edge)).to_batches()
@@ -152,6 +154,7 @@ def _runs_of(body: bytes, known: np.ndarray, min_words: int, seed_words: int) ->
 def _stretches(docs: DataFrame, shared: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     """(head, hash, doc_id, text_id, at, runs): from each shared suffix to the left and right, the runs that hold it."""
 
+    @giving_back
     def run(batches):
         for b in batches:
             found = [_runs_of(body, heads.values.to_numpy(zero_copy_only=False).view(np.uint64), min_words, seed_words) for body, heads in zip(b.column(2).to_pylist(), b.column(3))]
@@ -169,6 +172,7 @@ def _extended(stretches: DataFrame) -> DataFrame:
     """(doc_id, text_id, at, number, twin, head, runs): sorted stretches that equal the one before, with runs null: all their
     runs are repeated, and not the first of their kind. The others with their runs; twin if they equal the one after."""
 
+    @giving_back
     def run(batches):
         for rows, before, after, _ in _beside(batches, ["head", "hash"], [*TEXT, "at"]):
             runs = rows.column("runs").combine_chunks()
@@ -186,6 +190,7 @@ def _neighbours(runs: DataFrame) -> DataFrame:
     of each partition, with part set, whose other neighbour is in another partition.
     """
 
+    @giving_back
     def run(batches):
         for rows, before, after, edge in _beside(batches, ["head", "hash"], [*TEXT, "at"]):
             twin = rows.column("twin").to_numpy() | before | after
@@ -248,6 +253,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     if edges:
         rows = rows.unionByName(docs.sparkSession.createDataFrame(edges, rows.schema))
 
+    @giving_back
     def run(batches):
         for b in batches:
             spans = []
@@ -287,8 +293,10 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int =
     gone = gone.groupBy(F.col("doc_id").alias(of), F.col("text_id").alias(text_id)).agg(F.collect_list(F.struct("first_word", "last_word")).alias(cuts))
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([x if c is None or x is None else cut_words(x, [(s["first_word"], s["last_word"]) for s in c]) for x, c in zip(text, cuts)], dtype=object)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, cuts in batches:
+            yield pd.Series([x if c is None or x is None else cut_words(x, [(s["first_word"], s["last_word"]) for s in c]) for x, c in zip(text, cuts)], dtype=object)
+        give_back()
 
     cut = cut.asNondeterministic()  # else Spark would run it once more for the filter, in a second worker for each task
     own = (docs["doc_id"].cast("long") == F.col(of)) & (F.xxhash64(text_bytes()) == F.col(text_id))
