@@ -127,3 +127,36 @@ def test_matrices_of_another_size(spark):
     assert W.classify_matrices(df, lambda m: F.get(F.get(m, F.lit(0)), F.lit(1)), 2, 2, transposed=True).first().score == 3
     with pytest.raises(Exception, match="2 by 3"):
         W.classify_matrices(df, lambda m: F.get(F.get(m, F.lit(0)), F.lit(1)), 2, 3).collect()
+
+
+def test_coordinates_are_fitted_where_their_histograms_are(spark):
+    rng = np.random.default_rng(5)
+    v = np.stack([rng.poisson(2.0, 400), rng.poisson(9.0, 400)], axis=1).astype(float)
+    df = spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>")
+    start = D.mixture([0.5, 0.5], [D.poisson(1.0), D.geometric(0.2)])
+    for i, got in enumerate(E.fit_coordinates(df, start)):
+        x, n = np.unique(v[:, i], return_counts=True)
+        want = E.fit_mixture(x, n, start)
+        assert got.model == want.model and got.steps == want.steps
+        assert got.log_likelihood == pytest.approx(want.log_likelihood)
+    few = E.fit_coordinates(df, start, max_bins=4)
+    for i, got in enumerate(few):
+        step = (v[:, i].max() - v[:, i].min()) / 4
+        x, n = np.unique(np.floor(v[:, i] / step) * step, return_counts=True)
+        assert got.model == E.fit_mixture(x, n, start).model
+
+
+def test_density_of_too_many_bins_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_BINS", 3)
+    dens = E.density(spark.createDataFrame([(float(i), 1) for i in range(6)], "x double, n long"))
+    with pytest.raises(ValueError):
+        E.step_log_pdf(spark.createDataFrame([(1.0,)], "value double"), dens)
+
+
+def test_values_that_no_component_has_take_no_part():
+    start = D.mixture([0.5, 0.5], [D.poisson(1.0), D.geometric(0.2)])
+    got, want = E.fit_mixture([0, 0.5, 1, 4], [5, 9, 7, 2], start), E.fit_mixture([0, 1, 4], [5, 7, 2], start, eps=1e-8 * 23 / 14)
+    assert got.log_likelihood == -math.inf
+    assert np.allclose(got.model.parameters, want.model.parameters, atol=1e-6)
+    with pytest.raises(ValueError):
+        E.fit_mixture([0.5], [3], start)

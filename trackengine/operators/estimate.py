@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from dataclasses import dataclass
 
@@ -94,8 +95,11 @@ def log_entropy(dens: DataFrame) -> DataFrame:
 def step_log_pdf(df: DataFrame, dens: DataFrame, value: str = "value") -> DataFrame:
     """df with log_pdf: the density of the bin that a value lies in, -inf outside; NaN and null values give null.
 
-    The edges, as many as the density has bins, are one sorted array in a row that is broadcast.
+    The edges are one sorted array in a row that is broadcast. A density has as many as its histogram has values, which
+    gridded() bounds; one of more is an error.
     """
+    if dens.limit(MAX_BINS + 2).count() > MAX_BINS + 1:
+        raise ValueError(f"the density has more than {MAX_BINS + 1} bins; put its histogram on a grid first")
     edge = dens.agg(F.array_sort(F.collect_list(F.struct("x", "delta", "log_density"))).alias("edges__"))
     v = F.col(value)
     # bisection over the sorted edges: the number of halvings follows their count
@@ -123,21 +127,26 @@ class Fit:
     steps: int
 
 
-def _update(part: Distribution, x: np.ndarray, w: np.ndarray) -> Distribution:
+def updated(part: Distribution, total: float, weighted: float) -> Distribution:
+    """A component estimated from the sum of its observations' weights and that of weights times values."""
     kind = part.name.split(":")[-1]
-    total = w.sum()
     if kind == "poisson distribution":
-        return poisson(float((w * x).sum() / total)) if total > 0 else part
+        return poisson(float(weighted / total)) if total > 0 else part
     if kind == "geometric distribution":
-        return geometric(float(total / (total + (w * x).sum()))) if total > 0 else part
+        return geometric(float(total / (total + weighted))) if total > 0 else part
     if kind == "pdf translation":
-        return translation(_update(part.parts[0], x + part.parameters[0], w), part.parameters[0])
+        by = part.parameters[0]
+        return translation(updated(part.parts[0], total, weighted + by * total), by)
     return part  # a delta has nothing to learn
 
 
 def fit_mixture(x, n, start: Distribution, eps: float = 1e-8, max_steps: int | None = None) -> Fit:
     """EM on a histogram of values x with counts n. It ends when the log-likelihood gains less than eps for each
-    observation. x has one entry for each distinct value, however many observations there are."""
+    observation. x has one entry for each distinct value, however many observations there are.
+
+    Values that no component can have take no part, and the log-likelihood returned is then -inf; if there are no others,
+    that is an error.
+    """
     x, n = np.asarray(x, float), np.asarray(n, float)
     weights, parts = np.array(start.parameters, float), list(start.parts)
     share, before, steps = n / n.sum(), -INF, 0
@@ -148,12 +157,16 @@ def fit_mixture(x, n, start: Distribution, eps: float = 1e-8, max_steps: int | N
         now = float((share * np.where(share > 0, total, 0)).sum())
         if math.isnan(now):
             raise ValueError("the likelihood of the mixture is not a number")
-        if now - before < eps or (max_steps is not None and steps >= max_steps):
+        covered = np.isfinite(total) & (share > 0)
+        if not covered.any():
+            raise ValueError("no component of the mixture can have any of the values")
+        of_covered = float((share * np.where(covered, total, 0)).sum())
+        if of_covered - before < eps or (max_steps is not None and steps >= max_steps):
             break
         resp = np.exp(logs - np.where(np.isfinite(total), total, 0)) * share
-        before, steps = now, steps + 1
+        before, steps = of_covered, steps + 1
         weights = resp.sum(axis=1) / resp.sum()
-        parts = [_update(p, x, r) for p, r in zip(parts, resp)]
+        parts = [updated(p, r.sum(), (r * x).sum()) for p, r in zip(parts, resp)]
     return Fit(canonical(mixture(weights.tolist(), parts)), now, steps)
 
 
@@ -232,10 +245,25 @@ def fit_tracks(tracks: list[DataFrame], start: Distribution, value: str = "value
     return [fit_track(t, start, value, **options) for t in tracks]
 
 
-def fit_coordinates(df: DataFrame, start: Distribution, v: str = "v", **options) -> list[Fit]:
-    """A mixture for each coordinate, fitted to its histogram."""
-    hist = coordinate_histograms(df, v).toArrow().to_pandas().sort_values(["i", "x"])
-    return [fit_mixture(h["x"], h["n"], start, **options) for _, h in hist.groupby("i")]
+def fit_coordinates(df: DataFrame, start: Distribution, v: str = "v", max_bins: int = MAX_BINS, **options) -> list[Fit]:
+    """A mixture for each coordinate, fitted where its histogram is; a row for each coordinate reaches the driver.
+
+    Histograms of more than max_bins values are rounded to a grid first, as gridded() does, each to its own.
+    """
+    hist = coordinate_histograms(df, v)
+    bounds = hist.groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("values"))
+    step = (F.col("high") - F.col("low")) / max_bins
+    fine = (F.col("values") <= max_bins) | F.isnan(step) | (F.abs(step) == INF)
+    x = F.when(fine, F.col("x")).otherwise(F.floor(F.col("x") / step) * step)
+    hist = hist.join(bounds, "i").groupBy("i", x.alias("x")).agg(F.sum("n").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        fit = fit_mixture(pdf["x"], pdf["n"], start, **options)
+        return pd.DataFrame({"i": pdf["i"][:1], "model": [json.dumps(fit.model.to_json())], "log_likelihood": [fit.log_likelihood], "steps": [fit.steps]})
+
+    rows = hist.groupBy("i").applyInPandas(run, "i int, model string, log_likelihood double, steps int").collect()
+    return [Fit(Distribution.from_json(json.loads(r.model)), r.log_likelihood, r.steps) for r in sorted(rows, key=lambda r: r.i)]
 
 
 def model_curves(hist: DataFrame, model: Distribution, foreground: list[int]) -> DataFrame:

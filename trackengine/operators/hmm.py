@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackengine.functions.distributions import Distribution, log_density
 
-from .estimate import _update
+from .estimate import updated
 from .track import Track
 
 #: Bins of a block.
@@ -141,27 +141,23 @@ def posteriors(track: Track, hmm: Hmm, block: int = BLOCK) -> DataFrame:
 
 
 def train_step(track: Track, hmm: Hmm, block: int = BLOCK) -> Hmm:
-    """One Baum-Welch step. Tasks return expected counts: of transitions, starts, and of each value in each state."""
+    """One Baum-Welch step. A block returns expected counts of transitions, of starts, and of each state's bins and the sum of
+    their values, which is all that emissions are estimated from; a few numbers for each state reach the driver."""
     k = len(hmm.pi)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         x, before = pdf.value.to_numpy(float), pdf.before.iloc[0]
         post, moves = _smooth(hmm, x, None if before is None else np.asarray(before), np.asarray(pdf.after.iloc[0]))
-        out = [("move", i * k + j, 0.0, moves[i, j]) for i in range(k) for j in range(k)]
-        if before is None:
-            out += [("start", i, 0.0, post[0, i]) for i in range(k)]
         seen = ~np.isnan(x)
-        values, at = np.unique(x[seen], return_inverse=True)
-        for i in range(k):
-            out += [("emit", i, v, c) for v, c in zip(values, np.bincount(at, post[seen, i], len(values)))]
-        return pd.DataFrame(out, columns=["kind", "i", "x", "c"])
-
-    got = _bounded(track, hmm, block).groupBy("seqname", "blk").applyInPandas(run, "kind string, i int, x double, c double").groupBy("kind", "i", "x").agg(F.sum("c").alias("c")).toArrow().to_pandas()
-    moves, start = np.zeros(k * k), np.zeros(k)
-    for kind, into in (("move", moves), ("start", start)):
-        part = got[got.kind == kind]
-        into[part.i.to_numpy(int)] = part.c
-    emits = [got[(got.kind == "emit") & (got.i == i)].sort_values("x") for i in range(k)]
+        out = [("move", i, c) for i, c in enumerate(moves.ravel())]
+        out += [("start", i, post[0, i] if before is None else 0.0) for i in range(k)]
+        out += [("mass", i, c) for i, c in enumerate(post[seen].sum(axis=0))]
+        out += [("sum", i, c) for i, c in enumerate(x[seen] @ post[seen])]
+        return pd.DataFrame(out, columns=["kind", "i", "c"])
+
+    rows = _bounded(track, hmm, block).groupBy("seqname", "blk").applyInPandas(run, "kind string, i int, c double").groupBy("kind", "i").agg(F.sum("c").alias("c")).collect()
+    got = {kind: np.array([r.c for r in sorted(rows, key=lambda r: r.i) if r.kind == kind]) for kind in ("move", "start", "mass", "sum")}
+    moves, start = got["move"], got["start"]
     tr = moves.reshape(k, k)
-    return Hmm(start / start.sum(), tr / tr.sum(axis=1, keepdims=True), tuple(_update(d, e.x.to_numpy(float), e.c.to_numpy(float)) for d, e in zip(hmm.emissions, emits)), hmm.names)
+    return Hmm(start / start.sum(), tr / tr.sum(axis=1, keepdims=True), tuple(updated(d, n, total) for d, n, total in zip(hmm.emissions, got["mass"], got["sum"])), hmm.names)

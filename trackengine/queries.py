@@ -492,11 +492,31 @@ def peakcaller_e2e(spark, d):
     return _digits(jobs.call_peaks(X.ship_tracks(spark, d)[0], EXAMPLE, [3], threshold=0.051), "test")
 
 
-@query()
+#: Steps of expectation-maximisation: h has the values' shares; a step that gains less than 1e-8 gives no row.
+_EM = """, h AS (SELECT r AS x, count(*) / (SELECT count(*) FROM li) AS share FROM li GROUP BY 1),
+em(steps, before, w0, w1, w2, w3, rate, p, q) AS (
+  SELECT 0, CAST('-inf' AS DOUBLE), 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE, 0.3::DOUBLE, 0.05::DOUBLE
+  UNION ALL
+  SELECT steps + 1, now, m0 / m, m1 / m, m2 / m, m3 / m, CASE WHEN m1 > 0 THEN s1 / m1 ELSE rate END, CASE WHEN m2 > 0 THEN m2 / (m2 + s2) ELSE p END, CASE WHEN m3 > 0 THEN m3 / (m3 + s3) ELSE q END
+  FROM (SELECT steps, before, rate, p, q, sum(share * ln(t)) AS now, sum(share * d0 / t) AS m0, sum(share * d1 / t) AS m1, sum(share * d2 / t) AS m2, sum(share * d3 / t) AS m3,
+      sum(share) AS m, sum(share * x * d1 / t) AS s1, sum(share * x * d2 / t) AS s2, sum(share * x * d3 / t) AS s3
+    FROM (SELECT *, d0 + d1 + d2 + d3 AS t
+      FROM (SELECT *, CASE WHEN x = 0 THEN w0 ELSE 0 END AS d0, w1 * CASE WHEN x = 0 THEN exp(-rate) WHEN rate > 0 THEN exp(x * ln(rate) - rate - lgamma(x + 1)) ELSE 0 END AS d1,
+          w2 * p * pow(1 - p, x) AS d2, w3 * q * pow(1 - q, x) AS d3 FROM em, h) a) b
+    GROUP BY ALL) c
+  WHERE now - before >= 1e-8 AND steps < 2000),
+fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1),
+parts AS (
+  SELECT 0 AS kind, 'scalar:delta distribution' AS name, w0 AS weight, 0.0 AS parameter FROM fit UNION ALL SELECT 1, 'scalar:poisson distribution', w1, rate FROM fit
+  UNION ALL SELECT 2, 'scalar:geometric distribution', w2, p FROM fit UNION ALL SELECT 2, 'scalar:geometric distribution', w3, q FROM fit)
+SELECT CAST(row_number() OVER (ORDER BY kind, CASE WHEN kind = 2 THEN -parameter END) - 1 AS INTEGER) AS component, name, round(weight, 5) AS weight, round(parameter, 5) AS parameter FROM parts"""
+
+
+@query("WITH RECURSIVE " + _LI[5:] + _EM)
 def em_fit(spark, d):
     """The four-component mixture fitted to a track, a row for each component in canonical order."""
     fit = jobs.learn(X.ship_tracks(spark, d)[2], jobs.treatment_start())
-    rows = [(i, p.name, float(w), float(p.parameters[0])) for i, (w, p) in enumerate(zip(fit.model.parameters, fit.model.parts))]
+    rows = [(i, p.name, round(float(w), 5), round(float(p.parameters[0]), 5)) for i, (w, p) in enumerate(zip(fit.model.parameters, fit.model.parts))]
     return spark.createDataFrame(rows, "component int, name string, weight double, parameter double")
 
 
@@ -672,16 +692,40 @@ def _hmm() -> H.Hmm:
     return H.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), (poisson(1.0), poisson(5.0)))
 
 
-@query()
+#: Forward and backward steps of the two states, scaled: q has the emissions' shares at each bin, j what each move weighs.
+_HMM = """, q AS (SELECT seqname, bin, a, 1 / (1 + exp(a * ln(5) - 4)) AS q0, 1 / (1 + exp(4 - a * ln(5))) AS q1 FROM li),
+f(seqname, bin, f0, f1) AS (
+  SELECT seqname, bin, 0.6 * q0 / (0.6 * q0 + 0.4 * q1), 0.4 * q1 / (0.6 * q0 + 0.4 * q1) FROM q WHERE bin = 0
+  UNION ALL
+  SELECT seqname, bin, x / (x + y), y / (x + y)
+  FROM (SELECT q.seqname, q.bin, (0.9 * f0 + 0.2 * f1) * q0 AS x, (0.1 * f0 + 0.8 * f1) * q1 AS y FROM f JOIN q ON q.seqname = f.seqname AND q.bin = f.bin + 1) s),
+b(seqname, bin, b0, b1) AS (
+  SELECT seqname, max(bin), 0.5::DOUBLE, 0.5::DOUBLE FROM q GROUP BY 1
+  UNION ALL
+  SELECT seqname, bin, x / (x + y), y / (x + y)
+  FROM (SELECT b.seqname, b.bin - 1 AS bin, 0.9 * q0 * b0 + 0.1 * q1 * b1 AS x, 0.2 * q0 * b0 + 0.8 * q1 * b1 AS y FROM b JOIN q ON q.seqname = b.seqname AND q.bin = b.bin WHERE b.bin > 0) s),
+post AS (SELECT seqname, bin, a, f0 * b0 / (f0 * b0 + f1 * b1) AS p0, f1 * b1 / (f0 * b0 + f1 * b1) AS p1 FROM f JOIN b USING (seqname, bin) JOIN q USING (seqname, bin)) """
+
+
+@query("WITH RECURSIVE " + _LI[5:] + _HMM + "SELECT seqname, bin, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM post")
 def hmm_posterior(spark, d):
     rows = H.posteriors(X.ship_tracks(spark, d)[0], _hmm(), block=500)
     return rows.select("seqname", "bin", F.round(F.get("p", F.lit(0)), 6).alias("p0"), F.round(F.get("p", F.lit(1)), 6).alias("p1"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _LI[5:] + _HMM + """, j AS (
+  SELECT f0 * 0.9 * q0 * b0 AS j00, f0 * 0.1 * q1 * b1 AS j01, f1 * 0.2 * q0 * b0 AS j10, f1 * 0.8 * q1 * b1 AS j11
+  FROM f JOIN b ON b.seqname = f.seqname AND b.bin = f.bin + 1 JOIN q ON q.seqname = b.seqname AND q.bin = b.bin),
+m AS (SELECT sum(j00 / t) AS m00, sum(j01 / t) AS m01, sum(j10 / t) AS m10, sum(j11 / t) AS m11 FROM (SELECT *, j00 + j01 + j10 + j11 AS t FROM j) s),
+e AS (SELECT avg(p0) FILTER (bin = 0) AS s0, avg(p1) FILTER (bin = 0) AS s1, sum(a * p0) / sum(p0) AS r0, sum(a * p1) / sum(p1) AS r1 FROM post)
+SELECT 0 AS state, round(s0, 6) AS pi, round(m00 / (m00 + m01), 6) AS to0, round(m01 / (m00 + m01), 6) AS to1, round(r0, 6) AS rate FROM m, e
+UNION ALL SELECT 1, round(s1, 6), round(m10 / (m10 + m11), 6), round(m11 / (m10 + m11), 6), round(r1, 6) FROM m, e"""
+)
 def hmm_train(spark, d):
     h = H.train_step(X.ship_tracks(spark, d)[0], _hmm(), block=500)
-    return spark.createDataFrame([(i, float(h.pi[i]), *map(float, h.tr[i]), float(h.emissions[i].parameters[0])) for i in range(2)], "state int, pi double, to0 double, to1 double, rate double")
+    numbers = lambda i: [round(float(x), 6) for x in (h.pi[i], *h.tr[i], h.emissions[i].parameters[0])]
+    return spark.createDataFrame([(i, *numbers(i)) for i in range(2)], "state int, pi double, to0 double, to1 double, rate double")
 
 
 @query("SELECT CAST(i AS INTEGER) AS state, CASE i WHEN 0 THEN 0.666667 ELSE 0.333333 END::DOUBLE AS p FROM range(2) t(i)")
