@@ -118,22 +118,20 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
     Every fingerprint is at home in the tile of its four part counts and visits the half of the neighbouring tiles whose
     counts differ by at most the radius in sum; other tile pairs are skipped, which loses no link. Tiles of many
-    fingerprints are cut into blocks by a hash, and a visitor goes to each block. A block returns a spanning forest of
-    its links, so that a group of n near copies gives n - 1 rows, not n * n.
+    fingerprints are cut into blocks by a hash, as many as their own size asks for, and a visitor goes to each block of
+    the tile that it visits. The sizes of tiles are broadcast: there are at most 17 ** 4. A block returns a spanning forest
+    of its links, so that a group of n near copies gives n - 1 rows, not n * n.
     """
     tile = sum((_part_count(p) * 32**p for p in range(PARTS)), F.lit(0)).cast("int")
     tiled = distinct.select("fp", tile.alias("tile"))
-    most = tiled.groupBy("tile").count().agg(F.max("count")).first()[0] or 0
-    blocks = -(-most // BLOCK) or 1
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(blocks)).cast("int")
-    home = tiled.select("fp", "tile", own.alias("block"), F.lit(True).alias("own"))
+    sizes = F.broadcast(tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    home = tiled.join(sizes, "tile").select("fp", "tile", own.alias("block"), F.lit(True).alias("own"))
     steps = F.array(*[F.lit(x) for x in _offsets(radius)])
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    visits = tiled.select("fp", F.explode(F.transform(steps, lambda d: F.col("tile") + d)).alias("tile")).join(tiled.select("tile").distinct(), "tile", "left_semi")
-    visits = visits.select("fp", "tile", F.explode(every).alias("block"), F.lit(False).alias("own"))
-    rows = home.unionByName(visits)
-    if blocks > 1:  # blocks of one tile meet each other as well
-        rows = rows.unionByName(home.select("fp", "tile", F.explode(F.filter(every, lambda b: b < F.col("block"))).alias("block"), F.lit(False).alias("own")))
+    before = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("block")
+    visits = tiled.select("fp", F.explode(F.transform(steps, lambda d: F.col("tile") + d)).alias("tile")).join(sizes, "tile").select("fp", "tile", before(F.col("blocks")), F.lit(False).alias("own"))
+    within = home.filter("block > 0").select("fp", "tile", before(F.col("block")), F.lit(False).alias("own"))  # blocks of one tile meet each other as well
+    rows = home.unionByName(visits).unionByName(within)
     return rows.groupBy("tile", "block").applyInPandas(lambda pdf: _compare(pdf, radius), "u long, v long")
 
 
