@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, embed, langid, mixing, packing, simhash, suffix, topk, warc
+from . import brown, chat, divergence, embed, langid, mixing, packing, periods, simhash, suffix, topk, warc
 from .common import table
 
 
@@ -55,8 +56,30 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def _planted_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Every tenth document, by crc32 of its id, gets a periodic tail; a null id counts as empty text."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g = h // 10
+    a = g % n
+    return None if h % 10 else (a, 1 + (n - a) // (3 + g % 8))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), _planted_tail)
+    found = found.withColumns({"best": periods.strongest(F.col("runs")), "lines": F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))})
+    lines = F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_packing, op4_chat, op5_simhash, op6_warc_merkle, op7_language_id, op8_embedding_dedup, op9_topk, op10_brown_lm)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_packing, op4_chat, op5_simhash, op6_warc_merkle, op7_language_id, op8_embedding_dedup, op9_topk, op10_brown_lm, op11_source_divergence, op13_periodic_runs)}
 
 
 _CHAT = r"""
@@ -101,5 +124,31 @@ SELECT e.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, least(e.vec_id, co
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.u LEFT JOIN c ON e.vec_id = c.u"""
 
 
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+vs AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY 1),
+ns AS (SELECT lang, source, sum(c) AS total FROM n GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 1)) // (coalesce(ns.total, 0) + vs.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.c + 1)) // (vs.total + vs.v) AS q
+  FROM g JOIN kept USING (lang) JOIN vs USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+    LEFT JOIN ns ON ns.lang = g.lang AND ns.source = g.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM k WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": _CHAT, "op8_embedding_dedup": _EMBED, "op9_topk": _TOPK}
+    return {"op4_chat": _CHAT, "op8_embedding_dedup": _EMBED, "op9_topk": _TOPK, "op11_source_divergence": _DIVERGENCE}
