@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, divergence, embed, langid, mixing, packing, periods, simhash, suffix, topk, warc
+from . import brown, chat, divergence, embed, langid, mixing, packing, periods, simhash, suffix, topk, toxicity, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _planted_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """Every tenth document, by crc32 of its id, gets a periodic tail; a null id counts as empty text."""
     h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -79,7 +83,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_packing, op4_chat, op5_simhash, op6_warc_merkle, op7_language_id, op8_embedding_dedup, op9_topk, op10_brown_lm, op11_source_divergence, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_packing, op4_chat, op5_simhash, op6_warc_merkle, op7_language_id, op8_embedding_dedup, op9_topk, op10_brown_lm, op11_source_divergence, op12_toxicity, op13_periodic_runs)}
 
 
 _CHAT = r"""
