@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -323,6 +324,46 @@ def test_exchange_gains_likelihood(spark):
     assert (grid == counted(classes)).all() and brown.likelihood(grid) > brown.likelihood(counted(first)) + 10
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 3)]) for i in rng.integers(18, 24, 40)] + [(20, [1.0, 2.0, 3.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    expected = []
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            found = sorted((-sum(64 * 64 * a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(rows) if c != q)[:4]
+            expected += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=4).collect()))
+    assert got == sorted(expected)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, and columns that are called like the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("aeinrst", k=rng.randint(2, 6))) for _ in range(rng.randint(1, 80)))
+    rows = [(i, text(), "en" if i % 2 else "xx", f"s{i % 3}") for i in range(40)]
+    rows += [(None, text(), None, None), (50, None, "en", "s1"), (51, "", "en", None), (52, " \t", None, "s1"), (3, text(), "en", "s0"), rows[5], rows[5], (53, "long " * 3000, "en", "s2")]
+    rows = [(*r, 0 if r[1] is None else len(r[1]), i, "f", "p", "m") for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row long, _file string, position string, _metadata string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    ids = {r.doc_id for r in out}
+    assert {50, 51, 52} & ids == set() and len(ids & set(range(40))) > 30
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

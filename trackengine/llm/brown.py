@@ -26,6 +26,8 @@ OFTEN = 10
 SWEEPS, PRIOR = 5, 20.0
 #: Words that one task of a sweep goes through, about; buckets of words whose neighbours are packed together.
 TASK_WORDS, BUCKETS = 4096, 256
+#: Pairs of a bucket that a task holds before it adds them up, about 12 bytes each.
+HELD_PAIRS = 4 << 20
 END = MOVABLE + ENDINGS
 CLASSES = END + 1
 
@@ -133,15 +135,20 @@ def symbol_pairs(texts: DataFrame) -> DataFrame:
 
     @giving_back
     def together(batches):
-        now, codes, n = None, [], []
+        now, codes, n, held, limit = None, [], [], 0, HELD_PAIRS
         for b in batches:
             for bucket, side, c, k in zip(*(x.to_pylist() for x in b.columns)):
                 if now not in (None, (bucket, side)):
                     yield packed(*now, *added(codes, n))
-                    codes, n = [], []
+                    codes, n, held, limit = [], [], 0, HELD_PAIRS
                 now = bucket, side
                 codes.append(np.frombuffer(c, "<u4"))
                 n.append(np.frombuffer(k, "<i8"))
+                held += len(codes[-1])
+                if held > limit:  # different pairs of a bucket are bounded by the symbols, whatever the texts
+                    codes, n = ([x] for x in added(codes, n))
+                    held = len(codes[0])
+                    limit = max(HELD_PAIRS, 2 * held)
         if now:
             yield packed(*now, *added(codes, n))
 

@@ -269,7 +269,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     length, first, start, offset = (np.array(x, np.int64) for x in (zip(*runs) if runs else [()] * 4))
     keys = (length << 48) + first
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_PIECES))
-    bucket, place_by, carried = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], []
+    bucket, place_by, carried = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], []
     if order is not None:
         rows = (pieces.agg(F.max("position")).first()[0] or 0) + 1
         bucket, place_by, carried = _stretch("position", rows, buckets), ["position", *place_by], ["position"]

@@ -41,8 +41,9 @@ def _matrix(rows) -> np.ndarray:
     return out
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
-    """The k best candidates of each query: (query row, candidate row, score) arrays for each chunk of queries.
+def block_top(queries: np.ndarray, query_rows: np.ndarray, candidates: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """The k best candidates of each query, itself (the candidate of the same row number) left out: (place of the query, of
+    the candidate, score) arrays for each chunk of queries.
 
     Postings of a term are the candidates with a weight in it; those of a term that most have are held as a whole column.
     Candidates must be sorted by id, so that of equal scores the smaller position is the smaller id.
@@ -67,7 +68,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
                 score[with_t] += part[with_t, t, None] * weights[t][None]
             else:
                 score[np.ix_(with_t, where)] += part[with_t, t, None] * weights[t][where][None]
-        own = query_ids[at : at + TOGETHER, None] == ids[None]
+        own = query_rows[at : at + TOGETHER, None] == rows[None]
         m = min(k + int(own.sum(axis=1).max(initial=0)), n)
         if bound < 2**48 and n <= 1 << 14:
             rank = np.where(own, np.iinfo(np.int64).min, score.astype(np.int64) * (1 << 14) - np.arange(n))
@@ -83,14 +84,17 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
     return out
 
 
+_FOUND = ("query_row", "query_id", "vec_id", "score")
+
+
 def _pair(key, queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(candidates):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    candidates = candidates.sort_values("vec_id", kind="stable")
-    sides = [(pdf.vec_id.to_numpy(), _matrix(pdf.terms.tolist())) for pdf in (queries, candidates)]
-    parts = [[(i[some], x[some]) for some in (large, ~large) if some.any()] for i, x in sides for large in [np.abs(x).max(axis=1, initial=0) * SCALE >= LARGE]]
-    found = [(qids[q], ids[c], s) for qids, x in parts[0] for ids, y in parts[1] for q, c, s in block_top(x, qids, y, ids, k)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found)))))
+        return pd.DataFrame({c: [] for c in _FOUND}, dtype="int64")
+    candidates = candidates.sort_values(["vec_id", "row"], kind="stable")
+    sides = [(pdf.row.to_numpy(), pdf.vec_id.to_numpy(), _matrix(pdf.terms.tolist())) for pdf in (queries, candidates)]
+    parts = [[(r[some], i[some], x[some]) for some in (large, ~large) if some.any()] for r, i, x in sides for large in [np.abs(x).max(axis=1, initial=0) * SCALE >= LARGE]]
+    found = [(qrows[q], qids[q], ids[c], s) for qrows, qids, x in parts[0] for rows, ids, y in parts[1] for q, c, s in block_top(x, qrows, y, rows, k)]
+    return pd.DataFrame(dict(zip(_FOUND, (np.concatenate(x) for x in zip(*found)))))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -100,18 +104,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     accumulates the scores of one block of queries over one block of candidates and passes on k rows a query, and the
     blocks' rows are merged by rank. Rows with a null id, and vectors that are null or hold null or non-finite components,
     take no part; shorter vectors have zeros behind. Scores are exact whatever the components' size; those that no long
-    holds are given as the largest or smallest one and tie there. A row is no candidate of a query with
-    the same id; rows that repeat an id count each. An empty table or no query gives no rows.
+    holds are given as the largest or smallest one and tie there. Rows that repeat an id are
+    rows of their own: each query row has its k best among all other rows, those of its own id too. An empty table or no query
+    gives no rows.
     """
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), usable(F.col(embedding)).alias("terms"), queries.alias("asks")).filter("vec_id IS NOT NULL AND terms IS NOT NULL")
-    rows = materialize(rows, "terms")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "terms")  # numbers stay as they were written
     n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    c = rows.select("vec_id", "terms", block(c_blocks).alias("c"), every(q_blocks).alias("q"))
-    q = rows.filter("asks").select("vec_id", "terms", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q"), every(c_blocks).alias("c"))
-    parts = q.groupBy("c", "q").cogroup(c.groupBy("c", "q")).applyInPandas(lambda key, a, b: _pair(key, a, b, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    block = lambda count: F.pmod(F.xxhash64("vec_id", "row"), F.lit(count)).cast("int")
+    c = rows.select("row", "vec_id", "terms", block(c_blocks).alias("c"), every(q_blocks).alias("q"))
+    q = rows.filter("asks").select("row", "vec_id", "terms", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q"), every(c_blocks).alias("c"))
+    parts = q.groupBy("c", "q").cogroup(c.groupBy("c", "q")).applyInPandas(lambda key, a, b: _pair(key, a, b, k), "query_row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
