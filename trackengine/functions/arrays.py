@@ -24,6 +24,16 @@ def div_int_up(a: int, b: int) -> int:
     return trunc_div(a + b - 1, b)
 
 
+def div_int_down_column(a: Column, b: int) -> Column:
+    """trunc_div of a whole-number column by a positive number, exactly: the remainder has the sign of the column."""
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
+
+
+def div_int_up_column(a: Column, b: int) -> Column:
+    """div_int_up of a whole-number column."""
+    return div_int_down_column(a + (b - 1), b)
+
+
 def offsets(n: int) -> tuple[int, int]:
     """Bins (or positions) to the left and right of the centre of a window of n."""
     return div_int_up(n - 1, 2), div_int_down(n - 1, 2)

@@ -41,6 +41,12 @@ def _times_ln(x: np.ndarray, p: float) -> np.ndarray:
     return np.where(x > 0, np.where(x > 0, x, 1.0) * _ln(p), 0.0)
 
 
+def _power_ln(x: np.ndarray, power: float) -> np.ndarray:
+    """power ln(x), 0 for a power of 0 whatever x is; at 0 infinite with the sign that the power gives."""
+    with np.errstate(divide="ignore"):
+        return np.zeros_like(x) if power == 0 else power * np.log(x)
+
+
 def _on(f, there):
     """f where `there` holds, -inf elsewhere; NaN stays NaN."""
 
@@ -71,8 +77,22 @@ def _steps(d: Distribution):
 
 
 def log_density(d: Distribution):
-    """The log density as a function of an array of numbers. The names are those of the model documents."""
+    """The log density as a function of an array of numbers. The names are those of the model documents.
+
+    Of a product (`vector:scalar id`, `matrix:vector id`) it is a function of an array of vectors, a row for each.
+    """
     kind, p = d.name.split(":")[-1], d.parameters
+    if kind in ("scalar id", "vector id"):
+        parts, sizes = [log_density(c) for c in d.parts], [dimension(c) for c in d.parts]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+
+        def product(x):
+            x = np.atleast_2d(np.asarray(x, float))
+            if x.shape[1] != bounds[-1]:
+                raise ValueError(f"{d.name} is of {bounds[-1]} numbers, not of {x.shape[1]}")
+            return sum(f(x[:, a] if kind == "scalar id" else x[:, a:b]) for f, a, b in zip(parts, bounds, bounds[1:]))
+
+        return product
     if kind == "delta distribution":
         return _on(np.zeros_like, lambda x: x == p[0])
     if kind == "poisson distribution":
@@ -82,9 +102,9 @@ def log_density(d: Distribution):
     if kind == "exponential distribution":
         return _on(lambda x: _ln(p[0]) - p[0] * x, lambda x: x >= 0)
     if kind == "gamma distribution":
-        return _on(lambda x: p[0] * _ln(p[1]) - math.lgamma(p[0]) + (p[0] - 1) * np.log(x) - p[1] * x, lambda x: x > 0)
+        return _on(lambda x: p[0] * _ln(p[1]) - math.lgamma(p[0]) + _power_ln(x, p[0] - 1) - p[1] * x, lambda x: x >= 0)
     if kind == "beta distribution":
-        return _on(lambda x: math.lgamma(p[0] + p[1]) - math.lgamma(p[0]) - math.lgamma(p[1]) + (p[0] - 1) * np.log(x) + (p[1] - 1) * np.log1p(-x), lambda x: (x > 0) & (x < 1))
+        return _on(lambda x: math.lgamma(p[0] + p[1]) - math.lgamma(p[0]) - math.lgamma(p[1]) + _power_ln(x, p[0] - 1) + _power_ln(1 - x, p[1] - 1), lambda x: (x >= 0) & (x <= 1))
     if kind == "normal distribution":
         return _on(lambda x: -0.5 * ((x - p[0]) / p[1]) ** 2 - math.log(p[1]) - 0.5 * math.log(2 * math.pi), np.isfinite)
     if kind == "categorical distribution":
@@ -106,10 +126,25 @@ def log_density(d: Distribution):
     raise ValueError(f"no density of one number is known for {d.name!r}")
 
 
+def dimension(d: Distribution) -> int:
+    """How many numbers an observation has: 1, or those of all factors of a product."""
+    kind = d.name.split(":")[-1]
+    if kind in ("scalar id", "vector id"):
+        return sum(map(dimension, d.parts))
+    return dimension(d.parts[0]) if kind == "mixture distribution" and d.parts else 1
+
+
 def negative_binomial_r_log_density(d: Distribution):
     """The variant whose size is the second number of each observation: log density of (count, size) rows."""
     p = d.parameters
-    return lambda rows: np.array([float(_negative_binomial(np.array([round(x + p[1])], float), r, 1 - p[0])[0]) if round(x + p[1]) >= 0 else -INF for x, r in rows])
+
+    def run(rows):
+        x, r = np.asarray(rows, float).reshape(-1, 2).T
+        count = np.round(x + p[1])
+        with np.errstate(invalid="ignore"):
+            return _on(lambda i: _negative_binomial(count[i.astype(int)], r[i.astype(int)], 1 - p[0]), lambda i: count[i.astype(int)] >= 0)(np.arange(len(x)))
+
+    return run
 
 
 def mean(d: Distribution):
@@ -137,6 +172,18 @@ def geometric(p: float) -> Distribution:
     return Distribution("scalar:geometric distribution", (p,))
 
 
+def normal(mean: float, deviation: float) -> Distribution:
+    return Distribution("scalar:normal distribution", (mean, deviation))
+
+
+def exponential(rate: float) -> Distribution:
+    return Distribution("scalar:exponential distribution", (rate,))
+
+
+def gamma(shape: float, rate: float) -> Distribution:
+    return Distribution("scalar:gamma distribution", (shape, rate))
+
+
 def translation(inner: Distribution, by: float) -> Distribution:
     return Distribution("scalar:pdf translation", (by,), (inner,))
 
@@ -145,5 +192,20 @@ def mixture(weights, parts) -> Distribution:
     return Distribution("scalar:mixture distribution", tuple(weights), tuple(parts))
 
 
+def product(parts) -> Distribution:
+    """A vector of independent numbers."""
+    return Distribution("vector:scalar id", (), tuple(parts))
+
+
+def rows(parts) -> Distribution:
+    """A matrix of independent rows, each a vector's distribution."""
+    return Distribution("matrix:vector id", (), tuple(parts))
+
+
 #: Names that model documents may use, to a check of the document.
-REGISTRY = {"scalar:" + n for n in ("delta distribution", "poisson distribution", "geometric distribution", "exponential distribution", "gamma distribution", "beta distribution", "normal distribution", "categorical distribution", "negative binomial distribution", "negative binomial r distribution", "pdf translation", "pdf log transform", "mixture distribution", "nonparametric distribution")}
+REGISTRY = {"scalar:" + n for n in ("delta distribution", "poisson distribution", "geometric distribution", "exponential distribution", "gamma distribution", "beta distribution", "normal distribution", "categorical distribution", "negative binomial distribution", "pdf translation", "pdf log transform", "mixture distribution", "nonparametric distribution")} | {"vector:scalar id", "matrix:vector id", "vector:mixture distribution", "matrix:mixture distribution"}
+
+
+def unknown_names(d: Distribution) -> set[str]:
+    """Names anywhere in a model that no density is known for."""
+    return {d.name} - REGISTRY | {n for part in d.parts for n in unknown_names(part)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 from dataclasses import dataclass
@@ -12,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackengine.functions.distributions import INF, Distribution, delta, geometric, log_density, mixture, poisson, translation
+from trackengine.functions.binning import adaptive_bins
+from trackengine.functions.distributions import INF, Distribution, delta, dimension, geometric, log_density, poisson
+from trackengine.functions.likelihood import estimated
 
 #: Distinct values beyond which a histogram is first rounded to a grid.
 MAX_BINS = 1_000_000
@@ -23,52 +24,36 @@ def value_histogram(df: DataFrame, value: str = "value", *by: str) -> DataFrame:
     return df.filter(~F.isnan(value) & F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
 
 
+#: Log weights are added up in steps of this width, inside which no sum of exponentials overflows.
+WEIGHT_STEP = 256.0
+
+
 def weighted_histogram(df: DataFrame, value: str, log_weight: str) -> DataFrame:
-    """(x, log_n): log of the summed weights of each value, from log weights; -inf adds nothing."""
-    rows = df.filter(~F.isnan(value) & F.col(value).isNotNull()).select(F.col(value).alias("x"), F.col(log_weight).alias("w"))
-    top = F.max("w")
-    highest = rows.groupBy("x").agg(top.alias("top"))
-    scaled = rows.join(highest, "x").withColumn("e", F.when(F.col("w") == -INF, 0.0).otherwise(F.exp(F.col("w") - F.col("top"))))
-    return scaled.groupBy("x").agg((F.first("top") + F.when(F.sum("e") > 0, F.ln(F.sum("e"))).otherwise(F.lit(0.0))).alias("log_n"))
-
-
-def gridded(hist: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
-    """A histogram of more than max_bins values with its values rounded down to a grid of as many steps, counts added."""
-    low, high, n = hist.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if n <= max_bins or not (math.isfinite(low) and math.isfinite(high)):
-        return hist
-    step = (high - low) / max_bins
-    return hist.groupBy((F.floor(F.col("x") / step) * step).alias("x")).agg(F.sum("n").alias("n"))
+    """(x, log_n): log of the summed weights of each value, from log weights; -inf adds nothing.
+
+    Weights of a value are added up by steps of their logarithm, then the few steps of each value are: no row is joined back.
+    """
+    w, step = F.col("w"), F.floor(F.col("w") / WEIGHT_STEP)
+    rows = df.filter(~F.isnan(value) & F.col(value).isNotNull()).select(F.col(value).alias("x"), F.when(F.col(log_weight) > -INF, F.col(log_weight)).alias("w"))
+    parts = rows.groupBy("x", step.alias("step")).agg(F.sum(F.exp(w - F.floor(w / WEIGHT_STEP) * WEIGHT_STEP)).alias("part"))
+    tops = parts.groupBy("x").agg(F.max("step").alias("top"), F.collect_list(F.struct("step", "part")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.coalesce(p["part"] * F.exp((p["step"] - F.col("top")) * WEIGHT_STEP), F.lit(0.0)))
+    return tops.select("x", F.when(F.col("top").isNull(), F.lit(-INF)).otherwise(F.ln(total) + F.col("top") * WEIGHT_STEP).alias("log_n"))
 
 
-def adaptive_bins(values: list[float], counts: list[float], nbins: int, by_size: bool = True) -> tuple[list[float], list[float]]:
-    """Merge neighbouring bins until nbins are left: the narrowest first, or those of the smallest count.
+def gridded(hist: DataFrame, max_bins: int = MAX_BINS, sums: list[str] | None = None) -> DataFrame:
+    """A histogram of more than max_bins values with its values rounded down to a grid of as many steps, counts added.
 
-    A bin reaches to the next value; the last one to half the last gap beyond, or 1 for a single value. The smallest bin
-    joins its smaller neighbour; ties go to the left. Returns lower edges and counts.
+    Infinite values stay as they are, and the grid is that of the finite ones. sums: the columns to add up, n by default.
     """
-    order = np.argsort(values)
-    low, n = [float(values[i]) for i in order], [float(counts[i]) for i in order]
-    end = low[-1] + ((low[-1] - low[-2]) / 2 if len(low) > 1 else 1.0)
-    right = [*low[1:], end]
-    before, after, alive = list(range(-1, len(low) - 1)), [*range(1, len(low)), -1], [True] * len(low)
-    size = (lambda i: right[i] - low[i]) if by_size else (lambda i: n[i])
-    heap, left = [(size(i), low[i], i) for i in range(len(low))], len(low)
-    heapq.heapify(heap)
-    while left > max(1, nbins):
-        s, _, i = heapq.heappop(heap)
-        if not alive[i] or s != size(i):
-            continue
-        sides = [j for j in (before[i], after[i]) if j >= 0]
-        j = min(sides, key=lambda j: (size(j), low[j]))
-        a, b = min(i, j, key=lambda k: low[k]), max(i, j, key=lambda k: low[k])
-        right[a], n[a], alive[b], after[a] = right[b], n[a] + n[b], False, after[b]
-        if after[b] >= 0:
-            before[after[b]] = a
-        heapq.heappush(heap, (size(a), low[a], a))
-        left -= 1
-    keep = [i for i in range(len(low)) if alive[i]]
-    return [low[i] for i in keep], [n[i] for i in keep]
+    names = sums or ["n"]
+    finite = F.when(F.abs("x") < INF, F.col("x"))
+    low, high, n = hist.agg(F.min(finite), F.max(finite), F.count("*")).first()
+    if n <= max_bins or low is None or not 0 < (high - low) < INF:
+        return hist
+    step = (high - low) / max_bins
+    x = F.when(F.abs("x") < INF, F.floor(F.col("x") / step) * step).otherwise(F.col("x"))
+    return hist.groupBy(x.alias("x")).agg(*(F.sum(c).alias(c) for c in names))
 
 
 def density(hist: DataFrame) -> DataFrame:
@@ -95,24 +80,25 @@ def log_entropy(dens: DataFrame) -> DataFrame:
 def step_log_pdf(df: DataFrame, dens: DataFrame, value: str = "value") -> DataFrame:
     """df with log_pdf: the density of the bin that a value lies in, -inf outside; NaN and null values give null.
 
-    The edges are one sorted array in a row that is broadcast. A density has as many as its histogram has values, which
-    gridded() bounds; one of more is an error.
+    Tasks hold the edges, sorted, and search a batch of values in them at once, so a row's cost grows with the logarithm of the edges'
+    number. A density has as many as its histogram has values, which gridded() bounds; one of more is an error.
     """
-    if dens.limit(MAX_BINS + 2).count() > MAX_BINS + 1:
+    got = dens.select("x", "delta", "log_density").limit(MAX_BINS + 2).toArrow()
+    if len(got) > MAX_BINS + 1:
         raise ValueError(f"the density has more than {MAX_BINS + 1} bins; put its histogram on a grid first")
-    edge = dens.agg(F.array_sort(F.collect_list(F.struct("x", "delta", "log_density"))).alias("edges__"))
-    v = F.col(value)
-    # bisection over the sorted edges: the number of halvings follows their count
-    lo = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size("edges__") + 1)).cast("int") + 1), F.struct(F.lit(0).alias("a"), F.size("edges__").alias("b")), lambda s, _: F.when(s["b"] - s["a"] <= 1, s).otherwise(_half(s, v)))
-    at = F.get("edges__", lo["a"])
-    inside = (v >= at["x"]) & (v < F.get("edges__", F.size("edges__") - 1)["x"] + F.get("edges__", F.size("edges__") - 1)["delta"])
-    return df.crossJoin(F.broadcast(edge)).withColumn("log_pdf", F.when(F.isnan(v) | v.isNull(), F.lit(None)).when(inside, at["log_density"]).otherwise(F.lit(-INF))).drop("edges__")
+    x, width, logs = (got.column(c).to_numpy().astype(float) for c in ("x", "delta", "log_density"))
+    order = np.argsort(x)
+    edges, logs = np.append(x[order], x[order][-1:] + width[order][-1:]), np.concatenate([[-INF], logs[order], [-INF]])
 
+    @F.pandas_udf("double")
+    def search(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(float, na_value=np.nan)
+        at = np.searchsorted(edges, v, side="right") if len(edges) else np.zeros(len(v), int)
+        return pd.Series(logs[np.minimum(at, len(logs) - 1)]).mask(np.isnan(v))
 
-def _half(s: Column, v: Column) -> Column:
-    mid = ((s["a"] + s["b"]) / 2).cast("int")
-    below = F.get("edges__", mid)["x"] <= v
-    return F.struct(F.when(below, mid).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(mid).alias("b"))
+    v = F.col(value).cast("double")
+    found = search(v)
+    return df.withColumn("log_pdf", F.when(F.isnan(v) | v.isNull(), F.lit(None).cast("double")).otherwise(found))
 
 
 # Mixtures ---------------------------------------------------------------------
@@ -127,33 +113,27 @@ class Fit:
     steps: int
 
 
-def updated(part: Distribution, total: float, weighted: float) -> Distribution:
-    """A component estimated from the sum of its observations' weights and that of weights times values."""
-    kind = part.name.split(":")[-1]
-    if kind == "poisson distribution":
-        return poisson(float(weighted / total)) if total > 0 else part
-    if kind == "geometric distribution":
-        return geometric(float(total / (total + weighted))) if total > 0 else part
-    if kind == "pdf translation":
-        by = part.parameters[0]
-        return translation(updated(part.parts[0], total, weighted + by * total), by)
-    return part  # a delta has nothing to learn
+updated = estimated
+
+
+def _steps_of(model: Distribution, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log densities of values under each component, weights included, and under the mixture."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.array([log_density(p)(x) for p in model.parts]) + np.log(np.array(model.parameters, float))[:, None]
+        return logs, np.logaddexp.reduce(logs)
 
 
 def fit_mixture(x, n, start: Distribution, eps: float = 1e-8, max_steps: int | None = None) -> Fit:
     """EM on a histogram of values x with counts n. It ends when the log-likelihood gains less than eps for each
-    observation. x has one entry for each distinct value, however many observations there are.
+    observation. x has one entry (of a product's mixture, one row) for each distinct value, however many observations there are.
 
-    Values that no component can have take no part, and the log-likelihood returned is then -inf; if there are no others,
-    that is an error.
+    Components are of any kind that likelihood.estimated() knows; another kind is an error. Values that no component can have
+    take no part, and the log-likelihood returned is then -inf; if there are no others, that is an error.
     """
     x, n = np.asarray(x, float), np.asarray(n, float)
-    weights, parts = np.array(start.parameters, float), list(start.parts)
-    share, before, steps = n / n.sum(), -INF, 0
+    model, share, before, steps = start, n / n.sum(), -INF, 0
     while True:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.array([log_density(p)(x) for p in parts]) + np.log(weights)[:, None]
-            total = np.logaddexp.reduce(logs)
+        logs, total = _steps_of(model, x)
         now = float((share * np.where(share > 0, total, 0)).sum())
         if math.isnan(now):
             raise ValueError("the likelihood of the mixture is not a number")
@@ -163,38 +143,81 @@ def fit_mixture(x, n, start: Distribution, eps: float = 1e-8, max_steps: int | N
         of_covered = float((share * np.where(covered, total, 0)).sum())
         if of_covered - before < eps or (max_steps is not None and steps >= max_steps):
             break
-        resp = np.exp(logs - np.where(np.isfinite(total), total, 0)) * share
         before, steps = of_covered, steps + 1
-        weights = resp.sum(axis=1) / resp.sum()
-        parts = [updated(p, r.sum(), (r * x).sum()) for p, r in zip(parts, resp)]
-    return Fit(canonical(mixture(weights.tolist(), parts)), now, steps)
+        resp = np.exp(logs - np.where(np.isfinite(total), total, 0)) * n * covered
+        mass = resp.sum(axis=1)
+        model = Distribution(start.name, tuple((mass / mass.sum()).tolist()), tuple(estimated(p, x, r) for p, r in zip(model.parts, resp)))
+    return Fit(canonical(model), now, steps)
 
 
-def canonical(model: Distribution) -> Distribution:
-    """Components in an order that doesn't depend on start values: by kind as they came, then geometric ones by falling
-    p, Poisson ones by rising rate, so that the heaviest tail is last."""
-    kinds = list(dict.fromkeys(p.name for p in model.parts))
+def _size(p: Distribution) -> tuple:
+    """What components of a kind are ordered by: the inner ones' numbers for those that have parts."""
+    if p.parts:
+        return tuple(n for c in p.parts for n in _size(c))
+    if isinstance(p.parameters, dict):
+        return tuple(p.parameters["X"][:1])
+    first = tuple(p.parameters[:1])
+    return tuple(-v for v in first) if p.name.endswith(("geometric distribution", "exponential distribution")) else first
 
-    def place(i: int):
-        p = model.parts[i]
-        size = p.parts[0].parameters[0] if p.parts else p.parameters[0] if p.parameters else 0
-        return kinds.index(p.name), -size if p.name.endswith("geometric distribution") else size
 
-    order = sorted(range(len(model.parts)), key=place)
-    return mixture([model.parameters[i] for i in order], [model.parts[i] for i in order])
+def canonical(model: Distribution) -> Distribution:
+    """Components in an order that doesn't depend on start values: by kind as they came, then geometric and exponential ones by
+    falling rate, others by rising first parameter, so that the heaviest tail is last."""
+    kinds = list(dict.fromkeys(p.name for p in model.parts))
+    order = sorted(range(len(model.parts)), key=lambda i: (kinds.index(model.parts[i].name), _size(model.parts[i])))
+    return Distribution(model.name, tuple(model.parameters[i] for i in order), tuple(model.parts[i] for i in order))
+
+
+def _spread(part: Distribution, at: float, low: float, high: float) -> Distribution:
+    """A component of the same kind whose mean is `at`, for values between low and high."""
+    kind, p = part.name.split(":")[-1], part.parameters
+    span = max(high - low, 1e-6)
+    new = {
+        "poisson distribution": lambda: (max(at, 1e-3),), "geometric distribution": lambda: (1 / (1 + max(at, 1e-3)),), "exponential distribution": lambda: (1 / max(at, 1e-6),),
+        "normal distribution": lambda: (at, span / 4), "gamma distribution": lambda: (2.0, 2.0 / max(at, 1e-6)), "negative binomial distribution": lambda: (2.0, max(at, 1e-3) / (max(at, 1e-3) + 2)),
+    }
+    if kind == "pdf translation":
+        return Distribution(part.name, p, (_spread(part.parts[0], at + p[0], low + p[0], high + p[0]),))
+    return Distribution(part.name, new[kind](), part.parts) if kind in new else part
 
 
-def start_values(kinds: list[str], seed: int = 0) -> Distribution:
-    """A mixture of components delta, poisson, geometric with seeded random parameters and equal weights."""
+def seeded_starts(x, n, start: Distribution, tries: int, seed: int = 0) -> list[Distribution]:
+    """`tries` start models like the given one: it, then ones whose components have means drawn from the values by their
+    counts, and weights drawn evenly. Kinds without a mean to set stay as they are."""
+    x, n = np.asarray(x, float), np.asarray(n, float)
+    finite = np.isfinite(x)
+    x, n = x[finite], n[finite]
     rng = np.random.default_rng(seed)
-    make = {"delta": lambda: delta(0.0), "poisson": lambda: poisson(float(rng.random() * 10)), "geometric": lambda: geometric(float(rng.random()))}
-    return mixture([1 / len(kinds)] * len(kinds), [make[k]() for k in kinds])
-
-
-def fit_track(df: DataFrame, start: Distribution, value: str = "value", **options) -> Fit:
-    """Fit a mixture to the values of a table through their histogram, the only part that reaches the driver."""
+    out = [start]
+    for _ in range(tries - 1):
+        # half of the means by counts, half anywhere, so that rare large values have a component now and then
+        means = np.where(rng.random(len(start.parts)) < 0.5, rng.choice(x, len(start.parts), p=n / n.sum()), rng.uniform(x.min(), x.max(), len(start.parts)))
+        weights = rng.dirichlet(np.full(len(start.parts), 2.0))
+        out.append(Distribution(start.name, tuple(weights.tolist()), tuple(_spread(p, float(m), float(x.min()), float(x.max())) for p, m in zip(start.parts, means))))
+    return out
+
+
+def best_fit(x, n, start: Distribution, tries: int = 8, seed: int = 0, **options) -> Fit:
+    """The fit of the greatest likelihood from several seeded starts; the first of equal ones."""
+    fits = []
+    for model in seeded_starts(x, n, start, tries, seed):
+        try:
+            fits.append(fit_mixture(x, n, model, **options))
+        except ValueError:
+            if model is start and tries == 1:
+                raise
+    if not fits:
+        raise ValueError("no start model can have any of the values")
+    return max(fits, key=lambda f: f.log_likelihood)
+
+
+def fit_track(df: DataFrame, start: Distribution, value: str = "value", tries: int = 1, seed: int = 0, **options) -> Fit:
+    """Fit a mixture to the values of a table through their histogram, the only part that reaches the driver.
+
+    tries: start models to try, the given one first (see seeded_starts).
+    """
     hist = gridded(value_histogram(df, value)).toArrow().to_pandas().sort_values("x")
-    return fit_mixture(hist["x"], hist["n"], start, **options)
+    return best_fit(hist["x"], hist["n"], start, tries, seed, **options)
 
 
 def posterior(df: DataFrame, model: Distribution, components: list[int], value: str = "value") -> DataFrame:
@@ -240,9 +263,120 @@ def matrix_row_histograms(df: DataFrame, m: str = "m") -> DataFrame:
     return value_histogram(rows, "value", "i")
 
 
-def fit_tracks(tracks: list[DataFrame], start: Distribution, value: str = "value", **options) -> list[Fit]:
-    """A mixture for each of several tracks, fitted to its histogram."""
-    return [fit_track(t, start, value, **options) for t in tracks]
+def vector_histogram(df: DataFrame, v: str = "v") -> DataFrame:
+    """(v, n): how often each exact vector occurs; vectors with a null or NaN are left out."""
+    whole = F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return df.filter(whole).groupBy(F.col(v).alias("v")).agg(F.count("*").alias("n"))
+
+
+#: Distinct vectors whose weights a task adds up at once.
+TOGETHER = 65_536
+
+
+def joint_step(hist: DataFrame, model: Distribution) -> tuple[np.ndarray, float, list[pd.DataFrame]]:
+    """One E-step over (v, n): each component's weight, the log-likelihood of the sum, and for each coordinate its values (x)
+    with their weight in each component (c0, c1, …), on a grid where there are more than MAX_BINS.
+
+    Vectors stay where they are; tasks add up a row for each distinct value of a coordinate.
+    """
+    k = len(model.parts)
+    width = dimension(model)
+    schema = f"i int, x double, {', '.join(f'c{c} double' for c in range(k))}"
+
+    def run(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), TOGETHER):
+                some = pdf.iloc[at : at + TOGETHER]
+                x, n = np.array(some["v"].tolist(), float).reshape(len(some), -1), some["n"].to_numpy(float)
+                if x.shape[1] != width:
+                    raise ValueError(f"the model is of {width} numbers, not of {x.shape[1]}")
+                logs, total = _steps_of(model, x)
+                if np.isnan(total).any():
+                    raise ValueError("the likelihood of the mixture is not a number")
+                covered = np.isfinite(total)
+                resp = np.exp(logs - np.where(covered, total, 0)) * n * covered
+                whole = np.concatenate([resp.sum(axis=1)])
+                # i = -1: the components' weights; -2: the log-likelihood and the weight of what is covered
+                yield pd.DataFrame([[-1, 0.0, *whole]], columns=["i", "x", *(f"c{c}" for c in range(k))])
+                yield pd.DataFrame([[-2, y, z, *[0.0] * (k - 1)] for y, z in ((0.0, float((n * np.where(covered, total, 0)).sum())), (1.0, float((n * covered).sum())), (2.0, float((n * ~covered).sum())))], columns=["i", "x", *(f"c{c}" for c in range(k))])
+                for i in range(width):
+                    values, where = np.unique(x[:, i], return_inverse=True)
+                    yield pd.DataFrame({"i": i, "x": values, **{f"c{c}": np.bincount(where, r, len(values)) for c, r in enumerate(resp)}})
+
+    cols = [f"c{c}" for c in range(k)]
+    sums = hist.select("v", "n").mapInPandas(run, schema).groupBy("i", "x").agg(*(F.sum(c).alias(c) for c in cols))
+    low, high, many = (F.min("x"), F.max("x"), F.count("*"))
+    bounds = sums.groupBy("i").agg(low.alias("low"), high.alias("high"), many.alias("values"))
+    step = (F.col("high") - F.col("low")) / MAX_BINS
+    fine = (F.col("values") <= MAX_BINS) | F.isnan(step) | (F.abs(step) == INF) | (step == 0)
+    grid = sums.join(F.broadcast(bounds), "i").groupBy("i", F.when(fine, F.col("x")).otherwise(F.floor(F.col("x") / step) * step).alias("x")).agg(*(F.sum(c).alias(c) for c in cols))
+    got = grid.toArrow().to_pandas().sort_values(["i", "x"])  # MAX_BINS rows a coordinate at most
+    if not len(got):
+        raise ValueError("there are no vectors to fit")
+    weight = got[got["i"] == -1][cols].to_numpy(float)[0]
+    of_covered, covered, left = got[got["i"] == -2]["c0"].to_numpy(float)
+    if not covered:
+        raise ValueError("no component of the mixture can have any of the values")
+    return weight, float(of_covered / (covered + left)), [got[got["i"] == i] for i in range(width)]
+
+
+def _estimated_by_coordinate(part: Distribution, hist: list[pd.DataFrame], c: str) -> Distribution:
+    """A product estimated from the weights of each of its coordinates' values."""
+    kind = part.name.split(":")[-1]
+    if kind not in ("scalar id", "vector id"):
+        return estimated(part, hist[0]["x"], hist[0][c])
+    at, parts = 0, []
+    for inner in part.parts:
+        parts.append(_estimated_by_coordinate(inner, hist[at : at + dimension(inner)], c))
+        at += dimension(inner)
+    return Distribution(part.name, part.parameters, tuple(parts))
+
+
+def fit_joint(df: DataFrame, start: Distribution, v: str = "v", eps: float = 1e-8, max_steps: int | None = None) -> Fit:
+    """One mixture of products for the vectors of a table: several tracks' values at a bin, or windows of them.
+
+    EM over the distinct vectors, which stay in Spark; a step sends each coordinate's values with their weights to the driver, from
+    which components are estimated. Ends as fit_mixture() does.
+    """
+    hist = vector_histogram(df, v).persist()
+    try:
+        model, before, steps = start, -INF, 0
+        while True:
+            weight, now, coordinates = joint_step(hist, model)
+            if now - before < eps or (max_steps is not None and steps >= max_steps):
+                return Fit(canonical(model), now, steps)
+            before, steps = now, steps + 1
+            parts = tuple(_estimated_by_coordinate(p, coordinates, f"c{c}") for c, p in enumerate(model.parts))
+            model = Distribution(start.name, tuple((weight / weight.sum()).tolist()), parts)
+    finally:
+        hist.unpersist()
+
+
+def vector_log_density(df: DataFrame, model: Distribution, v: str = "v", name: str = "log_pdf") -> DataFrame:
+    """df with the log density of each vector, or of each matrix (an array of rows), under a product or a mixture of products.
+
+    Another number of elements than the model's is an error; null arrays and those with a null or NaN give NaN.
+    """
+    f, width = log_density(model), dimension(model)
+    nested = df.schema[v].dataType.elementType.typeName() == "array"
+    flat = F.flatten(v) if nested else F.col(v)
+    rows = len(model.parts[0].parts if model.name.split(":")[-1] == "mixture distribution" else model.parts)
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        out = np.full(len(values), np.nan)
+        there = np.flatnonzero(values.notna().to_numpy())
+        if len(there):
+            if bad := {len(x) for x in values.iloc[there]} - {width}:
+                raise ValueError(f"the model is of {width} numbers, not of {min(bad)}")
+            x = np.array([np.asarray(x, float) for x in values.iloc[there]])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[there] = f(x)
+        return pd.Series(out)
+
+    fits = (F.size(v) == rows) if nested and model.name.startswith("matrix") else F.lit(True)
+    checked = F.when(fits | F.col(v).isNull(), flat).otherwise(F.raise_error(F.lit(f"a matrix has not {rows} rows")).cast("array<double>"))
+    return df.withColumn(name, F.coalesce(run(checked.cast("array<double>")), F.lit(float("nan"))))
 
 
 def fit_coordinates(df: DataFrame, start: Distribution, v: str = "v", max_bins: int = MAX_BINS, **options) -> list[Fit]:

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from trackengine.functions.arrays import NAN, above, offsets
 
+from .scans import BLOCK, BlockScan, scan
 from .track import KEYS, Track, require_aligned, wide
 
-#: Bins of a block; rows near its borders are in two blocks.
-BLOCK = 65_536
-
 
 def halo(df: DataFrame, left: int, right: int, block: int = BLOCK) -> DataFrame:
     """df with a column blk: each row in its block, and again in those that look left or right at it."""
@@ -25,10 +23,14 @@ def halo(df: DataFrame, left: int, right: int, block: int = BLOCK) -> DataFrame:
     return df.withColumn("blk", F.explode(F.filter(also, lambda b: b.isNotNull()))).withColumn("home", own == F.col("blk"))
 
 
-def frames(df: DataFrame, left: int, right: int, values: str = "value", block: int = BLOCK) -> DataFrame:
-    """df with win: the values of bins bin - left to bin + right, fewer at the ends of a sequence."""
+def frames(df: DataFrame, left: int, right: int, values: str = "value", block: int = BLOCK, keep_bins: bool = False) -> DataFrame:
+    """df with win: the values of bins bin - left to bin + right, fewer at the ends of a sequence.
+
+    keep_bins: win has pairs (bin, value), for tables that lack some bins.
+    """
     over = Window.partitionBy("seqname", "blk").orderBy("bin").rowsBetween(-left, right)
-    return halo(df, left, right, block).withColumn("win", F.collect_list(values).over(over)).filter("home").drop("blk", "home")
+    what = F.struct("bin", values) if keep_bins else values
+    return halo(df, left, right, block).withColumn("win", F.collect_list(what).over(over)).filter("home").drop("blk", "home")
 
 
 def centred(track: Track, n: int, block: int = BLOCK) -> DataFrame:
@@ -91,8 +93,11 @@ def hopping(track: Track, n: int, step: int = 0, block: int = BLOCK) -> DataFram
 
 
 def hopping_multi(tracks: list[Track], n: int, step: int = 0, block: int = BLOCK) -> DataFrame:
-    """(seqname, bin, win) over aligned tracks: centred windows at every step-th bin from the first whole one; NaN stays."""
-    require_aligned(tracks, every=False)
+    """(seqname, bin, win) over aligned tracks: centred windows at every step-th bin from the first whole one; NaN stays.
+
+    A sequence that one of the tracks lacks, or has in another length, is an error.
+    """
+    require_aligned(tracks)
     step = step if step > 0 else n
     left, right = offsets(n)
     rows = frames(wide(tracks), left, right, "v", block).join(tracks[0].genome, "seqname")
@@ -100,11 +105,15 @@ def hopping_multi(tracks: list[Track], n: int, step: int = 0, block: int = BLOCK
     return rows.filter(inside & ((F.col("bin") - left) % step == 0)).select(*KEYS, "win")
 
 
-def classify_sequences(track: Track, f: Callable, transform: Callable | None = None) -> Track:
+def classify_sequences(track: Track, f: Callable | BlockScan, transform: Callable | None = None, block: int = BLOCK) -> Track:
     """f on the whole value vector of each sequence (a numpy array), giving one of equal length.
 
-    f may look at any bin, so a sequence is one task's; what can be told from blocks belongs into frames() or runs().
+    A BlockScan sees blocks and what it summed the others up to, so a long sequence is many tasks (transform is then applied to
+    blocks). A plain function may look at any bin, so a sequence is one task's.
     """
+    if isinstance(f, BlockScan):
+        change = (lambda g: lambda x, *ends: g(transform(x), *ends)) if transform else (lambda g: g)
+        return replace(track, df=scan(track.df, BlockScan(change(f.summary), f.chain, change(f.finish)), block=block))
 
     def run(pdf):
         pdf = pdf.sort_values("bin")
@@ -117,11 +126,17 @@ def classify_sequences(track: Track, f: Callable, transform: Callable | None = N
     return replace(track, df=track.df.groupBy("seqname").applyInPandas(run, "seqname string, bin int, value double"))
 
 
-def classify_sequences_multi(tracks: list[Track], f: Callable, transposed: bool = False) -> Track:
-    """f on the matrix of whole sequences (tracks by bins, or bins by tracks if transposed), giving a value for each bin."""
+def classify_sequences_multi(tracks: list[Track], f: Callable | BlockScan, transposed: bool = False, block: int = BLOCK) -> Track:
+    """f on the matrix of whole sequences (tracks by bins, or bins by tracks if transposed), giving a value for each bin.
+
+    A BlockScan gets the matrices of blocks.
+    """
     import numpy as np
 
     require_aligned(tracks, every=False)
+    if isinstance(f, BlockScan):
+        turn = (lambda g: lambda x, *ends: g(x.T, *ends)) if transposed else (lambda g: g)
+        return replace(tracks[0], df=scan(wide(tracks), BlockScan(turn(f.summary), f.chain, turn(f.finish)), "v", block))
 
     def run(pdf):
         pdf = pdf.sort_values("bin")

@@ -24,9 +24,9 @@ def control_start() -> Distribution:
     return mixture([1 / 9] * 9, [*(delta(float(i)) for i in range(5)), translation(poisson(3.0), -5.0), geometric(0.3), geometric(0.1), geometric(0.02)])
 
 
-def learn(track: Track, start: Distribution, eps: float = 1e-8, names: list[str] | None = None, max_steps: int | None = 2000) -> Fit:
-    """Fit a mixture to the values of a track, or of some of its sequences."""
-    return fit_track((track.filter_genome(names) if names else track).df, start, eps=eps, max_steps=max_steps)
+def learn(track: Track, start: Distribution, eps: float = 1e-8, names: list[str] | None = None, max_steps: int | None = None, tries: int = 1) -> Fit:
+    """Fit a mixture to the values of a track, or of some of its sequences; with several tries the best of seeded starts."""
+    return fit_track((track.filter_genome(names) if names else track).df, start, tries=tries, eps=eps, max_steps=max_steps)
 
 
 def score(track: Track, model: Distribution, components: list[int]) -> Track:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackengine.functions import arrays as A
-from trackengine.functions.distributions import delta, geometric, mixture, poisson
+from trackengine.functions.distributions import Distribution, delta, exponential, gamma, geometric, mixture, normal, poisson, product
+from trackengine.functions.distributions import rows as matrix_rows
 from trackengine.operators import estimate as E
 from trackengine.operators import hmm as H
 from trackengine.operators import intervals as I
 from trackengine.operators import metrics as M
 from trackengine.operators import peaks as P
+from trackengine.operators import scans as S
 from trackengine.operators import segmentation as Z
 from trackengine.operators import track as T
 from trackengine.operators import windows as W
@@ -504,7 +507,7 @@ em(steps, before, w0, w1, w2, w3, rate, p, q) AS (
       FROM (SELECT *, CASE WHEN x = 0 THEN w0 ELSE 0 END AS d0, w1 * CASE WHEN x = 0 THEN exp(-rate) WHEN rate > 0 THEN exp(x * ln(rate) - rate - lgamma(x + 1)) ELSE 0 END AS d1,
           w2 * p * pow(1 - p, x) AS d2, w3 * q * pow(1 - q, x) AS d3 FROM em, h) a) b
     GROUP BY ALL) c
-  WHERE now - before >= 1e-8 AND steps < 2000),
+  WHERE now - before >= 1e-8),
 fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1),
 parts AS (
   SELECT 0 AS kind, 'scalar:delta distribution' AS name, w0 AS weight, 0.0 AS parameter FROM fit UNION ALL SELECT 1, 'scalar:poisson distribution', w1, rate FROM fit
@@ -520,6 +523,148 @@ def em_fit(spark, d):
     return spark.createDataFrame(rows, "component int, name string, weight double, parameter double")
 
 
+# Components of other kinds, several tracks together, products ---------------------------
+
+
+def _components(spark, fit: E.Fit, names: list[str]) -> DataFrame:
+    rows = [(i, p.name, *(round(float(x), 4) for x in (w, *p.parameters, *[float("nan")] * len(names))[: len(names)])) for i, (w, p) in enumerate(zip(fit.model.parameters, fit.model.parts))]
+    return spark.createDataFrame(rows, f"component int, name string, {', '.join(f'{n} double' for n in names)}")
+
+
+_EM_NORMAL = """, h AS (SELECT value AS x, count(*) / (SELECT count(*) FROM ev) AS share FROM ev GROUP BY 1),
+em(steps, before, w0, w1, m0, s0, m1, s1) AS (
+  SELECT 0, CAST('-inf' AS DOUBLE), 0.5::DOUBLE, 0.5::DOUBLE, 20.0::DOUBLE, 20.0::DOUBLE, 60.0::DOUBLE, 20.0::DOUBLE
+  UNION ALL
+  SELECT steps + 1, now, r0, r1, x0 / r0, sqrt(q0 / r0 - (x0 / r0) * (x0 / r0)), x1 / r1, sqrt(q1 / r1 - (x1 / r1) * (x1 / r1))
+  FROM (SELECT steps, before, sum(share * ln(d0 + d1)) AS now, sum(share * d0 / (d0 + d1)) AS r0, sum(share * d1 / (d0 + d1)) AS r1, sum(share * x * d0 / (d0 + d1)) AS x0,
+      sum(share * x * d1 / (d0 + d1)) AS x1, sum(share * x * x * d0 / (d0 + d1)) AS q0, sum(share * x * x * d1 / (d0 + d1)) AS q1
+    FROM (SELECT *, w0 / s0 * exp(-(x - m0) * (x - m0) / (2 * s0 * s0)) / sqrt(2 * pi()) AS d0, w1 / s1 * exp(-(x - m1) * (x - m1) / (2 * s1 * s1)) / sqrt(2 * pi()) AS d1 FROM em, h) a GROUP BY ALL) b
+  WHERE now - before >= 1e-7),
+fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1),
+parts AS (SELECT w0 AS weight, m0 AS mean, s0 AS deviation FROM fit UNION ALL SELECT w1, m1, s1 FROM fit)
+SELECT CAST(row_number() OVER (ORDER BY mean) - 1 AS INTEGER) AS component, 'scalar:normal distribution' AS name, round(weight, 4) AS weight, round(mean, 4) AS mean, round(deviation, 4) AS deviation FROM parts"""
+
+
+@query("WITH RECURSIVE " + _ev()[5:] + _EM_NORMAL)
+def em_normal(spark, d):
+    """Two normal components fitted to the hourly means."""
+    start = mixture([0.5, 0.5], [normal(20.0, 20.0), normal(60.0, 20.0)])
+    return _components(spark, E.fit_track(X.event_track(spark, d).df, start, eps=1e-7), ["weight", "mean", "deviation"])
+
+
+def _digamma_sql(x: str) -> str:
+    """By recurrence and its asymptotic series, as functions.likelihood has it."""
+    z = f"({x} + 8)"
+    return f"(ln({z}) - 0.5 / {z} - 1.0 / (12 * {z}**2) + 1.0 / (120 * {z}**4) - 1.0 / (252 * {z}**6) + 1.0 / (240 * {z}**8) - {' - '.join(f'1 / ({x} + {i})' for i in range(8))})"
+
+
+def _trigamma_sql(x: str) -> str:
+    z = f"({x} + 8)"
+    return f"(1 / {z} + 0.5 / {z}**2 + 1.0 / (6 * {z}**3) - 1.0 / (30 * {z}**5) + 1.0 / (42 * {z}**7) - 1.0 / (30 * {z}**9) + {' + '.join(f'1 / ({x} + {i})**2' for i in range(8))})"
+
+
+def _shape_sql(source: str, steps: int = 8) -> str:
+    """`source` with k, the gamma shape for its column gap, by so many Newton steps."""
+    out = f"(SELECT *, (3 - gap + sqrt((gap - 3) * (gap - 3) + 24 * gap)) / (12 * gap) AS k0 FROM {source})"
+    for i in range(steps):
+        k = f"k{i}"
+        out = f"(SELECT * EXCLUDE ({k}), {k} * exp(-(ln({k}) - {_digamma_sql(k)} - gap) / (1 - {k} * {_trigamma_sql(k)})) AS k{i + 1} FROM {out})"
+    return f"(SELECT * EXCLUDE (k{steps}), k{steps} AS k FROM {out})"
+
+
+_GAMMA_SUMS = """(SELECT *, x0 / r0 AS mean, ln(x0 / r0) - l0 / r0 AS gap
+    FROM (SELECT steps, before, sum(share * ln(d0 + d1)) AS now, sum(share * d0 / (d0 + d1)) AS r0, sum(share * d1 / (d0 + d1)) AS r1, sum(share * x * d0 / (d0 + d1)) AS x0,
+        sum(share * ln(x) * d0 / (d0 + d1)) AS l0, sum(share * x * d1 / (d0 + d1)) AS x1
+      FROM (SELECT *, w0 * exp(shape * ln(rate) - lgamma(shape) + (shape - 1) * ln(x) - rate * x) AS d0, w1 * other * exp(-other * x) AS d1 FROM em, h) a GROUP BY ALL) b
+    WHERE now - before >= 1e-7)"""
+_EM_GAMMA = f""", pos AS (SELECT value AS x FROM ev WHERE value > 0), h AS (SELECT x, count(*) / (SELECT count(*) FROM pos) AS share FROM pos GROUP BY 1),
+em(steps, before, w0, w1, shape, rate, other) AS (
+  SELECT 0, CAST('-inf' AS DOUBLE), 0.5::DOUBLE, 0.5::DOUBLE, 4.0::DOUBLE, 0.1::DOUBLE, 0.01::DOUBLE
+  UNION ALL
+  SELECT steps + 1, now, r0, r1, k, k / mean, r1 / x1 FROM {_shape_sql(_GAMMA_SUMS)} c),
+fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1)
+SELECT 0 AS component, 'scalar:gamma distribution' AS name, round(w0, 4) AS weight, round(shape, 4) AS first, round(rate, 4) AS second FROM fit
+UNION ALL SELECT 1, 'scalar:exponential distribution', round(w1, 4), round(other, 4), CAST('nan' AS DOUBLE) FROM fit"""
+
+
+@query("WITH RECURSIVE " + _ev()[5:] + _EM_GAMMA)
+def em_gamma(spark, d):
+    """A gamma and an exponential component fitted to the positive hourly means."""
+    start = mixture([0.5, 0.5], [gamma(4.0, 0.1), exponential(0.01)])
+    return _components(spark, E.fit_track(X.event_track(spark, d).df.filter("value > 0"), start, eps=1e-7), ["weight", "first", "second"])
+
+
+_EM_NONPARAM = """, g AS (SELECT a AS x, count(*) AS n FROM li GROUP BY 1),
+g2 AS (SELECT x, n, lead(x) OVER (ORDER BY x) - x AS gap FROM g), g3 AS (SELECT x, n, coalesce(gap, lag(gap) OVER (ORDER BY x), 1.0) AS delta FROM g2),
+h AS (SELECT list(x ORDER BY x) AS xs, list(CAST(n AS DOUBLE) ORDER BY x) AS ns, list(delta ORDER BY x) AS ds, CAST(sum(n) AS DOUBLE) AS total FROM g3),
+em(steps, before, w0, w1, y) AS (
+  SELECT 0, CAST('-inf' AS DOUBLE), 0.5::DOUBLE, 0.5::DOUBLE, list_transform(xs, lambda x: 0.01::DOUBLE) FROM h
+  UNION ALL
+  SELECT steps + 1, now, (total - mass) / total, mass / total, list_transform(list_zip(r, ds), lambda z: z[1] / (mass + 1) / z[2])
+  FROM (SELECT *, list_sum(r) AS mass, list_sum(list_transform(list_zip(t, ns), lambda z: z[2] * ln(z[1]))) / total AS now
+    FROM (SELECT *, list_transform(list_zip(t, y, ns), lambda z: z[3] * w1 * z[2] / z[1]) AS r
+      FROM (SELECT *, list_transform(list_zip(xs, y), lambda z: w1 * z[2] + CASE WHEN z[1] = 0 THEN w0 ELSE 0 END) AS t FROM em, h) a) b) c
+  WHERE now - before >= 1e-7),
+fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1)
+SELECT unnest(xs) AS x, round(w0, 6) AS zeros, round(unnest(list_transform(y, lambda v: ln(v))), 6) AS log_density FROM fit, h"""
+
+
+@query("WITH RECURSIVE " + _LI[5:] + _EM_NONPARAM)
+def em_nonparam(spark, d):
+    """Excess zeros and a density of any form, fitted together; a row for each step of the density."""
+    steps = Distribution("scalar:nonparametric distribution", {"X": [float(i) for i in range(100)], "Y": [-math.log(100)] * 100})
+    fit = E.fit_track(X.ship_tracks(spark, d)[0].df, mixture([0.5, 0.5], [delta(0.0), steps]), eps=1e-7)
+    found = fit.model.parts[1].parameters
+    return spark.createDataFrame([(x, round(fit.model.parameters[0], 6), round(y, 6)) for x, y in zip(found["X"], found["Y"])], "x double, zeros double, log_density double")
+
+
+_POISSON3 = lambda i: " * ".join(f"exp({t} * ln({t}{i}) - {t}{i} - lgamma({t} + 1))" for t in "anr")
+_EM_JOINT = f""", h AS (SELECT a, n, r, count(*) / (SELECT count(*) FROM li) AS share FROM li GROUP BY 1, 2, 3),
+em(steps, before, w0, w1, a0, n0, r0, a1, n1, r1) AS (
+  SELECT 0, CAST('-inf' AS DOUBLE), 0.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE
+  UNION ALL
+  SELECT steps + 1, now, m0, m1, sa0 / m0, sn0 / m0, sr0 / m0, sa1 / m1, sn1 / m1, sr1 / m1
+  FROM (SELECT steps, before, sum(share * ln(d0 + d1)) AS now, {", ".join(f"sum(share * d{i} / (d0 + d1)) AS m{i}, " + ", ".join(f"sum(share * {t} * d{i} / (d0 + d1)) AS s{t}{i}" for t in "anr") for i in (0, 1))}
+    FROM (SELECT *, w0 * {_POISSON3(0)} AS d0, w1 * {_POISSON3(1)} AS d1 FROM em, h) a GROUP BY ALL) b
+  WHERE now - before >= 1e-6),
+fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1),
+parts AS (SELECT w0 AS weight, a0 AS a, n0 AS n, r0 AS r FROM fit UNION ALL SELECT w1, a1, n1, r1 FROM fit)
+SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS component, round(weight, 4) AS weight, round(a, 4) AS a, round(n, 4) AS n, round(r, 4) AS r FROM parts"""
+
+
+@query("WITH RECURSIVE " + _LI[5:] + _EM_JOINT)
+def em_joint(spark, d):
+    """One model of three tracks together: two components, each with a rate for each track."""
+    start = Distribution("vector:mixture distribution", (0.5, 0.5), tuple(product([poisson(x) for x in rates]) for rates in ((0.5, 2.0, 0.5), (2.0, 0.5, 2.0))))
+    fit = E.fit_joint(T.wide(X.ship_tracks(spark, d)), start, eps=1e-6)
+    rows = [(i, round(w, 4), *(round(float(c.parameters[0]), 4) for c in p.parts)) for i, (w, p) in enumerate(zip(fit.model.parameters, fit.model.parts))]
+    return spark.createDataFrame(rows, "component int, weight double, a double, n double, r double")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT id, round(list_sum(list_transform(v, lambda x, i: -0.5 * ((x - (i - 1) / 100.0) / (0.5 + (i - 1) / 50.0))**2 - ln(0.5 + (i - 1) / 50.0) - 0.5 * ln(2 * pi()))), 6) AS log_pdf FROM v""")
+def density_vectors(spark, d):
+    model = product([normal(i / 100, 0.5 + i / 50) for i in range(64)])
+    return E.vector_log_density(X.vectors(spark, d), model).select("id", F.round("log_pdf", 6).alias("log_pdf"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+f AS (SELECT id, list_sum(list_transform(v, lambda x, i: -0.5 * (x - (i - 1) // 8 / 10.0)**2 - 0.5 * ln(2 * pi()))) AS f0,
+  list_sum(list_transform(v, lambda x, i: -0.5 * ((x + (i - 1) % 8 / 10.0) / 2)**2 - ln(2) - 0.5 * ln(2 * pi()))) AS f1 FROM v)
+SELECT id, round(greatest(ln(0.4) + f0, ln(0.6) + f1) + ln(1 + exp(least(ln(0.4) + f0, ln(0.6) + f1) - greatest(ln(0.4) + f0, ln(0.6) + f1))), 6) AS log_pdf FROM f""")
+def density_matrices(spark, d):
+    """The density of 8 by 8 matrices under a mixture of two products of rows."""
+    near = matrix_rows([product([normal(i / 10, 1.0) for _ in range(8)]) for i in range(8)])
+    far = matrix_rows([product([normal(-j / 10, 2.0) for j in range(8)]) for _ in range(8)])
+    model = Distribution("matrix:mixture distribution", (0.4, 0.6), (near, far))
+    return E.vector_log_density(_square(X.vectors(spark, d)), model, "m").select("id", F.round("log_pdf", 6).alias("log_pdf"))
+
+
+def _square(vectors: DataFrame) -> DataFrame:
+    """(id, m): vectors of 64 components as matrices of eight rows."""
+    return vectors.select("id", F.array(*(F.slice("v", i * 8 + 1, 8) for i in range(8))).alias("m"))
+
+
 # Segmentation ----------------------------------------------------------------------
 
 
@@ -604,21 +749,20 @@ def slice_stats(spark, d):
     return _thousandths(spark, d).select("id", A.slice_max(v).alias("high"), A.slice_min(v).alias("low"), F.round(A.slice_mean(v), 6).alias("mean"))
 
 
-@query(_V + f"SELECT id, {_text('list_concat(v[1:8], v[9:16])')} AS v FROM v")
+@query(_V + f"SELECT id, {_text('v')} AS v FROM v")
 def flatten(spark, d):
-    v = F.col("v")
-    return _thousandths(spark, d).select("id", _whole("v", A.flatten(F.array(F.slice(v, 1, 8), F.slice(v, 9, 8)))))
+    return _square(_thousandths(spark, d)).select("id", _whole("v", A.flatten(F.col("m"))))
 
 
-@query(_V + f"SELECT id, {_text('list_concat([v[1], v[4]], [v[2], v[5]], [v[3], v[6]])')} AS v FROM v")
+@query(_V + f"SELECT id, {_text('flatten(list_transform(range(1, 9), lambda j: list_transform(range(8), lambda i: v[i * 8 + j])))')} AS v FROM v")
 def transpose(spark, d):
-    v = F.col("v")
-    return _thousandths(spark, d).select("id", _whole("v", A.flatten(A.transpose(F.array(F.slice(v, 1, 3), F.slice(v, 4, 3))))))
+    return _square(_thousandths(spark, d)).select("id", _whole("v", A.flatten(A.transpose(F.col("m")))))
 
 
-@query("""SELECT i - 6 AS a, 2 AS b, CAST(trunc((i - 6) / 2.0) AS BIGINT) AS down, CAST(trunc((i - 6 + 1) / 2.0) AS BIGINT) AS up FROM range(13) t(i)""")
+@query("""SELECT event_id, CAST(trunc((user_id - 500) / 7.0) AS BIGINT) AS down, CAST(trunc((user_id - 500 + 6) / 7.0) AS BIGINT) AS up FROM events""")
 def divint(spark, d):
-    return spark.createDataFrame([(a, 2, A.div_int_down(a, 2), A.div_int_up(a, 2)) for a in range(-6, 7)], "a long, b int, down long, up long")
+    a = F.col("user_id") - 500
+    return X.table(spark, d, "events").select("event_id", A.div_int_down_column(a, 7).alias("down"), A.div_int_up_column(a, 7).alias("up"))
 
 
 @query(_LI + "SELECT seqname, bin, CASE WHEN max(a) OVER w > min(a) OVER w THEN round((a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w), 6) ELSE CAST('nan' AS DOUBLE) END AS value FROM li WINDOW w AS (PARTITION BY seqname)")
@@ -650,37 +794,46 @@ def model_curves(spark, d):
 
 @query(_LI + "SELECT seqname, bin, value FROM (SELECT seqname, bin, sum(a + 2 * n) OVER (PARTITION BY seqname ORDER BY bin) AS value FROM li)")
 def classify_sequence_multi(spark, d):
+    import numpy as np
+
     a, n, _ = X.ship_tracks(spark, d)
-    return W.classify_sequences_multi([a, n], lambda m: (m[0] + 2 * m[1]).cumsum()).df
+    return W.classify_sequences_multi([a, n], S.running(np.add, lambda m: m[0] + 2 * m[1]), block=500).df
 
 
 @query(_LI + "SELECT seqname, bin, value FROM (SELECT seqname, bin, max(a) OVER (PARTITION BY seqname ORDER BY bin) AS value FROM li)")
 def classify_sequence(spark, d):
     import numpy as np
 
-    return W.classify_sequences(X.ship_tracks(spark, d)[0], np.maximum.accumulate).df
+    return W.classify_sequences(X.ship_tracks(spark, d)[0], S.running(np.maximum), block=500).df
 
 
-def _blocks(spark, d) -> DataFrame:
-    """(id, m): the first twelve components of each vector as a matrix of three rows."""
-    v = F.col("v")
-    return _thousandths(spark, d).select("id", F.array(*(F.slice(v, i, 4) for i in (1, 5, 9))).alias("m"))
+@query(_LI + "SELECT seqname, bin, round(a - avg(a) OVER (PARTITION BY seqname), 6) AS value FROM li")
+def classify_sequence_centred(spark, d):
+    """Values less their sequence's mean: a classifier that needs what comes before a block and after it."""
+    import numpy as np
 
+    def finish(x, before, after):
+        total, n = sum((e for e in (before, after) if e is not None), np.array([x.sum(), len(x)]))
+        return x - total / n
 
-@query(_V + "SELECT id, list_max(v[1:12]) - list_min(v[1:12]) AS score FROM v")
+    mean = S.BlockScan(lambda x: np.array([x.sum(), len(x)]), S.two_sided(np.add), finish)
+    return _rounded(W.classify_sequences(X.ship_tracks(spark, d)[0], mean, block=500))
+
+
+@query(_V + "SELECT id, list_max(v) - list_min(v) AS score FROM v")
 def classify_matrix_data(spark, d):
     spread = lambda m: A.slice_max(A.flatten(m)) - A.slice_min(A.flatten(m))
-    return W.classify_matrices(_blocks(spark, d), spread, 3, 4).select("id", "score")
+    return W.classify_matrices(_square(_thousandths(spark, d)), spread, 8, 8).select("id", "score")
 
 
-@query(_V + ", e AS (SELECT unnest(v[1:12]) AS x FROM v) SELECT x, count(*) AS n FROM e GROUP BY 1")
+@query(_V + ", e AS (SELECT unnest(v) AS x FROM v) SELECT x, count(*) AS n FROM e GROUP BY 1")
 def est_matrix_data(spark, d):
-    return E.value_histogram(E.matrix_values(_blocks(spark, d)))
+    return E.value_histogram(E.matrix_values(_square(_thousandths(spark, d))))
 
 
-@query(_V + ", e AS (SELECT unnest(v[1:12]) AS x, unnest(range(12)) AS k FROM v) SELECT CAST(k // 4 AS INTEGER) AS i, x, count(*) AS n FROM e GROUP BY 1, 2")
+@query(_V + ", e AS (SELECT unnest(v) AS x, unnest(range(64)) AS k FROM v) SELECT CAST(k // 8 AS INTEGER) AS i, x, count(*) AS n FROM e GROUP BY 1, 2")
 def est_matrix_rows(spark, d):
-    return E.matrix_row_histograms(_blocks(spark, d))
+    return E.matrix_row_histograms(_square(_thousandths(spark, d)))
 
 
 # Hidden Markov models ----------------------------------------------------------------
@@ -728,6 +881,48 @@ def hmm_train(spark, d):
     return spark.createDataFrame([(i, *numbers(i)) for i in range(2)], "state int, pi double, to0 double, to1 double, rate double")
 
 
-@query("SELECT CAST(i AS INTEGER) AS state, CASE i WHEN 0 THEN 0.666667 ELSE 0.333333 END::DOUBLE AS p FROM range(2) t(i)")
+#: The best path: scores of both states in whole units of 1e-9 and the states they came from, then back from the last bin.
+_PATH = """, u AS (
+  SELECT seqname, bin, CASE WHEN bin % 17 = 3 THEN 0 ELSE CAST(round((-1 - lgamma(a + 1)) * 1e9) AS BIGINT) END AS e0,
+    CASE WHEN bin % 17 = 3 THEN 0 ELSE CAST(round((a * ln(5) - 5 - lgamma(a + 1)) * 1e9) AS BIGINT) END AS e1 FROM li),
+cost AS (SELECT CAST(round(ln(0.9) * 1e9) AS BIGINT) AS t00, CAST(round(ln(0.1) * 1e9) AS BIGINT) AS t01, CAST(round(ln(0.2) * 1e9) AS BIGINT) AS t10, CAST(round(ln(0.8) * 1e9) AS BIGINT) AS t11),
+v(seqname, bin, s0, s1, b0, b1) AS (
+  SELECT seqname, bin, CAST(round(ln(0.6) * 1e9) AS BIGINT) + e0, CAST(round(ln(0.4) * 1e9) AS BIGINT) + e1, 0, 0 FROM u WHERE bin = 0
+  UNION ALL
+  SELECT u.seqname, u.bin, greatest(s0 + t00, s1 + t10) + e0, greatest(s0 + t01, s1 + t11) + e1, CASE WHEN s1 + t10 > s0 + t00 THEN 1 ELSE 0 END, CASE WHEN s1 + t11 > s0 + t01 THEN 1 ELSE 0 END
+  FROM v JOIN u ON u.seqname = v.seqname AND u.bin = v.bin + 1, cost),
+w(seqname, bin, state) AS (
+  SELECT seqname, bin, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM v WHERE bin = 2499
+  UNION ALL
+  SELECT v.seqname, v.bin - 1, CASE WHEN w.state = 0 THEN b0 ELSE b1 END FROM w JOIN v ON v.seqname = w.seqname AND v.bin = w.bin WHERE v.bin > 0)
+SELECT seqname, CAST(bin AS INTEGER) AS bin, CAST(state AS INTEGER) AS state FROM w"""
+
+
+@query("WITH RECURSIVE " + _LI[5:] + _PATH)
+def hmm_path(spark, d):
+    masked = X.ship_tracks(spark, d)[0].map_positions(lambda s, p, v: F.when(p % 17 == 3, A.NAN).otherwise(v))
+    model = H.Hmm.from_json(_hmm().to_json())
+    return H.paths(masked, model, block=500)
+
+
+@query(
+    "WITH RECURSIVE " + _LI[5:] + """, s AS (SELECT seqname, bin, CAST(CASE WHEN a = 0 THEN 0 WHEN a < 3 THEN 1 ELSE 2 END AS INTEGER) AS state FROM li),
+m AS (SELECT x.state AS i, y.state AS j, count(*) AS n FROM s x JOIN s y ON x.seqname = y.seqname AND y.bin = x.bin + 1 GROUP BY 1, 2),
+tr AS (SELECT i, j, (coalesce(n, 0) + 1) / (sum(coalesce(n, 0) + 1) OVER (PARTITION BY i)) AS p FROM (SELECT a.i, b.j FROM range(3) a(i), range(3) b(j)) k LEFT JOIN m USING (i, j)),
+w AS (SELECT list(p ORDER BY j) FILTER (i = 0) AS r0, list(p ORDER BY j) FILTER (i = 1) AS r1, list(p ORDER BY j) FILTER (i = 2) AS r2 FROM tr),
+it(k, p) AS (
+  SELECT 0, [1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE]
+  UNION ALL SELECT k + 1, list_transform(range(1, 4), lambda j: p[1] * r0[j] + p[2] * r1[j] + p[3] * r2[j]) FROM it, w WHERE k < 2000)
+SELECT CAST(i AS INTEGER) AS state, round(p[i + 1], 6) AS p FROM it, range(3) t(i) WHERE k = 2000"""
+)
 def hmm_stationary(spark, d):
-    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(H.stationary(_hmm().tr))], "state int, p double")
+    """The distribution that the moves between levels of a track keep, from their counts over the whole track."""
+    import numpy as np
+
+    levels = X.ship_tracks(spark, d)[0].map(lambda v: F.when(v == 0, 0.0).when(v < 3, 1.0).otherwise(2.0))
+    rows = H.moves(levels, 3).collect()
+    counts = np.ones((3, 3))
+    for r in rows:
+        counts[r.i, r.j] += r.n
+    p = H.stationary(counts / counts.sum(axis=1, keepdims=True))
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(p)], "state int, p double")
