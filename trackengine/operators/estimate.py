@@ -226,17 +226,16 @@ def posterior(df: DataFrame, model: Distribution, components: list[int], value:
     Rows stay where they are; of each batch, the densities are evaluated once for each distinct value. NaN and null values,
     and those that no component has, give NaN.
     """
-    densities, weights = [log_density(p) for p in model.parts], np.array(model.parameters, float)
-
     @F.pandas_udf("double")
     def run(values: pd.Series) -> pd.Series:
         x, at = np.unique(values.to_numpy(float, na_value=np.nan), return_inverse=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.array([f(x) for f in densities]).reshape(len(densities), -1) + np.log(weights)[:, None]
-            out = np.logaddexp.reduce(logs[components], axis=0) - np.logaddexp.reduce(logs, axis=0)
+        logs, total = _steps_of(model, x)
+        with np.errstate(invalid="ignore"):
+            out = np.logaddexp.reduce(logs[components], axis=0) - total
         return pd.Series(out[at])
 
-    return df.withColumn("log_posterior", F.coalesce(run(value), F.lit(float("nan"))))
+    # evaluated once for each row: what filters and projects it again reads the column
+    return df.withColumn("log_posterior", F.coalesce(run.asNondeterministic()(value), F.lit(float("nan"))))
 
 
 # Vectors and coordinates ------------------------------------------------------
@@ -352,6 +351,28 @@ def fit_joint(df: DataFrame, start: Distribution, v: str = "v", eps: float = 1e-
         hist.unpersist()
 
 
+def vector_posterior(df: DataFrame, model: Distribution, components: list[int], v: str = "v") -> DataFrame:
+    """df with log_posterior: log probability that a vector comes from one of the components of a mixture of products.
+
+    NaN for vectors that are null, hold a null or NaN, or that no component has; another length than the model's is an error.
+    """
+    width = dimension(model)
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        out = np.full(len(values), np.nan)
+        there = np.flatnonzero(values.notna().to_numpy())
+        if len(there):
+            if bad := {len(x) for x in values.iloc[there]} - {width}:
+                raise ValueError(f"the model is of {width} numbers, not of {min(bad)}")
+            logs, total = _steps_of(model, np.array([np.asarray(x, float) for x in values.iloc[there]]))
+            with np.errstate(invalid="ignore"):
+                out[there] = np.logaddexp.reduce(logs[components], axis=0) - total
+        return pd.Series(out)
+
+    return df.withColumn("log_posterior", F.coalesce(run(F.col(v).cast("array<double>")), F.lit(float("nan"))))
+
+
 def vector_log_density(df: DataFrame, model: Distribution, v: str = "v", name: str = "log_pdf") -> DataFrame:
     """df with the log density of each vector, or of each matrix (an array of rows), under a product or a mixture of products.
 

@@ -9,46 +9,69 @@ from trackengine.functions.arrays import slice_sum
 
 #: Width of the pieces by which intervals meet; an interval is in each piece that it touches.
 PIECE = 4096
+#: Pieces of a level are so many times as wide as those of the level below; levels.
+GROWTH, LEVELS = 64, 3
 #: Positions of a stretch in which abutting rows are put together by one task.
 STRETCH = 1 << 24
 
 
-def _pieces(df: DataFrame, piece: int) -> DataFrame:
-    first, last = F.floor(F.col("from") / piece), F.floor((F.col("to") - 1) / piece)
-    return df.filter(F.col("to") > F.col("from")).withColumn("piece", F.explode(F.sequence(first, last)))
+def _pieces(df: DataFrame, piece: int, levels: int) -> DataFrame:
+    """Rows by the pieces that they touch: at the level of their own length (own), and at all coarser ones.
+
+    Pieces of a level are GROWTH times as wide as those of the one below. A row is of the finest level whose pieces are as
+    wide as it, so it touches two of them at most; at the coarsest level wider rows may touch more.
+    """
+    size = F.lit(piece) * F.pow(F.lit(GROWTH), F.col("at")).cast("long")
+    length = (F.col("to") - F.col("from")).cast("long")
+    level = sum(((length > piece * GROWTH**k).cast("int") for k in range(levels - 1)), F.lit(0))
+    rows = df.filter(F.col("to") > F.col("from")).withColumn("level", level).withColumn("at", F.explode(F.sequence("level", F.lit(levels - 1))))
+    first, last = F.floor(F.col("from") / size), F.floor((F.col("to") - 1) / size)
+    return rows.withColumns({"own": F.col("level") == F.col("at"), "piece": F.explode(F.sequence(first, last))}).drop("level")
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> Column:
+    """Rows a_… and b_… that touch one piece of the coarser of their levels, and overlap."""
+    same = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_at") == F.col("b_at")) & (F.col("a_piece") == F.col("b_piece"))
+    return same & (F.col("a_own") | F.col("b_own")) & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
+
+
+def _sides(a: DataFrame, b: DataFrame, piece: int, levels: int) -> list[DataFrame]:
+    return [(rows := _pieces(df, piece, levels)).select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side, df in (("a", a), ("b", b))]
+
+
+_PLACES = ("at", "own", "piece")
 
 
-def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
     """All pairs of overlapping rows, a's columns under a_ and b's under b_.
 
-    Both sides meet on (seqname, piece), an equi-join, and a pair counts in the first piece that both touch.
+    Both sides meet on (seqname, level, piece), an equi-join, at the coarser of their two levels, and a pair counts in the first
+    piece that both touch. Rows without length meet nothing. levels=1 is enough where no row is wider than some pieces.
     """
-    left, right = _pieces(a, piece), _pieces(b, piece)
-    left, right = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns)), right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))
-    pairs = left.join(right, (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_piece") == F.col("b_piece")) & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to")))
-    return pairs.filter(F.col("a_piece") == F.floor(F.greatest("a_from", "b_from") / piece)).drop("a_piece", "b_piece")
+    left, right = _sides(a, b, piece, levels)
+    pairs = left.join(right, _meeting(left, right))
+    size = F.lit(piece) * F.pow(F.lit(GROWTH), F.col("a_at")).cast("long")
+    return pairs.filter(F.col("a_piece") == F.floor(F.greatest("a_from", "b_from") / size)).drop(*(f"{side}_{c}" for side in "ab" for c in _PLACES))
 
 
-def intersect(a: DataFrame, b: DataFrame, piece: int = PIECE) -> DataFrame:
+def intersect(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
     """Intersections of overlapping peaks: strand of a, test of a with that of b behind it."""
-    pairs = overlaps(a, b, piece)
+    pairs = overlaps(a, b, piece, levels)
     return pairs.select(F.col("a_seqname").alias("seqname"), F.greatest("a_from", "b_from").alias("from"), F.least("a_to", "b_to").alias("to"), F.col("a_strand").alias("strand"), F.concat("a_test", "b_test").alias("test"))
 
 
-def without_overlapped(df: DataFrame, score: Column, key: list[str], piece: int = PIECE) -> DataFrame:
+def without_overlapped(df: DataFrame, score: Column, key: list[str], piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
     """Rows that no other overlapping row reaches in score; of equal ones none stays. key tells rows apart.
 
     Rows meet in the pieces that both touch. The search for a better one is a semi join, which ends at the first it finds.
     """
     rows = df.withColumn("score__", score)
-    lean = _pieces(rows.select("seqname", "from", "to", "score__", *(k for k in key if k not in ("seqname", "from", "to"))), piece)
-    a, b = (lean.select(*(F.col(c).alias(f"{side}_{c}") for c in lean.columns)) for side in "ab")
+    lean = rows.select("seqname", "from", "to", "score__", *(k for k in key if k not in ("seqname", "from", "to")))
+    a, b = _sides(lean, lean, piece, levels)
     other = ~F.lit(True)
     for k in key:
         other = other | ~F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
-    overlap = (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
-    meet = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_piece") == F.col("b_piece"))
-    beaten = a.join(b, meet & overlap & other & (F.col("b_score__") >= F.col("a_score__")), "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key)).distinct()
+    beaten = a.join(b, _meeting(a, b) & other & (F.col("b_score__") >= F.col("a_score__")), "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key)).distinct()
     return rows.join(beaten, key, "left_anti").drop("score__")
 
 

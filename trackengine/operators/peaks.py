@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackengine.functions.arrays import above, offsets
 
-from .intervals import intersect, ranked, without_overlapped
+from .intervals import PIECE, intersect, ranked, without_overlapped
 from .track import Track, require_aligned, wide
 from .windows import BLOCK, passing, runs
 
@@ -33,8 +33,13 @@ def peaks(track: Track, threshold: float, wsize: int = 0, block: int = BLOCK) ->
     wsize > 0 gives a window of that many positions around the start of the first highest bin. Otherwise the whole run,
     which for wsize 0 reaches one position past its last bin, and for -1 is exact.
     """
+    return _peaks(track, threshold, wsize, block).orderBy(F.desc("test"), "seqname", "from", "to")
+
+
+def _peaks(track: Track, threshold: float, wsize: int, block: int) -> DataFrame:
+    """The same in no order, for what goes on with them."""
     found = _extent(runs(passing(track, threshold), F.col("value"), block), track, wsize)
-    return found.select("seqname", "from", "to", "strand", F.col("best").alias("test")).orderBy(F.desc("test"), "seqname", "from", "to")
+    return found.select("seqname", "from", "to", "strand", F.col("best").alias("test"))
 
 
 def _sum(n: int) -> Column:
@@ -59,7 +64,7 @@ def intersecting_peaks(tracks: list[Track], thresholds: list[float], wsize: int
     """Intersections of the whole-run peaks of all tracks; wsize > 0 puts a window, not clipped, around their middles."""
     if len(tracks) != len(thresholds):
         raise ValueError("a threshold is needed for each track")
-    single = lambda t, h: peaks(t, h, 0, block).withColumn("test", F.array("test"))
+    single = lambda t, h: _peaks(t, h, 0, block).withColumn("test", F.array("test"))
     found = reduce(intersect, (single(t, h) for t, h in zip(tracks, thresholds)))
     if wsize > 0:
         o1, o2 = offsets(wsize)
@@ -79,5 +84,6 @@ def predictions(tracks: list[Track], thresholds: list[float], wsize: int) -> Dat
     lo, hi = F.greatest(F.col("bin") * bs - o1, F.lit(0)), F.least(F.col("bin") * bs + o2 + 1, F.col("nbins") * bs)
     rows = rows.select("seqname", lo.cast("int").alias("from"), hi.cast("int").alias("to"), F.lit("*").alias("strand"), F.col("v").alias("test"), "bin")
     total = reduce(lambda a, b: a + b, (F.get("test", F.lit(i)) for i in range(len(tracks))))
-    return ranked(without_overlapped(rows, total, ["seqname", "bin"]).drop("bin"))
+    # windows have one width, so one level of pieces as wide is enough
+    return ranked(without_overlapped(rows, total, ["seqname", "bin"], piece=max(PIECE, wsize), levels=1).drop("bin"))
 

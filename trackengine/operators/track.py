@@ -24,11 +24,24 @@ class Track:
     init: float = 0.0
 
     def map(self, f: Callable[[Column], Column]) -> "Track":
-        return replace(self, df=self.df.select(*KEYS, f(F.col("value")).alias("value")))
+        new = replace(self, df=self.df.select(*KEYS, f(F.col("value")).alias("value")))
+        return new if self.shared is None else new._sharing(self.shared[0], f(self.shared[1]))
 
     def map_positions(self, f: Callable[[Column, Column, Column], Column]) -> "Track":
         """f(seqname, position, value)."""
-        return replace(self, df=self.df.select(*KEYS, f(F.col("seqname"), F.col("bin") * self.bin_size, F.col("value")).alias("value")))
+        position = F.col("bin") * self.bin_size
+        new = replace(self, df=self.df.select(*KEYS, f(F.col("seqname"), position, F.col("value")).alias("value")))
+        return new if self.shared is None else new._sharing(self.shared[0], f(F.col("seqname"), position, self.shared[1]))
+
+    @property
+    def shared(self) -> tuple[DataFrame, Column] | None:
+        """The table of several tracks (seqname, bin, …) that this one is a column of, and that column; None of others."""
+        return self.__dict__.get("_shared")
+
+    def _sharing(self, table: DataFrame, value: Column) -> "Track":
+        # no field, so that a track that replace() gives another df doesn't have it
+        self.__dict__["_shared"] = (table, value)
+        return self
 
     def filter_genome(self, names: Iterable[str]) -> "Track":
         keep = F.col("seqname").isin(list(names))
@@ -46,6 +59,40 @@ def spine(genome: DataFrame) -> DataFrame:
     return blocks.select("seqname", F.explode(F.sequence(first, F.least(first + SPINE_BLOCK, F.col("nbins").cast("int")) - 1)).alias("bin"))
 
 
+def tracks_of(table: DataFrame, columns: list[str], genome: DataFrame, bin_size: int = 1, init: float = 0.0) -> list[Track]:
+    """The columns of a dense table (seqname, bin, …) as aligned tracks; operators on several of them don't join them."""
+    return [Track(table.select(*KEYS, F.col(c).alias("value")), genome, bin_size, init)._sharing(table, F.col(c)) for c in columns]
+
+
+def SUMS(total: str, n: str, high: str, low: str) -> list[Column]:
+    """Aggregates of sums, counts and extremes that are sums, counts and extremes again."""
+    return [F.sum(total).alias("total"), F.sum(n).alias("n"), F.max(high).alias("high"), F.min(low).alias("low")]
+
+
+def sums_of(df: DataFrame) -> DataFrame:
+    """(seqname, bin, total, n, high, low) of bins (seqname, bin, value), one row for each; null values count as none."""
+    value = F.col("value").cast("double")
+    return df.select(*KEYS, value.alias("total"), F.when(value.isNotNull(), 1).otherwise(0).cast("long").alias("n"), value.alias("high"), value.alias("low"))
+
+
+def from_sums(sums: DataFrame, genome: DataFrame, bin_size: int, summary: str = "mean", overlap: int = 0, init: float = 0.0, digits: int | None = None) -> "Track":
+    """A track of the summaries of sums (seqname, bin, total, n, high, low); bins without any get init.
+
+    overlap widens each bin's summary by as many bins on both sides. The spine of empty bins takes part in the same
+    aggregation, so filling costs no join.
+    """
+    if summary not in SUMMARIES:
+        raise ValueError(f"unknown bin summary {summary!r}")
+    if overlap:
+        near = F.explode(F.sequence(F.col("bin") - overlap, F.col("bin") + overlap)).alias("bin")
+        sums = sums.select("seqname", near, "total", "n", "high", "low")
+    empty = spine(genome).select(*KEYS, *(F.lit(None).cast(t).alias(c) for c, t in (("total", "double"), ("n", "long"), ("high", "double"), ("low", "double"))), F.lit(1).alias("in"))
+    both = sums.select(*KEYS, "total", "n", "high", "low").withColumn("in", F.lit(0)).unionByName(empty).groupBy(*KEYS).agg(*SUMS("total", "n", "high", "low"), F.max("in").alias("in"))
+    value = SUMMARIES[summary]({c: F.col(c) for c in ("total", "n", "high", "low")})
+    value = F.round(value, digits) if digits is not None else value
+    return Track(both.filter(F.col("in") == 1).select(*KEYS, F.when(F.col("n") > 0, value).otherwise(F.lit(float(init))).alias("value")), genome, bin_size, init)
+
+
 def bin_signal(signal: DataFrame, genome: DataFrame, bin_size: int = 1, summary: str = "mean", overlap: int = 0, init: float = 0.0, digits: int | None = None) -> Track:
     """A track of the summaries of (seqname, pos, value) observations in each bin; bins without any get init.
 
@@ -58,15 +105,9 @@ def bin_signal(signal: DataFrame, genome: DataFrame, bin_size: int = 1, summary:
     if bin_size < 1 or overlap < 0:
         raise ValueError("bin_size must be positive and overlap not negative")
     own = signal.filter("value IS NOT NULL").select("seqname", F.floor(F.col("pos") / bin_size).cast("int").alias("bin"), F.col("value").cast("double").alias("value"))
-    sums = own.groupBy(*KEYS).agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.max("value").alias("high"), F.min("value").alias("low"))
-    if overlap:
-        near = F.explode(F.sequence(F.col("bin") - overlap, F.col("bin") + overlap)).alias("bin")
-        sums = sums.select("seqname", near, "total", "n", "high", "low")
-    empty = spine(genome).select(*KEYS, *(F.lit(None).cast(t).alias(c) for c, t in (("total", "double"), ("n", "long"), ("high", "double"), ("low", "double"))), F.lit(1).alias("in"))
-    both = sums.withColumn("in", F.lit(0)).unionByName(empty).groupBy(*KEYS).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("in").alias("in"))
-    value = SUMMARIES[summary]({c: F.col(c) for c in ("total", "n", "high", "low")})
-    value = F.round(value, digits) if digits is not None else value
-    return Track(both.filter(F.col("in") == 1).select(*KEYS, F.when(F.col("n").isNotNull(), value).otherwise(F.lit(float(init))).alias("value")), genome, bin_size, init)
+    sums = sums_of(own)
+    # with an overlap, bins are added up before they are copied to their neighbours
+    return from_sums(sums.groupBy(*KEYS).agg(*SUMS("total", "n", "high", "low")) if overlap else sums, genome, bin_size, summary, overlap, init, digits)
 
 
 def rebin(track: Track, factor: int, summary: str = "mean", overlap: int = 0) -> Track:
@@ -101,9 +142,11 @@ def require_aligned(tracks: list[Track], every: bool = True) -> None:
 
 
 def wide(tracks: list[Track]) -> DataFrame:
-    """(seqname, bin, v): the values of all tracks as one array, by joins on the bin."""
+    """(seqname, bin, v): the values of all tracks as one array; columns of one table as they are, others by joins on the bin."""
     if len({t.bin_size for t in tracks}) > 1:
         raise ValueError("tracks have different bin sizes")
+    if all(t.shared and t.shared[0] is tracks[0].shared[0] for t in tracks):
+        return tracks[0].shared[0].select(*KEYS, F.array(*(t.shared[1] for t in tracks)).alias("v"))
     df = tracks[0].df.select(*KEYS, F.col("value").alias("v0"))
     for i, t in enumerate(tracks[1:], 1):
         df = df.join(t.df.select(*KEYS, F.col("value").alias(f"v{i}")), KEYS)

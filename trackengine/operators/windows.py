@@ -48,6 +48,59 @@ def classify(track: Track, n: int, score: Callable[[Column], Column], transform:
     return replace(track, df=centred(track, n, block).select(*KEYS, value.alias("value")))
 
 
+def sliding(df: DataFrame, n: int, what: str, value: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """df with out: the sum, mean, max or min of the n values around each bin, null where the window leaves the sequence.
+
+    A row costs the same whatever n is: sums are differences of running sums (NaN and infinite values are counted apart, so that they
+    don't spread), extremes are those of two parts of a window that chunks of n bins cut it into. df has every bin of its sequences.
+    """
+    if n < 1 or what not in ("sum", "mean", "max", "min"):
+        raise ValueError("a window of at least one bin, and sum, mean, max or min are known")
+    left, right = offsets(n)
+    rows = halo(df.withColumn("x__", F.col("value") if value is None else value), left + 1, right, block)
+    block_ = Window.partitionBy("seqname", "blk").orderBy("bin")
+    # the first window deals rows out by blocks; those of chunks then stay where they are
+    rows = rows.withColumn("size__", F.count("*").over(block_.rowsBetween(-left, right)))
+    if what in ("sum", "mean"):
+        upto = block_.rowsBetween(Window.unboundedPreceding, 0)
+        finite = ~F.isnan("x__") & (F.abs("x__") < float("inf"))
+        sums = {"s__": F.when(finite, F.col("x__")).otherwise(0.0), "nan__": F.isnan("x__").cast("int"), "up__": (F.col("x__") == float("inf")).cast("int"), "down__": (F.col("x__") == -float("inf")).cast("int")}
+        rows = rows.withColumns(sums).withColumns({c: F.sum(c).over(upto) for c in sums})
+        part = {c: F.lead(c, right).over(block_) - F.coalesce(F.lag(c, left + 1).over(block_), F.lit(0)) for c in sums}
+        total = F.when((part["nan__"] > 0) | ((part["up__"] > 0) & (part["down__"] > 0)), NAN).when(part["up__"] > 0, float("inf")).when(part["down__"] > 0, -float("inf")).otherwise(part["s__"])
+        out = total / n if what == "mean" else total
+        spent = list(sums)
+    else:
+        pick = F.max if what == "max" else F.min
+        chunk = Window.partitionBy("seqname", "blk", F.expr(f"bin div {n}"))
+        bad, y = F.isnan("x__").cast("int"), F.when(~F.isnan("x__"), F.col("x__"))
+        front, back = chunk.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), chunk.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+        parts = {"f__": pick(y).over(front), "b__": pick(y).over(back), "fn__": F.max(bad).over(front), "bn__": F.max(bad).over(back)}
+        rows = rows.withColumns(parts)
+        ends = [F.lag(c, left).over(block_) if c.startswith("b") else F.lead(c, right).over(block_) for c in ("b__", "f__", "bn__", "fn__")]
+        best = (F.greatest if what == "max" else F.least)(ends[0], ends[1])
+        out = F.when(F.greatest(ends[2], ends[3]) > 0, NAN).otherwise(best)
+        spent = list(parts)
+    rows = rows.withColumn("out", out).filter("home")
+    return rows.withColumn("out", F.when(F.col("size__") == n, F.col("out"))).drop("blk", "home", "x__", "size__", *spent)
+
+
+def classify_wide(track: Track, n: int, what: str = "mean", value: Callable[[Column], Column] | None = None, block: int = BLOCK) -> Track:
+    """The sum, mean, max or min of the n bins around each bin (of what `value` makes of them), at a cost that doesn't depend on n.
+
+    NaN where the window leaves the sequence or holds a NaN.
+    """
+    rows = sliding(track.df, n, what, value(F.col("value")) if value else None, block)
+    return replace(track, df=rows.select(*KEYS, F.coalesce("out", F.lit(NAN)).alias("value")))
+
+
+def classify_wide_multi(tracks: list[Track], n: int, what: str, value: Callable[[Column], Column], block: int = BLOCK) -> Track:
+    """As classify_wide(), of what `value` makes of the array of all tracks' values at a bin."""
+    require_aligned(tracks, every=False)
+    rows = sliding(wide(tracks), n, what, value(F.col("v")), block)
+    return replace(tracks[0], df=rows.select(*KEYS, F.coalesce("out", F.lit(NAN)).alias("value")))
+
+
 def classify_many(tracks: list[Track], n: int, scores: list[Callable[[Column], Column]]) -> Track:
     """Sum of each track's own scores."""
     parts = [classify(t, n, s) for t, s in zip(tracks, scores, strict=True)]

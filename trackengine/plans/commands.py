@@ -7,18 +7,20 @@ places. Run as `python -m trackengine.plans.plugins trackengine.plans.commands L
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.config import SessionConfig, dump_json, parse_json
-from trackengine.functions.distributions import REGISTRY, Distribution
-from trackengine.operators import estimate
+from trackengine.functions.distributions import Distribution, unknown_names
+from trackengine.operators import estimate, hmm
 from trackengine.operators.peaks import joint_peaks
-from trackengine.operators.track import KEYS, Track, rebin, require_aligned
+from trackengine.operators.track import KEYS, Track, region_vectors, require_aligned, wide
 from trackengine.operators.windows import hopping
-from trackengine.sources.bed import track_sizes, write_track
+from trackengine.sources import stored
+from trackengine.sources.bed import read_bed3
 
 from . import peakcaller
 
@@ -33,21 +35,13 @@ def _session(config: SessionConfig) -> SparkSession:
 
 
 def read_track(config: SessionConfig, path: str, names: list[str] | None = None) -> Track:
-    """A track from Parquet; sequences are chosen before files are read, and a bin size makes bins of as many."""
+    """A stored track; sequences are chosen before files are read. A bin size makes bins of as many positions, from the coarsest
+    stored level that divides it."""
     spark = _session(config)
-    df, sizes = spark.read.parquet(path), track_sizes(spark, path)
-    if names:
-        df, sizes = (x if x is None else x.filter(F.col("seqname").isin(names)) for x in (df, sizes))
-    df = df.select(F.col("seqname").cast("string").alias("seqname"), F.col("bin").cast("int").alias("bin"), F.col("value").cast("double").alias("value"))
-    genome = df.groupBy("seqname").agg((F.max("bin") + 1).alias("nbins")) if sizes is None else sizes.select("seqname", "nbins")
-    own = 1 if sizes is None else (sizes.agg(F.max("bin_size")).first()[0] or 1)
-    track = Track(df, genome, own, config.track_init)
-    if config.bin_size in (0, own) and not config.bin_overlap:
+    track = stored.open_track(spark, path, names, config.track_init)
+    if config.bin_size in (0, track.bin_size) and not config.bin_overlap:
         return track
-    factor, left = divmod(config.bin_size or own, own)
-    if left or not factor:
-        raise ValueError(f"a track of bins of {own} can't be read in bins of {config.bin_size}")
-    return rebin(track, factor, config.bin_summary, config.bin_overlap)
+    return stored.read_zoomed(spark, path, config.bin_size or track.bin_size, config.bin_summary, config.bin_overlap, names, config.track_init)
 
 
 def read_tracks(config: SessionConfig, paths: list[str], names: list[str] | None = None) -> list[Track]:
@@ -66,17 +60,18 @@ def _split(args: list[str]) -> tuple[dict[str, str], list[str]]:
 
 def load_model(path: str) -> Distribution:
     model = Distribution.from_json(parse_json(Path(path).read_text()))
-    unknown = {model.name, *(p.name for p in model.parts)} - REGISTRY
-    if unknown:
+    if unknown := unknown_names(model):
         raise ValueError(f"unknown distributions: {sorted(unknown)}")
     return model
 
 
 def LearnModel(config: SessionConfig, args: list[str]) -> Distribution:
-    """KIND MODEL.json TRACK [SEQUENCE …]: KIND is treatment or control."""
-    _, (kind, out, path, *names) = _split(args)
-    start, eps = START[kind]
-    model = peakcaller.learn(read_track(config, path, names), start(), eps).model
+    """[--tries=1] KIND MODEL.json TRACK [SEQUENCE …]: KIND is treatment or control, or a document of a start model.
+
+    With several tries the best fit of as many seeded starts is taken."""
+    options, (kind, out, path, *names) = _split(args)
+    start, eps = (START[kind][0](), START[kind][1]) if kind in START else (load_model(kind), 1e-8)
+    model = peakcaller.learn(read_track(config, path, names), start, eps, tries=int(options.get("tries", 1))).model
     Path(out).write_text(dump_json(model.to_json()))
     return model
 
@@ -90,17 +85,25 @@ def CallPeaks(config: SessionConfig, args: list[str]) -> DataFrame:
     if control:
         other = peakcaller.score(tracks[1], load_model(options["model-control"]), parts("components-control", FOREGROUND["control"]))
         score = peakcaller.treatment_against_control(score, other)
-    write_track(score.df, out, score.genome, score.bin_size)
-    saved = Track(_session(config).read.parquet(out).select(*KEYS, "value"), score.genome, score.bin_size)
-    return peakcaller.peaks(saved, float(options.get("threshold", 0.95)), -1)
+    return peakcaller.peaks(_saved(config, score, out), float(options.get("threshold", 0.95)), -1)
+
+
+def _saved(config: SessionConfig, track: Track, path: str) -> Track:
+    """A track written with the session's zoom levels, and read back."""
+    stored.write_track(track.df, path, track.genome, track.bin_size, config.zoom_levels or ())
+    return replace(stored.open_track(_session(config), path, init=track.init), genome=track.genome)
+
+
+def _sequences(options: dict[str, str]) -> list[str] | None:
+    return options["sequences"].split(",") if "sequences" in options else None
 
 
 def LearnModels(config: SessionConfig, args: list[str]) -> list[Distribution]:
-    """KIND OUT.json TRACK TRACK …: a model for each of several aligned tracks, as a list in one document."""
-    _, (kind, out, *paths) = _split(args)
+    """[--sequences=a,b] KIND OUT.json TRACK TRACK …: a model for each of several aligned tracks, as a list in one document."""
+    options, (kind, out, *paths) = _split(args)
     start, eps = START[kind]
-    tracks = read_tracks(config, paths)
-    require_aligned(tracks, every=False)
+    tracks = read_tracks(config, paths, _sequences(options))
+    require_aligned(tracks)
     models = [peakcaller.learn(t, start(), eps).model for t in tracks]
     Path(out).write_text(dump_json([m.to_json() for m in models]))
     return models
@@ -116,6 +119,43 @@ def CallJointPeaks(config: SessionConfig, args: list[str]) -> DataFrame:
     return joint_peaks(scores, [float(options.get("threshold", 0.95))] * len(scores), -1)
 
 
+def LearnJointModel(config: SessionConfig, args: list[str]) -> Distribution:
+    """[--sequences=a,b] [--eps=1e-6] START.json OUT.json TRACK TRACK …: one mixture of products for the tracks together.
+
+    START has as many factors in each component as there are tracks."""
+    options, (start, out, *paths) = _split(args)
+    tracks = read_tracks(config, paths, _sequences(options))
+    require_aligned(tracks)
+    model = estimate.fit_joint(wide(tracks), load_model(start), eps=float(options.get("eps", 1e-6))).model
+    Path(out).write_text(dump_json(model.to_json()))
+    return model
+
+
+def ScoreJointModel(config: SessionConfig, args: list[str]) -> Track:
+    """[--sequences=a,b] --components=0,1 MODEL.json OUT TRACK TRACK …: for each bin the probability that the tracks' values
+    come from the components, written as a track."""
+    options, (model, out, *paths) = _split(args)
+    tracks = read_tracks(config, paths, _sequences(options))
+    require_aligned(tracks)
+    rows = estimate.vector_posterior(wide(tracks), load_model(model), [int(x) for x in options["components"].split(",")])
+    return _saved(config, replace(tracks[0], df=rows.select(*KEYS, F.exp("log_posterior").alias("value"))), out)
+
+
+def StatePath(config: SessionConfig, args: list[str]) -> DataFrame:
+    """[--posterior] HMM.json TRACK [SEQUENCE …]: the most probable state of each bin's sequence, or all states' posteriors."""
+    flag, rest = "--posterior" in args, [a for a in args if a != "--posterior"]
+    _, (document, path, *names) = _split(rest)
+    model = hmm.Hmm.from_json(parse_json(Path(document).read_text()))
+    return (hmm.posteriors if flag else hmm.paths)(read_track(config, path, names), model)
+
+
+def RegionVectors(config: SessionConfig, args: list[str]) -> DataFrame:
+    """TRACK REGIONS.bed: (region, v), the values of each region's bins; only folders that regions touch are read."""
+    _, (path, bed) = _split(args)
+    regions = read_bed3(_session(config), bed).withColumn("region", F.concat_ws(":", "seqname", F.concat_ws("-", "from", "to")))
+    return region_vectors(stored.read_regions(_session(config), path, regions), regions.distinct(), "region")
+
+
 def Estimate(config: SessionConfig, args: list[str]) -> dict:
     """NBINS TRACK OUT.json [SEQUENCE …]: an adaptive density of the values, as a document of edges and log densities."""
     _, (nbins, path, out, *names) = _split(args)

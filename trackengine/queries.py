@@ -22,6 +22,8 @@ from trackengine.operators import track as T
 from trackengine.operators import windows as W
 from trackengine.plans import peakcaller as jobs
 from trackengine.sources import fixtures as X
+from trackengine.sources import stored
+from trackengine.sources.work import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -130,6 +132,22 @@ def zoom_level(spark, d):
     return T.rebin(X.event_track(spark, d, "max"), 24, "max").df
 
 
+@query(_ev("max(value)") + "SELECT seqname, CAST(bin // 48 AS INTEGER) AS bin, max(value) AS value FROM ev GROUP BY 1, 2")
+def zoom_pyramid(spark, d):
+    """Bins of 48 read from a stored track's levels of 6, 24 and 120, of which that of 24 is the coarsest that divides them."""
+    track, path = X.event_track(spark, d, "max"), shared_folder(spark, "zoom")
+    stored.write_track(track.df, path, track.genome, zoom_levels=(6, 24, 120))
+    return stored.read_zoomed(spark, path, 48, "max").df
+
+
+@query(_ev() + "SELECT seqname, CAST(bin // 120 AS INTEGER) AS bin, round(avg(value), 9) AS value FROM ev GROUP BY 1, 2")
+def zoom_pyramid_mean(spark, d):
+    """The level of 120 itself, made of that of 24, which was made of that of 6."""
+    track, path = X.event_track(spark, d), shared_folder(spark, "zoom")
+    stored.write_track(track.df, path, track.genome, zoom_levels=(6, 24, 120))
+    return _rounded(stored.read_zoomed(spark, path, 120), 9)
+
+
 @query(_ev() + "SELECT seqname, bin, round(exp(value / 100), 6) AS value FROM ev")
 def map_exp(spark, d):
     return _rounded(X.event_track(spark, d).map(lambda v: F.exp(v / 100)))
@@ -181,6 +199,15 @@ def region_counts(spark, d):
     return rows.select("region_id", A.slice_sum(F.col("v")).cast("long").alias("total"), A.slice_max(F.col("v")).cast("long").alias("high"), F.size("v").cast("long").alias("bins"))
 
 
+@query(_LI + _REGIONS + "SELECT region_id, CAST(sum(a) AS BIGINT) AS total, CAST(max(a) AS BIGINT) AS high, count(*) AS bins FROM rb GROUP BY 1")
+def stored_regions(spark, d):
+    """region_counts, from a stored track of which only the folders that regions touch are read."""
+    track, path = X.ship_tracks(spark, d)[0], shared_folder(spark, "regions")
+    stored.write_track(track.df, path, track.genome)
+    rows = T.region_vectors(stored.read_regions(spark, path, _regions(spark, d)), _regions(spark, d))
+    return rows.select("region_id", A.slice_sum(F.col("v")).cast("long").alias("total"), A.slice_max(F.col("v")).cast("long").alias("high"), F.size("v").cast("long").alias("bins"))
+
+
 @query(_LI + _REGIONS + """SELECT region_id, string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR), ',' ORDER BY bin) || ';' || string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY bin)
   || ';' || string_agg(CAST(CAST(r AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS m FROM rb GROUP BY 1""")
 def region_matrices(spark, d):
@@ -217,6 +244,32 @@ def classify_window_n5(spark, d):
     return _mean_track(spark, d, 5, block=100)
 
 
+def _wide_sql(what: str, n: int) -> str:
+    left, right = (n) // 2, (n - 1) // 2
+    return _ev(extra=_NAN) + f"""SELECT seqname, bin, CASE WHEN count(*) OVER w < {n} OR bool_or(isnan(value)) OVER w THEN CAST('nan' AS DOUBLE) ELSE round({what}(value) OVER w, 8) END AS value
+FROM (SELECT seqname, bin, CASE WHEN bin % 170 = 3 THEN value ELSE CASE WHEN isnan(value) THEN 0 ELSE value END END AS value FROM nn) WINDOW w AS (PARTITION BY seqname ORDER BY bin ROWS BETWEEN {left} PRECEDING AND {right} FOLLOWING)"""
+
+
+def _sparsely_masked(spark, d) -> T.Track:
+    return X.event_masked(spark, d).map_positions(lambda s, p, v: F.when(F.isnan(v) & (p % 170 != 3), 0.0).otherwise(v))
+
+
+@query(_wide_sql("avg", 60))
+def classify_wide_mean(spark, d):
+    return _rounded(W.classify_wide(_sparsely_masked(spark, d), 60, "mean", block=150), 8)
+
+
+@query(_wide_sql("max", 61))
+def classify_wide_max(spark, d):
+    return _rounded(W.classify_wide(_sparsely_masked(spark, d), 61, "max", block=150), 8)
+
+
+@query(_LI + """SELECT seqname, bin, CASE WHEN bin BETWEEN 50 AND 2449 THEN sum(4 * a + 2 * n + r) OVER (PARTITION BY seqname ORDER BY bin ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) ELSE CAST('nan' AS DOUBLE) END AS value FROM li""")
+def classify_wide_multi(spark, d):
+    weighted = lambda v: F.get(v, F.lit(0)) * 4 + F.get(v, F.lit(1)) * 2 + F.get(v, F.lit(2))
+    return W.classify_wide_multi(X.ship_tracks(spark, d), 101, "sum", weighted, block=700).df
+
+
 _WIN3 = "OVER (PARTITION BY seqname ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 
 
@@ -327,12 +380,38 @@ def nonparam_entropy(spark, d):
     return E.log_entropy(E.density(E.value_histogram(X.ship_tracks(spark, d)[0].df))).select(F.round("log_entropy", 6).alias("log_entropy"))
 
 
-@query()
+def _adaptive_sql(nbins: int, size: str, x: str) -> str:
+    """Bins as a list of (from, to, count) in one row; each step merges the smallest with its smaller neighbour."""
+    return f""", h AS (SELECT {x} AS x, count(*) AS n FROM ev GROUP BY 1),
+e AS (SELECT x, n, coalesce(lead(x) OVER (ORDER BY x), x + coalesce((x - lag(x) OVER (ORDER BY x)) / 2, 1.0)) AS hi FROM h),
+m(b) AS (
+  SELECT list({{'lo': x, 'hi': hi, 'n': CAST(n AS DOUBLE)}} ORDER BY x) FROM e
+  UNION ALL
+  SELECT list_concat(b[:k - 1], [{{'lo': b[k].lo, 'hi': b[k + 1].hi, 'n': b[k].n + b[k + 1].n}}], b[k + 2:])
+  FROM (SELECT b, CASE WHEN i = 1 THEN 1 WHEN i = len(b) THEN i - 1 WHEN s[i - 1] <= s[i + 1] THEN i - 1 ELSE i END AS k
+    FROM (SELECT b, s, list_position(s, list_min(s)) AS i FROM (SELECT b, list_transform(b, lambda z: {size}) AS s FROM m WHERE len(b) > {nbins}) q) r) t),
+f AS (SELECT unnest(b) AS z FROM m WHERE len(b) = (SELECT min(len(b)) FROM m)),
+g AS (SELECT z.lo AS x, z.n AS n, lead(z.lo) OVER (ORDER BY z.lo) - z.lo AS step, sum(z.n) OVER () AS total FROM f)
+SELECT x, coalesce(step, lag(step) OVER (ORDER BY x), 1.0) AS delta, round(ln(n) - ln(total + 1) - ln(coalesce(step, lag(step) OVER (ORDER BY x), 1.0)), 6) AS log_density FROM g"""
+
+
+def _adaptive(track: T.Track, by_size: bool) -> DataFrame:
+    spark = track.df.sparkSession
+    hist = E.gridded(E.value_histogram(track.df)).toArrow().to_pandas()
+    x, n = E.adaptive_bins(hist["x"].tolist(), hist["n"].tolist(), 50, by_size)
+    return _digits(E.density(spark.createDataFrame(list(zip(x, map(float, n))), "x double, n double")), "log_density")
+
+
+@query("WITH RECURSIVE " + _ev()[5:] + _adaptive_sql(50, "z.hi - z.lo", "value"))
 def nonparam_adaptive(spark, d):
     """The event track's values in 50 bins, narrowest merged first."""
-    hist = E.gridded(E.value_histogram(X.event_track(spark, d).df)).toArrow().to_pandas()
-    x, n = E.adaptive_bins(hist["x"].tolist(), hist["n"].tolist(), 50)
-    return E.density(spark.createDataFrame(list(zip(x, map(float, n))), "x double, n double"))
+    return _adaptive(X.event_track(spark, d), True)
+
+
+@query("WITH RECURSIVE " + _ev()[5:] + _adaptive_sql(50, "z.n", "round(value, 0)"))
+def nonparam_adaptive_counts(spark, d):
+    """The event track's values, rounded, in 50 bins, those of the smallest count merged first."""
+    return _adaptive(X.event_track(spark, d).map(lambda v: F.round(v, 0)), False)
 
 
 # Peaks and intervals ---------------------------------------------------------------
@@ -406,6 +485,23 @@ def filter_overlaps(spark, d):
     return I.without_overlapped(X.order_intervals(spark, d), F.col("test"), ["id"], piece=256).select("id", "seqname", "from", "to", "test")
 
 
+_LONG = """, lg AS (
+  SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS seqname, CAST(c_custkey * 997 % 2400000 AS INTEGER) AS "from",
+    CAST(c_custkey * 997 % 2400000 + 1 + (c_custkey % 41) * (c_custkey % 41) * (c_custkey % 41) AS INTEGER) AS "to" FROM customer) """
+
+
+@query(_IV + _LONG + """SELECT lg.id, count(*) AS n, CAST(sum(least(iv."to", lg."to") - greatest(iv."from", lg."from")) AS BIGINT) AS shared
+FROM lg JOIN iv ON iv.seqname = lg.seqname AND iv."from" < lg."to" AND lg."from" < iv."to" GROUP BY 1""")
+def overlap_mixed(spark, d):
+    """How many short intervals each of some of very different lengths meets, and over how many positions."""
+    k, part = F.col("c_custkey"), F.col("c_custkey") % 41
+    start = k * 997 % 2400000
+    names = F.when(k % 3 == 0, "F").when(k % 3 == 1, "O").otherwise("P")
+    long = X.table(spark, d, "customer").select(k.alias("id"), names.alias("seqname"), start.cast("int").alias("from"), (start + 1 + part * part * part).cast("int").alias("to"))
+    pairs = I.overlaps(long, X.order_intervals(spark, d).drop("test"), piece=128)
+    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum(F.least("a_to", "b_to") - F.greatest("a_from", "b_from")).cast("long").alias("shared"))
+
+
 _STATES = ", st AS (SELECT seqname, bin, CAST(least(a, 3) AS INTEGER) AS state FROM li) "
 _RUNS = """, rn AS (SELECT seqname, CAST(min(bin) AS INTEGER) AS "from", CAST(max(bin) + 1 AS INTEGER) AS "to", state FROM
   (SELECT *, bin - row_number() OVER (PARTITION BY seqname, state ORDER BY bin) AS g FROM st) GROUP BY seqname, state, g) """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import track_sizes, write_track  # noqa: F401
+
 BED9 = ["seqname", "from", "to", "name", "score", "strand", "thickStart", "thickEnd", "itemRgb"]
 
 
@@ -49,23 +51,6 @@ def bedgraph_signal(rows: DataFrame, bin_size: int) -> DataFrame:
     return rows.filter(F.col("to") > F.col("from")).select("seqname", F.explode(F.transform(F.sequence(first, last), lambda b: b * bin_size)).alias("pos"), "value")
 
 
-def write_track(df: DataFrame, path: str, genome: DataFrame | None = None, bin_size: int = 1) -> None:
-    """Parquet with a folder for each sequence, so that reading some sequences reads their files only.
-
-    Ranges are over the bins too, so a long sequence is written by many tasks. The genome, if given, and the bin size are
-    kept in the folder _genome.
-    """
-    df.repartitionByRange("seqname", "bin").sortWithinPartitions("seqname", "bin").write.mode("overwrite").partitionBy("seqname").parquet(path)
-    if genome is not None:
-        genome.select("seqname", F.col("nbins").cast("int").alias("nbins"), F.lit(bin_size).alias("bin_size")).write.mode("overwrite").parquet(f"{path}/_genome")
-
-
-def track_sizes(spark: SparkSession, path: str) -> DataFrame | None:
-    """(seqname, nbins, bin_size) of a track that was written with its genome; None of another."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_genome")
-    return spark.read.parquet(f"{path}/_genome") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
-
-
 def is_gzip(head: bytes) -> bool:
     """Whether a file's first bytes are those of gzip."""
     return head[:2] == b"\x1f\x8b"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackengine.functions.arrays import NAN
-from trackengine.operators.track import Track, bin_signal
+from trackengine.operators.track import KEYS, Track, bin_signal, spine, tracks_of
 
 HOURS, DAYS = 720, 2500
 
@@ -34,13 +34,17 @@ def event_masked(spark: SparkSession, sf_dir: str) -> Track:
 
 
 def ship_tracks(spark: SparkSession, sf_dir: str) -> list[Track]:
-    """Three aligned tracks, for return flags A, N and R: shipped lines for each line status and day since 1995."""
+    """Three aligned tracks, for return flags A, N and R: shipped lines for each line status and day since 1995.
+
+    One table with a column for each: the lines are read, and shuffled, once.
+    """
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("seqname"), day.alias("bin"), "l_returnflag")
-    counts = rows.groupBy("seqname", "bin", "l_returnflag").agg(F.count("*").cast("double").alias("n"))
+    flags = [F.when(F.col("l_returnflag") == f, 1.0).otherwise(0.0).alias(f) for f in "ANR"]
     genome = rows.select("seqname").distinct().withColumn("nbins", F.lit(DAYS))
-    of = lambda flag: bin_signal(counts.filter(F.col("l_returnflag") == flag).select("seqname", F.col("bin").alias("pos"), F.col("n").alias("value")), genome)
-    return [of(f) for f in "ANR"]
+    both = rows.select(*KEYS, *flags, F.lit(0).alias("in")).unionByName(spine(genome).select(*KEYS, *(F.lit(0.0).alias(f) for f in "ANR"), F.lit(1).alias("in")))
+    counts = both.groupBy(*KEYS).agg(*(F.sum(f).alias(f) for f in "ANR"), F.max("in").alias("in")).filter("in = 1").drop("in")
+    return tracks_of(counts, list("ANR"), genome)
 
 
 def order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
