@@ -228,15 +228,17 @@ def test_seeded_starts_find_what_a_bad_start_does_not():
     assert E.best_fit(v, n, bad, tries=8) == best
 
 
-def test_joint_models(spark):
+@pytest.mark.parametrize("few", [0, 1 << 21])
+def test_joint_models(spark, monkeypatch, few):
+    monkeypatch.setattr(E, "FEW", few)
     r = np.random.default_rng(2)
     x = np.concatenate([r.poisson([1, 6, 2], (400, 3)), r.poisson([7, 1, 9], (200, 3))]).astype(float)
     rows = [(v.tolist(),) for v in x] + [([1.0, math.nan, 2.0],), (None,), ([1.0, None, 2.0],)]
     df = spark.createDataFrame(rows, "v array<double>").repartition(3)
     start = D.Distribution("vector:mixture distribution", (0.5, 0.5), (D.product([D.poisson(2.0)] * 2 + [D.normal(3.0, 2.0)]), D.product([D.poisson(4.0)] * 2 + [D.normal(6.0, 2.0)])))
-    fit = E.fit_joint(df, start, eps=1e-7)
+    fit = E.fit_joint(df, start, eps=1e-5)
     values, n = np.unique(x, axis=0, return_counts=True)
-    plain = E.fit_mixture(values, n, start, eps=1e-7)
+    plain = E.fit_mixture(values, n, start, eps=1e-5)
     assert fit.steps == plain.steps and fit.log_likelihood == pytest.approx(plain.log_likelihood)
     assert fit.model.parameters == pytest.approx(plain.model.parameters)
     for a, b in zip(fit.model.parts, plain.model.parts):
@@ -313,3 +315,12 @@ def test_a_sequence_that_a_track_lacks_is_an_error(spark):
         W.hopping_multi([a, b], 3)
 
 
+
+
+def test_declared_sizes_of_transforms(spark):
+    track = track_of(spark, SEQUENCES)
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.get(w, i) + F.get(w, i + 1))
+    first = lambda w: F.get(w, F.lit(0))
+    assert by_sequence(W.classify(track, 3, first, pairs, size=2).df)["a"][1] == SEQUENCES["a"][0] + SEQUENCES["a"][1]
+    with pytest.raises(Exception, match="doesn't give 3 values"):
+        W.classify(track, 3, first, pairs, size=3).df.collect()

@@ -270,6 +270,8 @@ def vector_histogram(df: DataFrame, v: str = "v") -> DataFrame:
 
 #: Distinct vectors whose weights a task adds up at once.
 TOGETHER = 65_536
+#: Numbers in the distinct vectors of a table that are fitted by the driver.
+FEW = 1 << 21
 
 
 def joint_step(hist: DataFrame, model: Distribution) -> tuple[np.ndarray, float, list[pd.DataFrame]]:
@@ -334,11 +336,21 @@ def _estimated_by_coordinate(part: Distribution, hist: list[pd.DataFrame], c: st
 def fit_joint(df: DataFrame, start: Distribution, v: str = "v", eps: float = 1e-8, max_steps: int | None = None) -> Fit:
     """One mixture of products for the vectors of a table: several tracks' values at a bin, or windows of them.
 
-    EM over the distinct vectors, which stay in Spark; a step sends each coordinate's values with their weights to the driver, from
-    which components are estimated. Ends as fit_mixture() does.
+    EM over the distinct vectors. Where those have FEW numbers at most, they are fitted by the driver, as a track's histogram is. Of
+    more, they stay in Spark, and a step sends each coordinate's values with their weights to the driver, from which components
+    are estimated. Both end as fit_mixture() does.
     """
     hist = vector_histogram(df, v).persist()
     try:
+        some = hist.limit(FEW // dimension(start) + 1).toArrow()
+        if not len(some):
+            raise ValueError("there are no vectors to fit")
+        if len(some) <= FEW // dimension(start):
+            x = some.column("v").to_pylist()
+            if bad := {len(row) for row in x} - {dimension(start)}:
+                raise ValueError(f"the model is of {dimension(start)} numbers, not of {min(bad)}")
+            order = sorted(range(len(x)), key=x.__getitem__)
+            return fit_mixture(np.array(x, float)[order], some.column("n").to_numpy()[order], start, eps, max_steps)
         model, before, steps = start, -INF, 0
         while True:
             weight, now, coordinates = joint_step(hist, model)

@@ -41,9 +41,19 @@ def centred(track: Track, n: int, block: int = BLOCK) -> DataFrame:
     return track.df.withColumn("win", F.array("value")) if n == 1 else frames(track.df, left, right, block=block)
 
 
-def classify(track: Track, n: int, score: Callable[[Column], Column], transform: Callable[[Column], Column] | None = None, block: int = BLOCK) -> Track:
-    """The score of the n bins around each bin; NaN where the window leaves the sequence. NaN values are passed on."""
-    win = transform(F.col("win")) if transform else F.col("win")
+def sized(win: Column, size: int | None) -> Column:
+    """An array as it is; an error where it hasn't the declared size."""
+    if size is None:
+        return win
+    return F.when(F.size(win) == size, win).otherwise(F.raise_error(F.lit(f"a transform of a window doesn't give {size} values")).cast("array<double>"))
+
+
+def classify(track: Track, n: int, score: Callable[[Column], Column], transform: Callable[[Column], Column] | None = None, block: int = BLOCK, size: int | None = None) -> Track:
+    """The score of the n bins around each bin; NaN where the window leaves the sequence. NaN values are passed on.
+
+    size: how many values the transform of a whole window gives; another number is an error.
+    """
+    win = sized(transform(F.col("win")) if transform else F.col("win"), size)
     value = F.when(F.size("win") == n, score(win)).otherwise(NAN)
     return replace(track, df=centred(track, n, block).select(*KEYS, value.alias("value")))
 

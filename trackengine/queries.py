@@ -60,7 +60,7 @@ seqs AS (SELECT DISTINCT seqname FROM obs),
 sums AS (SELECT seqname, bin, {summary} AS value FROM obs GROUP BY seqname, bin),
 ev AS (
   SELECT s.seqname, CAST(b.bin AS INTEGER) AS bin, coalesce(round(a.value, 6), {init}) AS value
-  FROM seqs s CROSS JOIN (SELECT unnest(range(720)) AS bin) b LEFT JOIN sums a ON a.seqname = s.seqname AND a.bin = b.bin){extra} """
+  FROM seqs s CROSS JOIN (SELECT unnest(range((SELECT greatest(720, max(bin) + 1) FROM obs))) AS bin) b LEFT JOIN sums a ON a.seqname = s.seqname AND a.bin = b.bin){extra} """
 
 
 _LI = """WITH c AS (
@@ -70,7 +70,7 @@ seqs AS (SELECT DISTINCT l_linestatus AS seqname FROM lineitem),
 li AS (
   SELECT s.seqname, CAST(b.bin AS INTEGER) AS bin, CAST(coalesce(max(CASE WHEN f = 'A' THEN n END), 0) AS DOUBLE) AS a,
     CAST(coalesce(max(CASE WHEN f = 'N' THEN n END), 0) AS DOUBLE) AS n, CAST(coalesce(max(CASE WHEN f = 'R' THEN n END), 0) AS DOUBLE) AS r
-  FROM seqs s CROSS JOIN (SELECT unnest(range(2500)) AS bin) b LEFT JOIN c ON c.seqname = s.seqname AND c.bin = b.bin GROUP BY 1, 2) """
+  FROM seqs s CROSS JOIN (SELECT unnest(range((SELECT greatest(2500, max(bin) + 1) FROM c))) AS bin) b LEFT JOIN c ON c.seqname = s.seqname AND c.bin = b.bin GROUP BY 1, 2) """
 
 _IV = """WITH iv AS (
   SELECT o_orderkey AS id, o_orderstatus AS seqname, o_totalprice AS test,
@@ -627,7 +627,7 @@ def _components(spark, fit: E.Fit, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, f"component int, name string, {', '.join(f'{n} double' for n in names)}")
 
 
-_EM_NORMAL = """, h AS (SELECT value AS x, count(*) / (SELECT count(*) FROM ev) AS share FROM ev GROUP BY 1),
+_EM_NORMAL = """, pos AS (SELECT value AS x FROM ev WHERE value > 0), h AS (SELECT x, count(*) / (SELECT count(*) FROM pos) AS share FROM pos GROUP BY 1),
 em(steps, before, w0, w1, m0, s0, m1, s1) AS (
   SELECT 0, CAST('-inf' AS DOUBLE), 0.5::DOUBLE, 0.5::DOUBLE, 20.0::DOUBLE, 20.0::DOUBLE, 60.0::DOUBLE, 20.0::DOUBLE
   UNION ALL
@@ -643,9 +643,9 @@ SELECT CAST(row_number() OVER (ORDER BY mean) - 1 AS INTEGER) AS component, 'sca
 
 @query("WITH RECURSIVE " + _ev()[5:] + _EM_NORMAL)
 def em_normal(spark, d):
-    """Two normal components fitted to the hourly means."""
+    """Two normal components fitted to the positive hourly means (hours without events are 0, on which one would collapse)."""
     start = mixture([0.5, 0.5], [normal(20.0, 20.0), normal(60.0, 20.0)])
-    return _components(spark, E.fit_track(X.event_track(spark, d).df, start, eps=1e-7), ["weight", "mean", "deviation"])
+    return _components(spark, E.fit_track(X.event_track(spark, d).df.filter("value > 0"), start, eps=1e-7), ["weight", "mean", "deviation"])
 
 
 def _digamma_sql(x: str) -> str:
@@ -722,7 +722,7 @@ em(steps, before, w0, w1, a0, n0, r0, a1, n1, r1) AS (
   SELECT steps + 1, now, m0, m1, sa0 / m0, sn0 / m0, sr0 / m0, sa1 / m1, sn1 / m1, sr1 / m1
   FROM (SELECT steps, before, sum(share * ln(d0 + d1)) AS now, {", ".join(f"sum(share * d{i} / (d0 + d1)) AS m{i}, " + ", ".join(f"sum(share * {t} * d{i} / (d0 + d1)) AS s{t}{i}" for t in "anr") for i in (0, 1))}
     FROM (SELECT *, w0 * {_POISSON3(0)} AS d0, w1 * {_POISSON3(1)} AS d1 FROM em, h) a GROUP BY ALL) b
-  WHERE now - before >= 1e-6),
+  WHERE now - before >= 1e-5),
 fit AS (SELECT * FROM em ORDER BY steps DESC LIMIT 1),
 parts AS (SELECT w0 AS weight, a0 AS a, n0 AS n, r0 AS r FROM fit UNION ALL SELECT w1, a1, n1, r1 FROM fit)
 SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS component, round(weight, 4) AS weight, round(a, 4) AS a, round(n, 4) AS n, round(r, 4) AS r FROM parts"""
@@ -732,7 +732,7 @@ SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS component, round(w
 def em_joint(spark, d):
     """One model of three tracks together: two components, each with a rate for each track."""
     start = Distribution("vector:mixture distribution", (0.5, 0.5), tuple(product([poisson(x) for x in rates]) for rates in ((0.5, 2.0, 0.5), (2.0, 0.5, 2.0))))
-    fit = E.fit_joint(T.wide(X.ship_tracks(spark, d)), start, eps=1e-6)
+    fit = E.fit_joint(T.wide(X.ship_tracks(spark, d)), start, eps=1e-5)
     rows = [(i, round(w, 4), *(round(float(c.parameters[0]), 4) for c in p.parts)) for i, (w, p) in enumerate(zip(fit.model.parameters, fit.model.parts))]
     return spark.createDataFrame(rows, "component int, weight double, a double, n double, r double")
 

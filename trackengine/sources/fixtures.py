@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackengine.functions.arrays import NAN
 from trackengine.operators.track import KEYS, Track, bin_signal, spine, tracks_of
 
+#: Bins of the event and ship tracks at least; later rows lengthen all sequences alike.
 HOURS, DAYS = 720, 2500
 
 
@@ -21,9 +22,16 @@ def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("seqname"), hour.alias("pos"), "value")
 
 
+def _genome(rows: DataFrame, place: str, least: int, bin_size: int = 1) -> DataFrame:
+    """(seqname, nbins): all sequences as long as the last place of any, `least` positions at least."""
+    last = rows.groupBy("seqname").agg(F.max(place).alias("last"))
+    longest = F.greatest(F.lit(least), F.max("last").over(Window.partitionBy()) + 1)  # a row for each sequence
+    return last.select("seqname", F.ceil(longest / bin_size).cast("int").alias("nbins")) if bin_size > 1 else last.select("seqname", longest.cast("int").alias("nbins"))
+
+
 def event_track(spark: SparkSession, sf_dir: str, summary: str = "mean", overlap: int = 0, init: float = 0.0, bin_size: int = 1) -> Track:
     signal = event_signal(spark, sf_dir)
-    genome = signal.select("seqname").distinct().withColumn("nbins", F.lit(HOURS // bin_size))
+    genome = _genome(signal, "pos", HOURS, bin_size)
     return bin_signal(signal, genome, bin_size, summary, overlap, init, digits=6)
 
 
@@ -41,7 +49,7 @@ def ship_tracks(spark: SparkSession, sf_dir: str) -> list[Track]:
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("seqname"), day.alias("bin"), "l_returnflag")
     flags = [F.when(F.col("l_returnflag") == f, 1.0).otherwise(0.0).alias(f) for f in "ANR"]
-    genome = rows.select("seqname").distinct().withColumn("nbins", F.lit(DAYS))
+    genome = _genome(rows, "bin", DAYS)
     both = rows.select(*KEYS, *flags, F.lit(0).alias("in")).unionByName(spine(genome).select(*KEYS, *(F.lit(0.0).alias(f) for f in "ANR"), F.lit(1).alias("in")))
     counts = both.groupBy(*KEYS).agg(*(F.sum(f).alias(f) for f in "ANR"), F.max("in").alias("in")).filter("in = 1").drop("in")
     return tracks_of(counts, list("ANR"), genome)
