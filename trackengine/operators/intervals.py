@@ -31,15 +31,25 @@ def _pieces(df: DataFrame, piece: int, levels: int) -> DataFrame:
 
 def _meeting(left: DataFrame, right: DataFrame) -> Column:
     """Rows a_… and b_… that touch one piece of the coarser of their levels, and overlap."""
-    same = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_at") == F.col("b_at")) & (F.col("a_piece") == F.col("b_piece"))
-    return same & (F.col("a_own") | F.col("b_own")) & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
+    same = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_at") == F.col("b_at")) & (F.col("a_piece") == F.col("b_piece")) & (F.col("a_role") == F.col("b_role"))
+    return same & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
+
+
+#: Who meets at a level: two rows of it, one of it on the left with a finer one, or one of it on the right. Two finer ones
+#: don't, for they meet at their own levels; so coarse pieces full of short rows cost nothing.
+_ROLES = {"a": ([0, 1], [2]), "b": ([0, 2], [1])}
 
 
 def _sides(a: DataFrame, b: DataFrame, piece: int, levels: int) -> list[DataFrame]:
-    return [(rows := _pieces(df, piece, levels)).select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side, df in (("a", a), ("b", b))]
+    out = []
+    for side, df in (("a", a), ("b", b)):
+        own, finer = (F.array(*map(F.lit, r)) for r in _ROLES[side])
+        rows = _pieces(df, piece, levels).withColumn("role", F.explode(F.when(F.col("own"), own).otherwise(finer)))
+        out.append(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)))
+    return out
 
 
-_PLACES = ("at", "own", "piece")
+_PLACES = ("at", "own", "piece", "role")
 
 
 def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
