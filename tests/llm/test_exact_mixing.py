@@ -26,3 +26,17 @@ def test_more_sources_than_slots(spark):
     assert sorted(r.doc_id for r in got) == list(range(230)) and all(r.release <= r.slot < r.deadline for r in got)
     with pytest.raises(ValueError):
         mixing.whole_weights([1, 0])
+
+
+def test_repeats_of_a_key_are_counted_and_all_come_back(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(5, "a")] * 100 + [(None, "a")] * 21 + [(i, "b") for i in range(40)] + [(5, "b")] * 8 + [(None, None)] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=4).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
+    for key, source in ((5, "a"), (None, "a"), (5, "b"), (None, None)):
+        own = sorted(r["rank"] for r in got if (r.doc_id, r.source) == (key, source))
+        assert own == list(range(own[0], own[0] + rows.count((key, source))))
+    for source in ("a", "b", None):
+        own = sorted(r["rank"] for r in got if r.source == source)
+        assert own == list(range(len(own)))

@@ -1,6 +1,8 @@
 """Language mixtures against plain loops: EM, the choice of the set, many languages."""
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -22,16 +24,16 @@ def plain_em(counts, model, allowed, steps=3000):
     return share, sum(c * math.log(sum(share[i] * model[i][f] for i in allowed)) for f, c in counts.items())
 
 
-def plain_choice(counts, model, penalty):
+def plain_choice(counts, model, penalty, steps=3000):
     k, cost = len(model), penalty * math.log(sum(counts.values()) + 1)
     singles = [sum(c * math.log(model[i][f]) for f, c in counts.items()) for i in range(k)]
     best, share = max(singles) - cost, {singles.index(max(singles)): 1.0}
-    full, top = plain_em(counts, model, list(range(k)))
+    full, top = plain_em(counts, model, list(range(k)), steps)
     order = sorted(range(k), key=lambda i: -full[i])
     for size in range(2, k + 1):
         if top - size * cost <= best:
             break
-        part, fit = plain_em(counts, model, order[:size])
+        part, fit = plain_em(counts, model, order[:size], steps)
         if fit - size * cost > best:
             best, share = fit - size * cost, part
     return [share.get(i, 0.0) for i in range(k)]
@@ -70,3 +72,60 @@ def test_more_languages_than_one_task_holds(spark):
     got = {r.doc_id: r for r in langid.identify(docs_of(spark, rows)).collect()}
     learned = [i for i in got if not got[i].held_out]
     assert len(got) == 320 and len(learned) > 250 and all(got[i].lang_pred == f"l{i:03d}" for i in learned)
+
+
+def plain_trigrams(text):
+    """Trigrams of lower-case letters, all else one space between and around words; hashed one by one."""
+    low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    words = " ".join(low.split(" ")).split()
+    line = " " + " ".join(words) + " "
+    out = []
+    for i in range(len(line) - 2 if words else 0):
+        h = ord(line[i]) << 42 | ord(line[i + 1]) << 21 | ord(line[i + 2])
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * times % 2**64
+        out.append((h ^ h >> 31) % langid.FEATURES)
+    return out
+
+
+ODD = ["", None, "123 45!", "a", "ÀÉ  ßtraße", "İstanbul-x9y", "日本語 テキスト", "one\ttwo\n\nthree", "ok퟿", "x" * 5000]
+
+
+def test_features_equal_plain_trigrams():
+    for text in ODD:
+        assert langid.trigram_features(text).tolist() == plain_trigrams(text)
+
+
+def test_query_equals_plain_model(spark):
+    """op7 as a whole: fold, counts, smoothed model, EM, choice of the set, prediction, all by plain loops."""
+    rng = np.random.default_rng(11)
+    tongues = {"xx": "alba mora tiru sanel", "yy": "krog zwist hunf drapt", "zz": "mora hunf oolu ieea"}
+    rows = []
+    for i in range(90):
+        lang = ["xx", "yy", "zz"][i % 3]
+        words = rng.choice(tongues[lang].split(), int(rng.integers(1, 30))).tolist()
+        if i % 7 == 0:
+            words += rng.choice(tongues["yy"].split(), 9).tolist()
+        rows.append((i, " ".join(words), None if i % 11 == 0 else lang))
+    rows += [(100 + i, t, "xx") for i, t in enumerate(ODD)] + [(7, rows[7][1], "yy"), (None, "krog zwist", "yy"), (200, "alba", "qq"), (201, "", "nn")]
+
+    def held(key):
+        return zlib.crc32(b"" if key is None else str(key).encode()) % 5 == 0
+
+    counts = {}
+    for key, text, lang in rows:
+        if lang is not None and not held(key) and plain_trigrams(text):
+            counts.setdefault(lang, Counter()).update(plain_trigrams(text))
+    names = sorted(counts)
+    sums = {x: sum(counts[x].values()) for x in names}
+    model = [{f: (counts[x][f] + 0.5) / (sums[x] + 0.5 * langid.FEATURES) for f in range(langid.FEATURES)} for x in names]
+    want = []
+    for key, text, _ in rows:
+        found = Counter(plain_trigrams(text))
+        share = plain_choice(found, model, 0.5, steps=300) if found else None
+        want.append((key, held(key), names[share.index(max(share))] if found else "und", max(share) if found else 0.0))
+    got = langid.identify(docs_of(spark, rows)).collect()
+    order = lambda r: (str(r[0]), r[3])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 0.02

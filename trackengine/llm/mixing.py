@@ -19,6 +19,8 @@ SLOTS = 4096
 BLOCK_DOCS = 64
 #: Documents of one source that share a sorting bucket, about.
 BUCKET_DOCS = 50_000
+#: Repeats of one row that are written out at a time.
+REPEATS = 65_536
 
 
 def slot_shares(weights: dict, slots: int = SLOTS) -> dict:
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     pattern of so many slots repeats and is broadcast; a source that has run out leaves its slots empty. For any others,
     one task deals out the blocks (not rows) in turn, in memory of the number of sources, and rows join their block; then
     blocks of other sources may move up in their windows when one has run out. Sources without a weight in `weights`
-    raise an error; a null source is a source; rows that repeat a key stay together as ties; an empty table gives no
+    raise an error; a null source is a source; rows that repeat a key are counted before they are numbered, and stay together; an empty table gives no
     rows. The driver holds a number for each source.
     """
     spark = docs.sparkSession
@@ -116,14 +118,15 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     repeats = all(w * slots % sum(whole) == 0 for w in whole)
     buckets = max(1, -(-max((r["count"] for r in counts), default=0) // BUCKET_DOCS)) * 8
     order = F.xxhash64(key, F.lit(seed))
-    placed = rows.select(key, source, order.alias("order"), F.pmod(F.shiftright("order", 40), F.lit(buckets)).alias("bucket"))
+    placed = rows.groupBy(key, source).count().select(key, source, "count", order.alias("order"), F.pmod(F.shiftright("order", 40), F.lit(buckets)).alias("bucket"))
     placed = materialize(placed, "mix-rows") if len(counts) else placed
-    sizes = placed.groupBy(source, "bucket").count()
+    sizes = placed.groupBy(source, "bucket").agg(F.sum("count").alias("count"))
     before = sizes.select(F.col(source).alias("b_source"), F.col("bucket").alias("b_bucket"), _sum_before(Window.partitionBy(source).orderBy("bucket")).alias("before"))
-    within = F.row_number().over(Window.partitionBy(source, "bucket").orderBy("order", key)) - 1
+    within = _sum_before(Window.partitionBy(source, "bucket").orderBy("order", key))
     ranked = placed.withColumn("within", within).join(before, F.col(source).eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    rank = (F.col("before") + F.col("within")).alias("rank")
-    ranked = ranked.select(key, source, rank).withColumn("block", F.expr(f"rank div {block_docs}"))
+    ranked = ranked.select(key, source, "count", (F.col("before") + F.col("within")).alias("first"), F.explode(F.expr(f"sequence(0L, count - 1, {REPEATS}L)")).alias("some"))
+    ranked = ranked.select(key, source, "first", F.explode(F.expr(f"sequence(some, least(some + {REPEATS}L, count) - 1)")).alias("more"))
+    ranked = ranked.select(key, source, (F.col("first") + F.col("more")).alias("rank")).withColumn("block", F.expr(f"rank div {block_docs}"))
     if not repeats:
         return _numbered(_dealt(ranked, source, key, names, whole, [-(-r["count"] // block_docs) for r in counts]), key)
     shares = {n: w * slots // sum(whole) for n, w in zip(names, whole)}
