@@ -12,6 +12,8 @@ from .common import materialize
 #: Children of a tree node; records of a file, about.
 FANOUT = 16
 FILE_RECORDS = 1024
+#: Files that one task orders, about, and tasks for all of them at most.
+TASK_FILES, TASKS = 4, 1 << 15
 
 
 def warc_records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
@@ -28,7 +30,7 @@ def warc_records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFram
     head = F.concat_ws("\r\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
     record = F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
     rows = pages.select(page.alias("page_id"), F.pmod(F.xxhash64(page, url), F.lit(files)).alias("file"), url.alias("url"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
+    rows = rows.withColumn("length", F.octet_length("record").cast("long")).repartition(min(-(-files // TASK_FILES), TASKS), "file")
     order = Window.partitionBy("file").orderBy("page_id", "url", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("file", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "length", "page_id", "record")
 
