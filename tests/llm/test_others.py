@@ -23,17 +23,15 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(*r, *[None] * (5 - len(r))) for r in rows], DOCS)
 
 
-@given(st.lists(st.floats(0.01, 100), min_size=1, max_size=12), st.integers(12, 300))
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=12), st.integers(1, 3))
 @settings(max_examples=60, deadline=None)
-def test_pfair_lag_is_below_one_block(weights, slots):
-    shares = mixing.slot_shares(dict(enumerate(weights)), slots)
-    assert sum(shares.values()) == slots and min(shares.values()) >= 1
-    done = Counter()
-    for s, k, slot, release, due in mixing.pfair_pattern(shares):
-        assert k == done[s] and release <= slot < due
-        done[s] += 1
-        assert all(abs(done[x] * slots - shares[x] * (slot + 1)) < slots for x in shares)
-    assert done == shares
+def test_pfair_lag_is_below_one_block(whole, periods):
+    total, done = sum(whole), Counter()
+    for i, k, slot, release, due in mixing.exact_schedule(whole, [w * periods for w in whole]):
+        assert k == done[i] and release <= slot < due and slot == sum(done.values())
+        done[i] += 1
+        assert all(abs(done[x] * total - w * (slot + 1)) < total for x, w in enumerate(whole))
+    assert done == {i: w * periods for i, w in enumerate(whole)}
 
 
 def test_mix_numbers_every_row(spark):
@@ -45,8 +43,8 @@ def test_mix_numbers_every_row(spark):
     for s in ("a", "b", "c", None):
         own = [r for r in got if r.source == s]
         assert [r["rank"] for r in own] == list(range(len(own))) and all(r.block == r["rank"] // 4 and r.release <= r.slot < r.deadline for r in own)
-    shares = mixing.slot_shares({"a": 1, "b": 2, "c": 1, None: 1}, 10)
-    pattern = {(s, k): slot for s, k, slot, _, _ in mixing.pfair_pattern(shares)}
+    names, shares = [None, "a", "b", "c"], {None: 2, "a": 2, "b": 4, "c": 2}
+    pattern = {(names[i], k): slot for i, k, slot, _, _ in mixing.exact_schedule([2, 2, 4, 2], [2, 2, 4, 2])}
     assert all(r.slot == r.block // shares[r.source] * 10 + pattern[r.source, r.block % shares[r.source]] for r in got)
     assert [(r.slot, r["rank"]) for r in got] == sorted((r.slot, r["rank"]) for r in got)
     with pytest.raises(ValueError):

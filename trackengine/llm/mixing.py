@@ -23,47 +23,6 @@ BUCKET_DOCS = 50_000
 REPEATS = 65_536
 
 
-def slot_shares(weights: dict, slots: int = SLOTS) -> dict:
-    """Whole slots of each source out of slots, in proportion to its weight by largest remainder, one at least."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    if len(weights) > slots:
-        raise ValueError(f"{len(weights)} sources need more than {slots} slots")
-    if not weights:
-        return {}
-    order = sorted(weights, key=str)
-    free, total = slots - len(order), sum(weights.values())
-    exact = {s: max(0.0, slots * weights[s] / total - 1) for s in order}
-    scale = free / sum(exact.values()) if any(exact.values()) else 0
-    shares = {s: 1 + int(exact[s] * scale) for s in order}
-    for s in sorted(order, key=lambda s: -(exact[s] * scale % 1))[: slots - sum(shares.values())]:
-        shares[s] += 1
-    shares[order[0]] += slots - sum(shares.values())
-    return shares
-
-
-def pfair_pattern(shares: dict) -> list[tuple[object, int, int, int, int]]:
-    """One period of the schedule: (source, block, slot, release, deadline) for each of its slots.
-
-    Block k of a source with w of H slots is released at floor(k H / w) and due by ceil((k + 1) H / w). One block a slot,
-    the earliest deadline first, meets every deadline since the shares add up to H; so at any time a source is less than
-    one block from its target. All windows end at H, where the pattern starts again.
-    """
-    period = sum(shares.values())
-    waiting = [(0, i, s, 0) for i, s in enumerate(sorted(shares, key=str))]
-    heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            release, i, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // shares[s]), i, s, k, release))
-        due, i, s, k, release = heapq.heappop(ready)
-        out.append((s, k, slot, release, due))
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * period // shares[s], i, s, k + 1))
-    return out
-
-
 def whole_weights(weights: list) -> list[int]:
     """Whole numbers in exactly the proportions of the weights, floats as the fractions that they are."""
     exact = [Fraction(w) for w in weights]
@@ -130,7 +89,9 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", ke
     if not repeats:
         return _numbered(_dealt(ranked, source, key, names, whole, [-(-r["count"] // block_docs) for r in counts]), key)
     shares = {n: w * slots // sum(whole) for n, w in zip(names, whole)}
-    pattern = spark.createDataFrame([(s, shares[s], k, slot, release, due) for s, k, slot, release, due in pfair_pattern(shares)], "p_source string, share long, k long, at long, p_release long, p_due long")
+    # all windows of a period end where it does, so the schedule of one is that of all
+    period = exact_schedule(list(shares.values()), list(shares.values()))
+    pattern = spark.createDataFrame([(names[i], shares[names[i]], *rest) for i, *rest in period], "p_source string, share long, k long, at long, p_release long, p_due long")
     share = pattern.select("p_source", "share").distinct()
     ranked = ranked.join(F.broadcast(share), F.col(source).eqNullSafe(F.col("p_source"))).drop("p_source")
     ranked = ranked.withColumns({"k": F.col("block") % F.col("share"), "turn": F.expr("block div share") * slots})
