@@ -144,6 +144,29 @@ def test_intervals_of_all_lengths(spark, piece, levels):
     assert left == sorted(x[0] for x in a if not any(x[0] != y[0] and meets(x, y) and y[4] >= x[4] for y in a))
 
 
+@pytest.mark.parametrize("block", [7, 1000, I.BLOCK])
+def test_shared_positions_equal_brute_force(spark, block):
+    rng = random.Random(block)
+    draw = lambda n: [(i, rng.choice(["s", "t", None]), x, x + rng.choice([0, 1, 3, 40, 300, 4000])) for i in range(n) for x in [rng.randint(-500, 3000)]]
+    a, b = [*draw(80), (80, "s", 9000, 9001)], draw(70) + [(99, "s", 10, 13)] * 9
+    schema = "id int, seqname string, from int, to int"
+    got = {r.id: (r.n, r.shared) for r in I.shared(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), block).collect()}
+    want = {}
+    for i, name, low, high in a:
+        if name and low < high:
+            parts = [min(high, y) - max(low, x) for _, other, x, y in b if other == name and x < y and x < high and low < y]
+            want[i] = (len(parts), sum(parts))
+    assert got == want and want[80] == (0, 0)
+
+
+def test_shared_positions_without_pairs(spark):
+    """2.5 thousand million pairs, on a few positions."""
+    some = spark.range(50_000).select("id", F.lit("s").alias("seqname"), (F.col("id") % 5).cast("int").alias("from"), (F.col("id") % 5 + 10).cast("int").alias("to"))
+    assert {tuple(r) for r in I.shared(some, some).groupBy("from").agg(F.min("n"), F.max("n"), F.min("shared"), F.max("shared")).collect()} == {
+        (x, 50_000, 50_000, shared, shared) for x in range(5) for shared in [10_000 * sum(10 - abs(x - y) for y in range(5))]
+    }
+
+
 def test_a_long_interval_is_a_few_rows(spark):
     df = spark.createDataFrame([("s", 0, 250_000_000), ("s", 7, 8), ("s", 4000, 4200)], "seqname string, from int, to int")
     assert {r["to"]: r["count"] for r in I._pieces(df, I.PIECE, I.LEVELS).groupBy("to").count().collect()} == {250_000_000: 15, 8: 3, 4200: 4}

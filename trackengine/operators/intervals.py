@@ -13,6 +13,8 @@ PIECE = 4096
 GROWTH, LEVELS = 64, 3
 #: Positions of a stretch in which abutting rows are put together by one task.
 STRETCH = 1 << 24
+#: Positions of a block in which one task adds up the ends of intervals from left to right.
+BLOCK = 1 << 16
 
 
 def _pieces(df: DataFrame, piece: int, levels: int) -> DataFrame:
@@ -64,6 +66,40 @@ def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVEL
     return pairs.filter(F.col("a_piece") == F.floor(F.greatest("a_from", "b_from") / size)).drop(*(f"{side}_{c}" for side in "ab" for c in _PLACES))
 
 
+def shared(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a with n, how many rows of b overlap a row (0 for none), and shared, over how many positions in all.
+
+    No pair is made. Those of b that begin before a row's end, less those that end by its start, overlap it; the positions that b
+    covers before either end are sums as well. Starts and ends are counted by position first, so a block has at most as many
+    rows as positions however many intervals meet there; running sums of blocks are chained over a sequence. Rows without
+    length, or without a sequence, are left out.
+    """
+    there = (F.col("to") > F.col("from")) & F.col("seqname").isNotNull()
+    left = a.filter(there)
+    place = lambda end, *flags: F.struct(F.col(end).cast("long").alias("pos"), *(F.lit(v).alias(k) for k, v in zip(("start", "end", "asked"), flags)))
+    ends, asked = F.array(place("from", 1, 0, 0), place("to", 0, 1, 0)), F.array(place("from", 0, 0, 1), place("to", 0, 0, 1))
+    points = b.filter(there).select("seqname", F.inline(ends)).unionByName(left.select("seqname", F.inline(asked)))
+    at = points.groupBy("seqname", "pos").agg(F.sum("start").alias("start"), F.sum("end").alias("end"), F.max("asked").alias("asked")).withColumn("block", F.floor(F.col("pos") / block))
+    net = F.col("start") - F.col("end")
+    sums = {"start": F.col("start"), "end": F.col("end"), "moment": net * F.col("pos")}
+
+    blocks = at.groupBy("seqname", "block").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    earlier = Window.partitionBy("seqname").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("seqname", "block", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in sums))
+    so_far = Window.partitionBy("seqname", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = at.select("seqname", "block", "pos", "asked", F.col("start").alias("own"), *(F.sum(v).over(so_far).alias(k) for k, v in sums.items()))
+    total = {k: F.col(k) + F.col(f"{k}_before") for k in sums}
+    covered = F.col("pos") * (total["start"] - total["end"]) - total["moment"]
+    known = inside.filter("asked = 1").join(blocks, ["seqname", "block"]).select("seqname", "pos", (total["start"] - F.col("own")).alias("begun"), total["end"].alias("ended"), covered.alias("covered"))
+
+    def side(end: str) -> DataFrame:
+        return known.select(F.col("seqname").alias(f"{end}_seqname"), F.col("pos").alias(f"{end}_pos"), *(F.col(c).alias(f"{end}_{c}") for c in ("begun", "ended", "covered")))
+
+    for end in ("from", "to"):
+        left = left.join(side(f"{end}_"), (F.col("seqname") == F.col(f"{end}__seqname")) & (F.col(end) == F.col(f"{end}__pos")))
+    return left.select(*a.columns, (F.col("to__begun") - F.col("from__ended")).alias("n"), (F.col("to__covered") - F.col("from__covered")).alias("shared"))
+
+
 def intersect(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
     """Intersections of overlapping peaks: strand of a, test of a with that of b behind it."""
     pairs = overlaps(a, b, piece, levels)

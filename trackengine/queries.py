@@ -498,8 +498,8 @@ def overlap_mixed(spark, d):
     start = k * 997 % 2400000
     names = F.when(k % 3 == 0, "F").when(k % 3 == 1, "O").otherwise("P")
     long = X.table(spark, d, "customer").select(k.alias("id"), names.alias("seqname"), start.cast("int").alias("from"), (start + 1 + part * part * part).cast("int").alias("to"))
-    pairs = I.overlaps(long, X.order_intervals(spark, d).drop("test"), piece=128)
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum(F.least("a_to", "b_to") - F.greatest("a_from", "b_from")).cast("long").alias("shared"))
+    found = I.shared(long, X.order_intervals(spark, d)).filter("n > 0")
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
 
 
 _STATES = ", st AS (SELECT seqname, bin, CAST(least(a, 3) AS INTEGER) AS state FROM li) "
