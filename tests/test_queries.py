@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trackengine import queries as library
 
@@ -50,3 +51,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["seqname", "from", "to", "strand", "test"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def repeated(spark, folder, times, *tables):
+    """Tables of `times` as many rows."""
+    for t in tables:
+        spark.read.parquet(f"{SMALL}/{t}.parquet").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("copy").write.parquet(f"{folder}/{t}.parquet")
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return c
+
+
+def test_any_form_of_counts_above_a_hundred(spark, tmp_path):
+    con = repeated(spark, tmp_path, 150, "lineitem")
+    got, want = library.queries()["em_nonparam"](spark, str(tmp_path)).toPandas(), con.sql(library.oracle_sql()["em_nonparam"]).df()
+    assert want["x"].max() > 100 and rows(got) == rows(want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -211,12 +212,15 @@ def best_fit(x, n, start: Distribution, tries: int = 8, seed: int = 0, **options
     return max(fits, key=lambda f: f.log_likelihood)
 
 
-def fit_track(df: DataFrame, start: Distribution, value: str = "value", tries: int = 1, seed: int = 0, **options) -> Fit:
+def fit_track(df: DataFrame, start: Distribution | Callable[[np.ndarray], Distribution], value: str = "value", tries: int = 1, seed: int = 0, **options) -> Fit:
     """Fit a mixture to the values of a table through their histogram, the only part that reaches the driver.
 
-    tries: start models to try, the given one first (see seeded_starts).
+    start: the model to start from, or a function that makes it from the histogram's values, in rising order: a density of any
+    form stays zero where its start has no step, so its steps must cover the values. tries: start models to try, the given
+    one first (see seeded_starts).
     """
     hist = gridded(value_histogram(df, value)).toArrow().to_pandas().sort_values("x")
+    start = start(hist["x"].to_numpy(float)) if callable(start) else start
     return best_fit(hist["x"], hist["n"], start, tries, seed, **options)
 
 

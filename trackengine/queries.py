@@ -708,8 +708,8 @@ SELECT unnest(xs) AS x, round(w0, 6) AS zeros, round(unnest(list_transform(y, la
 @query("WITH RECURSIVE " + _LI[5:] + _EM_NONPARAM)
 def em_nonparam(spark, d):
     """Excess zeros and a density of any form, fitted together; a row for each step of the density."""
-    steps = Distribution("scalar:nonparametric distribution", {"X": [float(i) for i in range(100)], "Y": [-math.log(100)] * 100})
-    fit = E.fit_track(X.ship_tracks(spark, d)[0].df, mixture([0.5, 0.5], [delta(0.0), steps]), eps=1e-7)
+    steps = lambda x: Distribution("scalar:nonparametric distribution", {"X": x.tolist(), "Y": [-math.log(100)] * len(x)})
+    fit = E.fit_track(X.ship_tracks(spark, d)[0].df, lambda x: mixture([0.5, 0.5], [delta(0.0), steps(x)]), eps=1e-7)
     found = fit.model.parts[1].parameters
     return spark.createDataFrame([(x, round(fit.model.parameters[0], 6), round(y, 6)) for x, y in zip(found["X"], found["Y"])], "x double, zeros double, log_density double")
 
