@@ -54,6 +54,12 @@ def safe_ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-INF)).otherwise(NAN)
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to so many digits; what rounds to zero keeps its sign, as SQL's round() has it and Spark's, by way of decimals, has not."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def log_add(a: Column, b: Column) -> Column:
     """log(exp(a) + exp(b)), safe where one or both are -inf."""
     hi, lo = F.greatest(a, b), F.least(a, b)

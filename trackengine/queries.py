@@ -352,7 +352,7 @@ def value_hist(spark, d):
 def weighted_hist(spark, d):
     a, n, _ = X.ship_tracks(spark, d)
     rows = T.wide([a, n]).select(F.get("v", F.lit(0)).alias("value"), (-F.get("v", F.lit(1)) / 50).alias("w"))
-    return E.weighted_histogram(rows, "value", "w").select("x", F.round("log_n", 6).alias("log_n"))
+    return E.weighted_histogram(rows, "value", "w").select("x", A.rounded(F.col("log_n")).alias("log_n"))
 
 
 _DENS = """, h AS (SELECT a AS x, count(*) AS n FROM li GROUP BY 1),
@@ -363,7 +363,7 @@ de AS (SELECT x, delta, ln(n) - ln(total + 1) - ln(delta) AS log_density FROM dn
 
 @query(_LI + _DENS + "SELECT x, delta, round(log_density, 6) AS log_density FROM de")
 def nonparam_density(spark, d):
-    return E.density(E.value_histogram(X.ship_tracks(spark, d)[0].df)).withColumn("log_density", F.round("log_density", 6))
+    return E.density(E.value_histogram(X.ship_tracks(spark, d)[0].df)).withColumn("log_density", A.rounded(F.col("log_density")))
 
 
 @query(_LI + _DENS + """, q AS (SELECT seqname, bin, n + 0.5 AS y FROM li), top AS (SELECT max(x + delta) AS hi, min(x) AS lo FROM de)
@@ -372,7 +372,7 @@ def nonparam_logpdf(spark, d):
     a, n, _ = X.ship_tracks(spark, d)
     rows = n.df.select("seqname", "bin", (F.col("value") + 0.5).alias("y"))
     out = E.step_log_pdf(rows, E.density(E.value_histogram(a.df)), "y")
-    return out.select("seqname", "bin", "y", F.when(F.col("log_pdf") == -A.INF, F.col("log_pdf")).otherwise(F.round("log_pdf", 6)).alias("log_pdf"))
+    return out.select("seqname", "bin", "y", F.when(F.col("log_pdf") == -A.INF, F.col("log_pdf")).otherwise(A.rounded(F.col("log_pdf"))).alias("log_pdf"))
 
 
 @query(_LI + _DENS + "SELECT round(ln(-sum(exp(log_density + ln(delta)) * (log_density + ln(delta)))), 6) AS log_entropy FROM de")
@@ -576,7 +576,7 @@ _POST_N = f", fn AS (SELECT seqname, bin, {_density_sql('n')} FROM li), pn AS (S
 
 @query(_LI + _POST + "SELECT seqname, bin, round(lp, 6) AS log_posterior FROM pa")
 def mixture_posterior(spark, d):
-    return E.posterior(X.ship_tracks(spark, d)[0].df, EXAMPLE, [3]).select("seqname", "bin", F.round("log_posterior", 6).alias("log_posterior"))
+    return E.posterior(X.ship_tracks(spark, d)[0].df, EXAMPLE, [3]).select("seqname", "bin", A.rounded(F.col("log_posterior")).alias("log_posterior"))
 
 
 @query(_LI + _POST + _POST_N + "SELECT pa.seqname, pa.bin, round(pa.p * (1 - pn.p), 6) AS value FROM pa JOIN pn ON pa.seqname = pn.seqname AND pa.bin = pn.bin")
@@ -741,7 +741,7 @@ def em_joint(spark, d):
 SELECT id, round(list_sum(list_transform(v, lambda x, i: -0.5 * ((x - (i - 1) / 100.0) / (0.5 + (i - 1) / 50.0))**2 - ln(0.5 + (i - 1) / 50.0) - 0.5 * ln(2 * pi()))), 6) AS log_pdf FROM v""")
 def density_vectors(spark, d):
     model = product([normal(i / 100, 0.5 + i / 50) for i in range(64)])
-    return E.vector_log_density(X.vectors(spark, d), model).select("id", F.round("log_pdf", 6).alias("log_pdf"))
+    return E.vector_log_density(X.vectors(spark, d), model).select("id", A.rounded(F.col("log_pdf")).alias("log_pdf"))
 
 
 @query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -753,7 +753,7 @@ def density_matrices(spark, d):
     near = matrix_rows([product([normal(i / 10, 1.0) for _ in range(8)]) for i in range(8)])
     far = matrix_rows([product([normal(-j / 10, 2.0) for j in range(8)]) for _ in range(8)])
     model = Distribution("matrix:mixture distribution", (0.4, 0.6), (near, far))
-    return E.vector_log_density(_square(X.vectors(spark, d)), model, "m").select("id", F.round("log_pdf", 6).alias("log_pdf"))
+    return E.vector_log_density(_square(X.vectors(spark, d)), model, "m").select("id", A.rounded(F.col("log_pdf")).alias("log_pdf"))
 
 
 def _square(vectors: DataFrame) -> DataFrame:
@@ -804,13 +804,14 @@ def seg_bed9(spark, d):
 
 @query("""SELECT event_id, round(greatest(value, user_id) + ln(1 + exp(least(value, user_id) - greatest(value, user_id))), 6) AS y FROM events""")
 def logadd(spark, d):
-    return X.table(spark, d, "events").select("event_id", F.round(A.log_add(F.col("value"), F.col("user_id").cast("double")), 6).alias("y"))
+    return X.table(spark, d, "events").select("event_id", A.rounded(A.log_add(F.col("value"), F.col("user_id").cast("double"))).alias("y"))
 
 
 @query("""SELECT event_id, CASE WHEN value > user_id THEN round(value + ln(1 - exp(user_id - value)), 6) WHEN value = user_id THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END AS y FROM events""")
 def logsub(spark, d):
     y = A.log_sub(F.col("value"), F.col("user_id").cast("double"))
-    return X.table(spark, d, "events").select("event_id", F.when(F.abs(y) < A.INF, F.round(y, 6)).otherwise(y).alias("y"))
+    y = F.when(F.abs(y) <= 2.0**-54, 0.0).otherwise(y)  # where the SQL's 1 - exp(…) is 1
+    return X.table(spark, d, "events").select("event_id", F.when(F.abs(y) < A.INF, A.rounded(y)).otherwise(y).alias("y"))
 
 
 _V = "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS DOUBLE)) AS v FROM embeddings) "
