@@ -167,6 +167,18 @@ def test_shared_positions_without_pairs(spark):
     }
 
 
+def test_pairs_of_one_table_and_what_is_shuffled_for_them(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 60), rng.choice("st"), x, x + rng.choice([0, 1, 5, 90, 700])) for _ in range(80) for x in [rng.randint(-50, 900)]] + [(7, "s", 5, 9), (8, "s", 5, 9), (8, "s", 5, 9)]
+    df = spark.createDataFrame(rows, "id int, seqname string, from int, to int")
+    want = sorted((*x, *y) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
+    for piece, levels in ((8, 3), (64, 1), (1, 4)):
+        assert sorted(map(tuple, I.overlapping_pairs(df, "id", piece, levels).collect())) == want
+    short = spark.range(1000).selectExpr("id", "'s' AS seqname", "CAST(id * 8 AS int) AS `from`", "CAST(id * 8 + 4 AS int) AS `to`")
+    spans, points, _ = I._sides(short, short, ("x", "y"), 8, 3)  # one level is there, of three
+    assert spans.count() == points.count() == 1000
+
+
 def test_a_long_interval_is_a_few_rows(spark):
     df = spark.createDataFrame([("s", 0, 250_000_000), ("s", 7, 8), ("s", 4000, 4200)], "seqname string, from int, to int")
     assert {r["to"]: r["count"] for r in I._pieces(df, I.PIECE, I.LEVELS).groupBy("to").count().collect()} == {250_000_000: 15, 8: 3, 4200: 4}

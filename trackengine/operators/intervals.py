@@ -31,39 +31,48 @@ def _pieces(df: DataFrame, piece: int, levels: int) -> DataFrame:
     return rows.withColumns({"own": F.col("level") == F.col("at"), "piece": F.explode(F.sequence(first, last))}).drop("level")
 
 
-def _meeting(left: DataFrame, right: DataFrame) -> Column:
-    """Rows a_… and b_… that touch one piece of the coarser of their levels, and overlap."""
-    same = (F.col("a_seqname") == F.col("b_seqname")) & (F.col("a_at") == F.col("b_at")) & (F.col("a_piece") == F.col("b_piece")) & (F.col("a_role") == F.col("b_role"))
-    return same & (F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to"))
-
-
-#: Who meets at a level: two rows of it, one of it on the left with a finer one, or one of it on the right. Two finer ones
-#: don't, for they meet at their own levels; so coarse pieces full of short rows cost nothing.
-_ROLES = {"a": ([0, 1], [2]), "b": ([0, 2], [1])}
+def _sides(spans: DataFrame, points: DataFrame, names: tuple[str, str], piece: int, levels: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Two sides and the condition of a join, which finds each pair of a span and a row that begins in it or at its start once.
 
+    A span is in the pieces of its own level only, at most two but at the coarsest; the other row is in one piece of each
+    level that any span is of, that of its start. names: what the columns of spans and points begin with.
+    """
+    s, p = names
+    left = _pieces(spans, piece, levels).filter("own").drop("own")
+    there = F.broadcast(left.select("at").distinct())  # a row for each level
+    size = F.lit(piece) * F.pow(F.lit(GROWTH), F.col("at")).cast("long")
+    right = points.filter(F.col("to") > F.col("from")).withColumn("at", F.explode(F.array(*map(F.lit, range(levels))))).join(there, "at", "left_semi")
+    right = right.withColumn("piece", F.floor(F.col("from") / size))
+    met = F.lit(True)
+    for c in ("seqname", "at", "piece"):
+        met = met & (F.col(f"{s}_{c}") == F.col(f"{p}_{c}"))
+    named = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side, df in ((s, left), (p, right)))
+    return *named, met & (F.col(f"{s}_from") <= F.col(f"{p}_from")) & (F.col(f"{p}_from") < F.col(f"{s}_to"))
 
-def _sides(a: DataFrame, b: DataFrame, piece: int, levels: int) -> list[DataFrame]:
-    out = []
-    for side, df in (("a", a), ("b", b)):
-        own, finer = (F.array(*map(F.lit, r)) for r in _ROLES[side])
-        rows = _pieces(df, piece, levels).withColumn("role", F.explode(F.when(F.col("own"), own).otherwise(finer)))
-        out.append(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)))
-    return out
 
+def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
+    """All pairs of overlapping rows, a's columns under a_ and b's under b_.
 
-_PLACES = ("at", "own", "piece", "role")
+    Of two that overlap, one begins in the other or with it: rows of b that begin in one of a, or with it, and rows of a that begin
+    later than one of b that they are in. Both are equi-joins on (seqname, level, piece). Rows without length meet nothing.
+    levels=1 is enough where no row is wider than some pieces.
+    """
+    columns = [*(f"a_{c}" for c in a.columns), *(f"b_{c}" for c in b.columns)]
+    left, right, met = _sides(a, b, ("a", "b"), piece, levels)
+    inner, outer, later = _sides(b, a, ("b", "a"), piece, levels)
+    return left.join(right, met).select(*columns).unionByName(outer.join(inner, later & (F.col("b_from") < F.col("a_from"))).select(*columns))
 
 
-def overlaps(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
-    """All pairs of overlapping rows, a's columns under a_ and b's under b_.
+def overlapping_pairs(df: DataFrame, key: str, piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
+    """Each pair of overlapping rows of one table with different keys once, the columns of that with the smaller key under a_.
 
-    Both sides meet on (seqname, level, piece), an equi-join, at the coarser of their two levels, and a pair counts in the first
-    piece that both touch. Rows without length meet nothing. levels=1 is enough where no row is wider than some pieces.
+    One join does: the row that begins first is the span, of two that begin together that with the smaller key.
     """
-    left, right = _sides(a, b, piece, levels)
-    pairs = left.join(right, _meeting(left, right))
-    size = F.lit(piece) * F.pow(F.lit(GROWTH), F.col("a_at")).cast("long")
-    return pairs.filter(F.col("a_piece") == F.floor(F.greatest("a_from", "b_from") / size)).drop(*(f"{side}_{c}" for side in "ab" for c in _PLACES))
+    span, point, met = _sides(df, df, ("x", "y"), piece, levels)
+    first, second = F.col(f"x_{key}"), F.col(f"y_{key}")
+    once = (first < second) | ((first > second) & (F.col("x_from") < F.col("y_from")))
+    pick = lambda x, y, side: [F.when(first < second, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{side}_{c}") for c in df.columns]
+    return span.join(point, met & once).select(*pick("x", "y", "a"), *pick("y", "x", "b"))
 
 
 def shared(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -109,15 +118,18 @@ def intersect(a: DataFrame, b: DataFrame, piece: int = PIECE, levels: int = LEVE
 def without_overlapped(df: DataFrame, score: Column, key: list[str], piece: int = PIECE, levels: int = LEVELS) -> DataFrame:
     """Rows that no other overlapping row reaches in score; of equal ones none stays. key tells rows apart.
 
-    Rows meet in the pieces that both touch. The search for a better one is a semi join, which ends at the first it finds.
+    Rows meet in the pieces where one of them begins, as in overlaps(). The search for a better one is a semi join, which ends at the first it finds.
     """
     rows = df.withColumn("score__", score)
     lean = rows.select("seqname", "from", "to", "score__", *(k for k in key if k not in ("seqname", "from", "to")))
-    a, b = _sides(lean, lean, piece, levels)
     other = ~F.lit(True)
     for k in key:
         other = other | ~F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
-    beaten = a.join(b, _meeting(a, b) & other & (F.col("b_score__") >= F.col("a_score__")), "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key)).distinct()
+    better = other & (F.col("b_score__") >= F.col("a_score__"))
+    a, b, met = _sides(lean, lean, ("a", "b"), piece, levels)
+    outer, inner, inside = _sides(lean, lean, ("b", "a"), piece, levels)
+    beaten = a.join(b, met & better, "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key))
+    beaten = beaten.unionByName(inner.join(outer, inside & better, "left_semi").select(*(F.col(f"a_{k}").alias(k) for k in key))).distinct()
     return rows.join(beaten, key, "left_anti").drop("score__")
 
 

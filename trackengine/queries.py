@@ -475,8 +475,7 @@ def predictions_nms(spark, d):
 @query(_IV + """SELECT a.id AS a_id, b.id AS b_id, a.seqname, greatest(a."from", b."from") AS "from", least(a."to", b."to") AS "to" FROM iv a JOIN iv b
   ON a.seqname = b.seqname AND a."from" < b."to" AND b."from" < a."to" WHERE a.id < b.id""")
 def overlap_pairs(spark, d):
-    iv = X.order_intervals(spark, d)
-    pairs = I.overlaps(iv, iv, piece=256).filter("a_id < b_id")
+    pairs = I.overlapping_pairs(X.order_intervals(spark, d).drop("test"), "id", piece=256)
     return pairs.select("a_id", "b_id", F.col("a_seqname").alias("seqname"), F.greatest("a_from", "b_from").alias("from"), F.least("a_to", "b_to").alias("to"))
 
 
