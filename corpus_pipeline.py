@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (the smallest doc_id): five-word shingles, Jaccard similarity 0.8 or more.
 
-    Fingerprints of 64 bits can't tell 0.8 from less (the README has figures), so candidates come from minimum hashes and are
-    compared exactly. Of rows that are repeated in full one stays.
+    SimHash fingerprints group candidates; as 64 bits can't tell 0.8 from less (the README has figures), texts that share a band of
+    minimum hashes are candidates too. All are compared exactly. Of rows that are repeated in full one stays.
     """
     return nearcopies.drop_near_copies(docs)
 

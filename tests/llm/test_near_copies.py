@@ -84,3 +84,22 @@ def test_one_row_of_a_repeated_document_stays(spark):
     assert kept.columns == clash.columns
     got = sorted((r.doc_id or 0, len((r.text or "").split())) for r in kept.collect())
     assert got in ([(0, 50), (1, 2), (1, 50), (4, 0)], [(0, 50), (1, 2), (1, 51), (4, 0)])
+
+
+def test_simhash_alone_finds_what_fingerprints_join_and_confirms_it(spark, monkeypatch):
+    """Without bands, candidates are the groups of fingerprints at three bits; those that aren't similar stay apart."""
+    monkeypatch.setattr(nearcopies, "band_keys", lambda grams: np.full(nearcopies.BANDS, grams.sum(dtype=np.uint64)))
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    rows += [(100 + i, f"one{i} a b c d") for i in range(3)]
+    prints = {i: nearcopies.fingerprint_of(t.encode(), nearcopies.SHINGLE) for i, t in rows}
+    links = [(i, j) for i, (a, x) in enumerate(rows) for j, (b, y) in enumerate(rows[:i]) if (prints[a] ^ prints[b]).bit_count() <= 3 and plain_jaccard(x, y) >= 0.8]
+    assert len(links) > 20
+    comp, low = closure(len(rows), links), {}
+    for (i, _), g in zip(rows, comp):
+        low[g] = min(i, low.get(g, i))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(docs_of(spark, rows)).collect()}
+    assert got == {i: low[g] for (i, _), g in zip(rows, comp)}

@@ -1,4 +1,4 @@
-"""Near copies by their shared word shingles: candidates from banded minimum hashes, confirmed by exact Jaccard similarity."""
+"""Near copies by their shared word shingles: candidates by SimHash, and those that its fingerprints can't reach by banded minimum hashes; all are confirmed by exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, checked, discard, giving_back, materialize, mix, spare, text_bytes, window_hashes, word_bounds, word_hashes
 from .components import connected_components
-from .simhash import _Forest
+from .simhash import _Forest, fingerprint_links, fingerprint_of
 
 #: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
+#: Texts whose SimHash fingerprints are joined by chains of so many differing bits are compared.
+RADIUS = 3
 #: Two texts are compared if all minima of one band are equal. At similarity 0.8, 1 pair in 150,000 has no such band.
 BANDS, ROWS = 30, 5
 #: Texts of a band that are compared pair by pair; texts and shingles of either side of a tile, about.
@@ -60,20 +62,22 @@ def _rows() -> list:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, body_hash, print, n, bands): print tells sets of shingles apart, n is the set's size."""
+    """(doc_id, body_hash, print, n, bands, fp): print tells sets of shingles apart, n is the set's size, fp the text's fingerprint."""
 
     @giving_back
     def run(batches):
         for b in batches:
-            sets = [shingles(x) for x in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            sets = [shingles(x) for x in texts]
             n = np.array([len(s) for s in sets], np.int32)
             with np.errstate(over="ignore"):
                 prints = mix(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64) + n.astype(np.uint64))
             bands = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1, BANDS).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(n), lists], ["doc_id", "body_hash", "print", "n", "bands"])
+            fp = np.array([fingerprint_of(x, SHINGLE) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64)), pa.array(n), lists, pa.array(fp)], ["doc_id", "body_hash", "print", "n", "bands", "fp"])
 
-    return docs.select(*_rows()).mapInArrow(run, "doc_id long, body_hash long, print long, n int, bands array<long>")
+    return docs.select(*_rows()).mapInArrow(run, "doc_id long, body_hash long, print long, n int, bands array<long>, fp long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,20 +161,29 @@ def _across_groups(members: DataFrame, stars: DataFrame, sets: DataFrame) -> Dat
     return out
 
 
+def simhash_keys(named: DataFrame) -> DataFrame:
+    """(print, n, key): a key for each group of texts whose fingerprints chains of at most RADIUS differing bits join."""
+    groups = connected_components(fingerprint_links(named.select("fp").distinct(), RADIUS), "near-simhash")
+    group = F.coalesce("component", "fp")
+    return named.join(groups, named.fp == groups.node, "left").select("print", "n", F.xxhash64(F.lit("SimHash"), group).alias("key"))
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, component_id, kept) for every row of docs; component_id is the smallest doc_id that chains of near
     copies reach. kept marks one text of each group, that of the smallest (doc_id, text_id); text_id is a hash of the text.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with equal sets
-    (those without words are one) are compared once. Of the texts that share a band, each is first compared with one of them;
-    then, of texts that these links have not joined yet, those outside the band's largest group with all others in tiles,
+    (those without words are one) are compared once. Texts share a key if SimHash groups them, and, as three bits of 64 don't
+    reach a similarity of 0.8, also if they have a band of minimum hashes in common. Of the texts that share a key, each is first compared with one of them;
+    then, of texts that these links have not joined yet, those outside the key's largest group with all others in tiles,
     so that no pair is left out, and none is a row. Null doc_ids take part as links.
     """
     bounded_batches(docs.sparkSession)
     prints = materialize(_prints(docs), "near-prints")
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("first"), "body_hash"))
-    named = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("low"), one.alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-named")
-    keys = named.filter("n > 0").select("print", "n", F.explode("bands").alias("key"))
+    named = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("low"), one.alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "near-named")
+    texts = named.filter("n > 0")
+    keys = simhash_keys(texts).unionByName(texts.select("print", "n", F.explode("bands").alias("key")))
     shared = keys.groupBy("key").agg(F.min("print").alias("star"), F.min_by("n", "print").alias("star_n"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = materialize(keys.join(shared, "key"), "near-members")
     stars = materialize(members.filter("print <> star").filter(_fits("n", "star_n")).select(F.col("print").alias("u"), F.col("star").alias("v")).distinct(), "near-stars")
